@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import decontaminate, exact_dedup, language_id
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op9_decontamination": decontaminate.OP9_SQL,
 }
