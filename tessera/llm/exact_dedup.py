@@ -26,37 +26,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bloom
 from tessera.llm.common import Stage, ascii_lower, free_name, table
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", max_bits: int = 1 << 28) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """All rows and columns of docs with keep_id, group_size, kept and text_sha256."""
     if keep not in ("max", "min"):
         raise ValueError(f"keep must be max or min, not {keep!r}")
     own = [c for c in docs.columns if c not in RESULT]
     docs = docs.select(*own)
-    pos, bucket, bitmap, maybe = (free_name(own, f"_tess_{x}") for x in ("pos", "bucket", "bitmap", "maybe"))
+    maybe = free_name([*own, *RESULT], "_tess_maybe")
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    n = docs.count()
-    bits = min(max_bits, 1 << max(20, (16 * max(1, n) - 1).bit_length()))
-
-    repeated = docs.select(F.pmod(F.xxhash64(norm), F.lit(bits)).alias(pos)).groupBy(pos).count().where("count > 1")
-    filter_ = repeated.groupBy(F.bitmap_bucket_number(pos).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias(bitmap))
+    bits = bloom.size_for(docs.count(), max_bits)
     stage = Stage(docs.sparkSession)
-    filter_ = stage.keep(filter_)
-
-    bit = F.bitmap_bit_position(pos)
-    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, cast(bitmap_bit_position({pos}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    marked = (
-        docs.withColumn("text_sha256", F.sha2(norm.cast("binary"), 256))
-        .withColumn(pos, F.pmod(F.xxhash64(norm), F.lit(bits)))
-        .withColumn(bucket, F.bitmap_bucket_number(pos))
-        .join(F.broadcast(filter_), bucket, "left")
-        .withColumn(maybe, F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1, F.lit(False)))
-        .drop(pos, bucket, bitmap)
-    )
+    repeated = bloom.bits_of(docs, norm, bits, stage, repeated=True)
+    marked = bloom.test(docs, norm, repeated, bits, maybe).withColumn("text_sha256", F.sha2(norm.cast("binary"), 256))
     alone = marked.where(~F.col(maybe)).select(*own, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     rest = marked.where(maybe)
     best = F.max(id_col) if keep == "max" else F.min(id_col)
