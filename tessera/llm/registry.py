@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, language_id, packing
+from tessera.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_language_id": language_id.op10_language_id,
