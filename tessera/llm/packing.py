@@ -15,9 +15,7 @@ A partition packs its own documents, a buffer of ``buffer_tokens`` at a time:
 no token is shuffled and a task's memory doesn't grow with the input. Ids of
 sequences and groups hold the partition's number in their upper bits.
 
-Token ids are made word by word: the vocabulary's pre-tokeniser never joins
-characters across white space, so a text's ids are its words' ids in a row.
-A worker tokenises each distinct word once and keeps ``cache_words`` of them.
+Token ids are made word by word (see ``subwords``), each distinct word once.
 
 Defined cases: null text counts as empty and gives the end token alone; ids may
 be null or repeat (each row is a document of its own, told apart by nothing but
@@ -29,7 +27,6 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,38 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import free_name, table
+from tessera.llm.subwords import subwords, words_of
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 
 
-class WordTokenizer:
-    """Text to little-endian unsigned 32-bit ids, through a cache of words."""
-
-    def __init__(self, path: str, cache_words: int = 300_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.model, self.limit, self.cache = Tokenizer.from_file(path), cache_words, {}
-
-    def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        for k in range(0, len(texts), 256):
-            docs = [t.split() if t else [] for t in texts[k : k + 256]]
-            if len(self.cache) > self.limit:
-                self.cache.clear()
-            new = list(set().union(*docs).difference(self.cache))
-            for w, e in zip(new, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-            for words in docs:
-                yield b"".join(map(self.cache.__getitem__, words))
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
-
-
 class Packer:
     """Packs a stream of (document, length) into full windows."""
 
@@ -158,7 +129,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         packer, base = Packer(tiers, step_tokens, buffer_tokens), TaskContext.get().partitionId() << 33
-        encode = _tokenizer(tokenizer_path)
+        encode = subwords(tokenizer_path)
         kinds = None
 
         def rows(windows):
@@ -176,7 +147,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 out = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode([words_of(t) for t in part.column(1).to_pylist()]), strict=True):
                     ids += end
                     out.extend(packer.add((doc_id, ids), len(ids) // 4))
                 if out:
