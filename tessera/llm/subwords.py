@@ -74,7 +74,11 @@ def subwords(path: str, kind: str = "<u4") -> Subwords:
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    """Words whose ids in a row are the text's. Plain ASCII is lower-cased first, as the vocabulary does."""
+    """Words whose ids in a row are the text's.
+
+    A-Z is folded first, as the vocabulary does, unless a combining mark (U+0300 to
+    U+037F) might compose with such a letter, or the text may name a special token.
+    """
     if not text:
         return []
-    return text.lower().split() if text.isascii() and b"<|" not in text else text.split()
+    return text.split() if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower().split()
