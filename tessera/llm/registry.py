@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing
+from tessera.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_language_id": language_id.op10_language_id,
 }
