@@ -44,3 +44,12 @@ def test(rows: DataFrame, key: Column, filter_: DataFrame, bits: int, name: str)
         .withColumn(name, F.coalesce(bit, F.lit(False)))
         .drop(pos, bucket, bitmap)
     )
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str, stage: Stage) -> DataFrame:
+    """rows whose key is not among ids (one column of the same name). Only rows that may be shuffle; null keys stay."""
+    bits = size_for(ids.count())
+    maybe = free_name(rows.columns, "_tess_maybe")
+    marked = test(rows, F.col(key), bits_of(ids, F.col(key), bits, stage), bits, maybe)
+    sure = marked.where(~F.col(maybe)).drop(maybe)
+    return sure.unionByName(marked.where(maybe).drop(maybe).join(ids.select(key), key, "left_anti").select(*rows.columns))

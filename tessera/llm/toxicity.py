@@ -293,9 +293,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         margin[fold == f] = x[fold == f] @ w + b
     model.weights, model.bias = fit_svm(x, y)
     model.slope, model.shift = fit_curve(margin, y)
-    # the sample holds the labels in other shares than the rows do
-    in_rows, in_sample = totals[1] / totals[0], y.sum() / (len(y) - y.sum())
-    model.shift += float(np.log(in_rows / in_sample))
     return model
 
 
