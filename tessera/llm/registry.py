@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import attention_lm, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, toxicity
+from tessera.llm import attention_lm, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, secret_scan, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_lm_scoring": attention_lm.op5_lm_scoring,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
