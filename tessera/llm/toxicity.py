@@ -229,48 +229,57 @@ def stems(word: str) -> set[str]:
 
 
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], how_many: int, least_gain: float = 25.0, alike: float = 0.6) -> list[str]:
-    """Stems that tell toxic texts from clean ones best, no two of them alike. Texts are given as sets of words.
+    """Stems that tell toxic texts from clean ones best. Texts are given as sets of words.
+
+    Left out: stems like a chosen one, and such as stand almost only in texts that
+    hold a chosen one, unless they begin a word and share nothing with it.
 
     least_gain: the likelihood-ratio statistic that a stem must reach; chance finds none at 25 among 100,000.
     """
-    seen: dict[str, list[int]] = {}
+    held: dict[str, tuple[set[int], set[int]]] = {}
     for side, texts in enumerate((toxic, clean)):
-        for words in texts:
+        for i, words in enumerate(texts):
             for s in set().union(*map(stems, words)) if words else ():
-                if side == 0 or s in seen:  # stems that no toxic text holds cannot win
-                    seen.setdefault(s, [0, 0])[side] += 1
+                if side == 0 or s in held:  # stems that no toxic text holds cannot win
+                    held.setdefault(s, (set(), set()))[side].add(i)
     n_t, n_c = len(toxic), len(clean)
 
     def gain(s: str) -> float:
-        t, c = seen[s]
+        t, c = map(len, held[s])
         share = (t + c) / (n_t + n_c)
         if t / n_t <= share:
             return 0.0
         terms = ((t, n_t * share), (n_t - t, n_t * (1 - share)), (c, n_c * share), (n_c - c, n_c * (1 - share)))
         return 2 * sum(o * np.log(o / e) for o, e in terms if o > 0 and e > 0)
 
-    pool = [(g, s) for s in seen if len(s) > ORDER and seen[s][0] >= 3 and (g := gain(s)) >= least_gain]
+    pool = [(g, s) for s in held if len(s) > ORDER and len(held[s][0]) >= 3 and (g := gain(s)) >= least_gain]
     # of stems in the same texts the longest says most
     pool = [s for _, s in sorted(pool, key=lambda x: (-round(x[0], 6), -len(x[1]), x[1]))][: 60 * how_many]
     own = dict(zip(pool, own_kernel(pool), strict=True))
+    grams = lambda s: {p[i : i + 3] for p in [s.lstrip(START)] for i in range(len(p) - 2)}
     out: list[str] = []
     for s in pool:
         if len(out) >= how_many:
             break
-        if not any(kernel([s], o)[0] / min(own[s], own[o]) >= alike for o in out):
+        texts = held[s][0]
+        family = any(len(texts & held[o][0]) >= 0.9 * len(texts) and (not s.startswith(START) or grams(s) & grams(o)) for o in out)
+        if not family and not any(kernel([s], o)[0] / min(own[s], own[o]) >= alike for o in out):
             out.append(s)
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", landmarks: int = 40, fit_rows: int = 1500) -> Model:
     label = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(label, "id")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     totals = {int(r["y"]): r["n"] for r in label.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return EMPTY
     chance = F.when(F.col("y") == 1, min(1.0, fit_rows / totals[1])).otherwise(min(1.0, 2 * fit_rows / totals[0]))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) < chance * (1 << 20))
-    sample = [(bytes(r["text"]), int(r["y"])) for r in picked.toLocalIterator()]
+    # the picked labels are bounded, so the texts need not shuffle to meet them
+    few = label.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) < chance * (1 << 20))
+    picked = rows.join(F.broadcast(few), "id")
+    # copies of a text would count its words as often
+    sample = list({bytes(r["text"]): int(r["y"]) for r in picked.toLocalIterator()}.items())
     y = np.array([t for _, t in sample])
     if not (y > 0).any() or not (y <= 0).any():
         return EMPTY
