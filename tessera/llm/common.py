@@ -8,6 +8,7 @@ rules that the operators' contracts state; no non-ASCII byte is ever touched.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -80,6 +81,20 @@ def free_name(columns: Iterable[str], name: str) -> str:
     return name
 
 
+_slot: dict = {}
+
+
+def worker_slot(key, make):
+    """What a Python worker keeps from task to task: one thing, so that operators after one another don't add up.
+
+    Another key frees what was kept."""
+    if key not in _slot:
+        _slot.clear()
+        gc.collect()
+        _slot[key] = make()
+    return _slot[key]
+
+
 class WordIds(dict):
     """bytes -> number, new words numbered as they come; ``words`` holds them in order."""
 

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WORD_BYTES, WordIds, free_name, id_bucket, table
+from tessera.llm.common import WORD_BYTES, WordIds, free_name, id_bucket, table, worker_slot
 
 UND = "und"
 STRETCH = 23
@@ -244,23 +243,16 @@ class Scorer:
         return langs, scores
 
 
-@lru_cache(maxsize=1)
-def _scorer(key: str, cache_words: int) -> list[Scorer]:
-    return []  # filled by the first task of a worker, reused by its later ones
-
-
-def predict(docs: DataFrame, model: Model, text_col: str = "text", cache_words: int = 400_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", cache_words: int = 200_000) -> DataFrame:
     """docs with lang_pred and score added."""
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     raw = free_name(own, "_tess_text")
     schema = T.StructType([docs.schema[c] for c in own] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        held = _scorer(model.key, cache_words)
-        if not held:
-            held.append(Scorer(model, cache_words))
+        scorer = worker_slot(model.key, lambda: Scorer(model, cache_words))
         for batch in batches:
-            langs, scores = held[0](batch.column(batch.num_columns - 1).to_pylist())
+            langs, scores = scorer(batch.column(batch.num_columns - 1).to_pylist())
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
 

@@ -9,17 +9,18 @@ that is one token; words that hold the mark go alone.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 
+from tessera.llm.common import worker_slot
+
 MARKS = "\U0001f937\U0001f643\U0001f914\U0001f525♥"
 
 
 class Subwords:
     """Words to the bytes of their ids, little-endian of type ``kind``."""
 
-    def __init__(self, path: str, kind: str = "<u4", cache_words: int = 800_000, in_a_text: int = 2000) -> None:
+    def __init__(self, path: str, kind: str = "<u4", cache_words: int = 500_000, in_a_text: int = 2000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism here
         from tokenizers import Tokenizer
 
@@ -67,10 +68,9 @@ class Subwords:
         return [b"".join(map(get, words)) for words in docs]
 
 
-@lru_cache(maxsize=2)
 def subwords(path: str, kind: str = "<u4") -> Subwords:
     """One for each worker, so that its cache outlives a task."""
-    return Subwords(path, kind)
+    return worker_slot(("subwords", path, kind), lambda: Subwords(path, kind))
 
 
 def words_of(text: bytes | None) -> list[bytes]:

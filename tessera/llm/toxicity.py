@@ -32,7 +32,6 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordIds, free_name, id_bucket, table
+from tessera.llm.common import WordIds, free_name, id_bucket, table, worker_slot
 
 ORDER, DECAY = 3, 0.7
 #: A power of a kernel is a kernel; this one sets whole words apart from what chance shares with them.
@@ -160,7 +159,7 @@ EMPTY = Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, 0.0)
 class Scorer:
     """Best and summed similarity of a text's words with each landmark; each distinct word once, until the cache starts anew."""
 
-    def __init__(self, model: Model, cache_words: int = 500_000) -> None:
+    def __init__(self, model: Model, cache_words: int = 250_000) -> None:
         self.model, self.limit = model, cache_words
         self.clear()
 
@@ -305,11 +304,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-@lru_cache(maxsize=1)
-def _held(key: str) -> list[Scorer]:
-    return []
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (0 or 1)."""
     own = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -317,13 +311,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        held = _held(model.key)
-        if not held:
-            held.append(Scorer(model))
+        scorer = worker_slot(model.key, lambda: Scorer(model))
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                p = model.probability(held[0].features(batch.column(raw).to_pylist()))
+                p = model.probability(scorer.features(batch.column(raw).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=[*own, "score", "predicted"])
 
     return docs.select(*own, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, schema)
