@@ -120,7 +120,7 @@ def rules() -> list[Rule]:
             out.append(Rule(tag, keyword, GRANTS[1][0].format(n=name) + "(?: version| v)? " + v, 90))
         ids = [label, *(f"{label} {v}" for v in versions)]
         for i in ids:
-            out.append(Rule(i.replace(" ", "-", 1).replace(" ", "."), "spdx", "spdx licen[sc]e identifier " + i.replace("-", " ") + "(?: only| or later)?", 100))
+            out.append(Rule(i.replace(" ", "-", 1).replace(" ", "."), "spdx", "spdx licen[sc]e identifier " + i.replace("-", " ") + "(?: 0)?(?: only| or later)?", 100))
     for short, long in (("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl")):
         for v in ("", "1", "2", "2 1", "3"):
             out.append(Rule(f"{short}-{v.replace(' ', '.')}" if v else short, short, f"{long} ?v?(?:ersion )?{v}(?: 0)?" if v else long, 55 if v else 30))
