@@ -8,6 +8,8 @@ rules that the operators' contracts state; no non-ASCII byte is ever touched.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -91,6 +93,8 @@ def worker_slot(key, make):
     if key not in _slot:
         _slot.clear()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
         _slot[key] = make()
     return _slot[key]
 

@@ -218,8 +218,8 @@ class Scorer:
         text = [w.decode("utf-8", "replace").lower() for w in new]
         letters = np.array([any(map(str.isalpha, w)) for w in text], bool)
         at = self.known + np.flatnonzero(letters)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
+        for k in range(0, len(at), 1 << 14):
+            part = at[k : k + (1 << 14)]
             self.rows[part] = self.model.log_probs([text[i - self.known] for i in part])
         self.alpha[at] = True
         self.known = len(self.ids.words)
@@ -243,7 +243,7 @@ class Scorer:
         return langs, scores
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", cache_words: int = 200_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", cache_words: int = 120_000) -> DataFrame:
     """docs with lang_pred and score added."""
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     raw = free_name(own, "_tess_text")
@@ -251,10 +251,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", cache_words:
 
     def run(batches):
         scorer = worker_slot(model.key, lambda: Scorer(model, cache_words))
-        for batch in batches:
-            langs, scores = scorer(batch.column(batch.num_columns - 1).to_pylist())
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                langs, scores = scorer(batch.column(batch.num_columns - 1).to_pylist())
+                cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
 
     return docs.select(*own, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, schema)
 

@@ -47,7 +47,7 @@ class CachedWords:
 class Subwords(CachedWords):
     """Ids of the word vocabulary, little-endian of type ``kind``."""
 
-    def __init__(self, path: str, kind: str = "<u4", cache_words: int = 500_000, in_a_text: int = 2000) -> None:
+    def __init__(self, path: str, kind: str = "<u4", cache_words: int = 350_000, in_a_text: int = 2000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism here
         from tokenizers import Tokenizer
 
@@ -107,7 +107,7 @@ class BytePairs(CachedWords):
 
     Where a word begins is seen from the tokens that begin with a space."""
 
-    def __init__(self, path: str, cache_words: int = 500_000, in_a_text: int = 2000) -> None:
+    def __init__(self, path: str, cache_words: int = 350_000, in_a_text: int = 2000) -> None:
         import base64
 
         import public_tokenizers
