@@ -1,6 +1,6 @@
 """All queries on the driver tables."""
 
-from tessera.plans import domain_queries  # noqa: F401  registers its queries
+from tessera.plans import case_queries, domain_queries  # noqa: F401  register their queries
 from tessera.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
