@@ -45,8 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Stage:
     """Tables written to the shared folder, so that lost executors lose no work.
 
-    ``keep(df)`` writes and rereads a table; ``drop()`` deletes the ones that
-    no later plan reads.
+    ``keep(df)`` writes and rereads a table; ``drop(df)`` deletes one that no
+    later plan reads, ``drop_but(df)`` all but one.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -58,11 +58,20 @@ class Stage:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
 
-    def drop(self, df: DataFrame | None = None) -> None:
+    def drop(self, df: DataFrame) -> None:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            self._delete(path)
+
+    def drop_but(self, df: DataFrame) -> None:
+        kept = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+        for n in range(1, self.n + 1):
+            if str(n) not in kept:
+                self._delete(f"{self.base}/{n}")
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        for name in [self.base] if df is None else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:
