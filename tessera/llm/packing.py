@@ -51,7 +51,7 @@ class Packer:
             raise ValueError("tiers must be powers of two")
         self.step, self.buffer = step_tokens, buffer_tokens
         self.pending: list[tuple[int, int, object, int]] = []  # ascending length
-        self.held = self.seen = self.groups = self.sequences = 0
+        self.held = self.seen = self.groups = self.sequences = 0  # held: tokens pending
 
     def add(self, doc: object, length: int) -> Iterator[tuple]:
         """Yields (sequence, tier, group, [(document, start, length)]) as windows come out."""
@@ -74,7 +74,7 @@ class Packer:
         while self.pending:
             length, order, start, doc = self.pending.pop()
             size = top if length >= top else next(t for t in self.tiers if t >= length)
-            if sum(p[0] for p in self.pending) + length < size if len(self.pending) < 64 else False:
+            if self.held < size:
                 self.pending.append((length, order, start, doc))
                 break
             window, gap = [], size
@@ -89,10 +89,11 @@ class Packer:
                     # the longest that fits whole, else the shortest of those to be cut
                     length, order, start, doc = self.pending.pop(k - 1 if k else 0)
             windows.append((size, window))
+            self.held -= size
         if last:
             flat = [(doc, start, length) for length, _, start, doc in reversed(self.pending)]
             total = sum(p[2] for p in flat)
-            self.pending = []
+            self.pending, self.held = [], 0
             for bit in reversed(range(total.bit_length())):
                 size = total & (1 << bit)
                 window, gap = [], size
@@ -105,7 +106,6 @@ class Packer:
                     gap -= take
                 if size:
                     windows.append((size, window))
-        self.held = sum(p[0] for p in self.pending)
         n = max(1, round(sum(size for size, _ in windows) / self.step))
         loads = [(0, g) for g in range(n)]
         for size, window in sorted(windows, key=lambda x: -x[0]):

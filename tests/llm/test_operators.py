@@ -128,6 +128,31 @@ def test_packing_odd(spark, odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packer_of_many_short_documents():
+    cases = [[1] * 100, [5] * 65, [5] * 100, [2500] + [10] * 70, [1] * 511, [1] * 512, [1] * 513, [3] * 64 + [1000] * 2, *([1] * n for n in range(60, 140))]
+    for lengths in cases:
+        for buffer in (1, 64, 1 << 20):
+            p = packing.Packer(buffer_tokens=buffer)
+            out = [w for k, n in enumerate(lengths) for w in p.add(k, n)]
+            out += p.finish()
+            assert all(size == sum(n for _, _, n in window) and size & (size - 1) == 0 for _, size, _, window in out)
+            found = sorted((doc, start, n) for *_, window in out for doc, start, n in window)
+            assert found and p.held == 0 and not p.pending
+            for k, want in enumerate(lengths):
+                at = 0
+                for _, start, n in (f for f in found if f[0] == k):
+                    assert start == at
+                    at += n
+                assert at == want
+
+
+@pytest.mark.parametrize("n", [65, 100, 511])
+def test_packing_of_empty_texts(spark, n):
+    rows = spark.createDataFrame([(i, None if i % 3 else "" if i % 2 else "a") for i in range(n)], "doc_id bigint, text string").coalesce(1)
+    pieces = packing.pack_documents(rows).collect()
+    assert {p.doc_id for p in pieces} == set(range(n)) and sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+
+
 def test_packer_balances_groups():
     rng = random.Random(1)
     p = packing.Packer(buffer_tokens=1 << 18)
