@@ -1,12 +1,12 @@
 """License scans: ordered signature rules in DataFrame functions alone.
 
 A text is folded to its words, one space apart. A rule is a regular expression
-over that, behind a keyword: only texts that hold the keyword meet the
-expression, and only texts that hold one of a few stems meet rules at all. A
-rule has a priority; of overlapping detections, one that lies within another
-goes when it is shorter, or as long and of lower priority (then of the later
-label). What remains gives the labels. The base phrases are found by the same
-matcher and are never suppressed.
+over that, behind keywords: only texts that hold one of its keywords (and its
+second one, if it has that) meet the expression. Every match of a rule holds
+them, so they hide nothing. A rule has a priority; of overlapping detections,
+one that lies within another goes when it is shorter, or as long and of lower
+priority (then of the later label). What remains gives the labels. The base
+phrases are found by the same matcher and are never suppressed.
 
 Everything about a text stays in its row: no shuffle, no join.
 
@@ -27,24 +27,23 @@ from tessera.llm.common import ascii_lower, free_name, table
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Texts without any of these stems meet no rule.
-STEMS = ("licen", "copyright", "spdx", "gpl", "public domain", "all rights reserved", "creative commons", "warrant", "redistribut", "permission is hereby")
 RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keyword: str  # "|" between alternatives; every match, with a space on either side, holds one
     pattern: str  # over words one space apart
     priority: int  # 1 to 100; also the confidence in per cent
+    also: str = ""  # every match holds this too
 
 
 #: Licences: label -> (keyword, how texts name it, versions). {v} in a name takes a version's words.
 LICENCES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
-    "mit": ("mit", ("mit", "massachusetts institute of technology"), ()),
+    "mit": (" mit |massachusetts institute", ("mit", "massachusetts institute of technology"), ()),
     "expat": ("expat", ("expat",), ()),
-    "x11": ("x11", ("x11",), ()),
+    "x11": (" x11 ", ("x11",), ()),
     "apache": ("apache", ("apache", "apache software"), ("1 0", "1 1", "2 0")),
     "gpl": ("general public", ("gnu general public", "general public"), ("1", "2", "3")),
     "lgpl": ("general public", ("gnu lesser general public", "lesser general public", "gnu library general public"), ("2", "2 1", "3")),
@@ -53,7 +52,7 @@ LICENCES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "bsd-3-clause": ("bsd", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"), ()),
     "bsd-4-clause": ("bsd", ("bsd 4 clause", "4 clause bsd", "original bsd"), ()),
     "0bsd": ("bsd", ("zero clause bsd", "bsd zero clause", "0bsd"), ()),
-    "isc": ("isc", ("isc", "internet systems consortium"), ()),
+    "isc": (" isc |internet systems", ("isc", "internet systems consortium"), ()),
     "mpl": ("mozilla", ("mozilla public",), ("1 0", "1 1", "2 0")),
     "epl": ("eclipse", ("eclipse public",), ("1 0", "2 0")),
     "cddl": ("common development", ("common development and distribution",), ("1 0", "1 1")),
@@ -62,13 +61,13 @@ LICENCES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "artistic": ("artistic", ("artistic", "perl artistic"), ("1 0", "2 0")),
     "boost": ("boost", ("boost software",), ("1 0",)),
     "zlib": ("zlib", ("zlib", "zlib libpng"), ()),
-    "python": ("python", ("python software foundation", "psf"), ("2",)),
+    "python": ("python software| psf ", ("python software foundation", "psf"), ("2",)),
     "postgresql": ("postgresql", ("postgresql",), ()),
     "openssl": ("openssl", ("openssl",), ()),
-    "php": ("php", ("php",), ("3 0", "3 01")),
-    "ruby": ("ruby", ("ruby",), ()),
+    "php": (" php ", ("php",), ("3 0", "3 01")),
+    "ruby": (" ruby ", ("ruby",), ()),
     "unlicense": ("unlicense", ("unlicense",), ()),
-    "wtfpl": ("what you want", ("do what the fuck you want to public",), ("2",)),
+    "wtfpl": ("you want to public", ("do what the fuck you want to public",), ("2",)),
     "ofl": ("open font", ("sil open font", "open font"), ("1 0", "1 1")),
     "odbl": ("open database", ("open database", "open data commons open database"), ("1 0",)),
     "ms-pl": ("microsoft", ("microsoft public",), ()),
@@ -79,12 +78,12 @@ LICENCES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
 }
 CC = {"by": "attribution", "by sa": "attribution share ?alike", "by nd": "attribution no ?deriv(?:ative)?s?", "by nc": "attribution non ?commercial", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s?"}
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: How a sentence grants a licence; {n} is its name.
+#: How a sentence grants a licence, {n} being its name; priority; what every such sentence holds.
 GRANTS = (
-    ("{n} (?:software )?licen[sc]e", 60),
-    ("(?:licensed|released|distributed|available|provided|published|dual licensed) under (?:the |an? )?(?:terms (?:and conditions )?of )?(?:the |an? )?{n}(?: (?:style|compatible))?(?: (?:public )?licen[sc]e)?", 80),
-    ("(?:subject to|governed by|covered by|under) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{n} (?:public )?licen[sc]e", 75),
-    ("licen[sc]e (?:is )?(?:the )?{n}", 50),
+    ("{n} (?:software )?licen[sc]e", 60, "licen"),
+    ("(?:licensed|released|distributed|available|provided|published|dual licensed) under (?:the |an? )?(?:terms (?:and conditions )?of )?(?:the |an? )?{n}(?: (?:style|compatible))?(?: (?:public )?licen[sc]e)?", 80, " under "),
+    ("(?:subject to|governed by|covered by|under) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{n} (?:public )?licen[sc]e", 75, "licen"),
+    ("licen[sc]e (?:is )?(?:the )?{n}", 50, "licen"),
 )
 #: Sentences that belong to one licence's own text.
 SENTENCES = (
@@ -95,12 +94,12 @@ SENTENCES = (
     Rule("lgpl", "free software", "this library is free software you can redistribute it and or modify it", 90),
     Rule("gpl", "gnu org", "(?:http |https )?(?:www )?gnu org (?:licenses|copyleft) gpl(?: html| txt)?", 85),
     Rule("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 90),
-    Rule("zlib", "as is", "this software is provided as is without any express or implied warranty", 70),
-    Rule("warranty-disclaimer", "warranty", "without warrant(?:y|ies)(?: or conditions)? of any kind", 30),
-    Rule("warranty-disclaimer", "as is", "provided as is(?: without warranty)?", 20),
+    Rule("zlib", "provided as is", "this software is provided as is without any express or implied warranty", 70),
+    Rule("warranty-disclaimer", "without warrant", "without warrant(?:y|ies)(?: or conditions)? of any kind", 30),
+    Rule("warranty-disclaimer", "provided as is", "provided as is(?: without warranty)?", 20),
     Rule("unlicense", "public domain", "this is free and unencumbered software released into the public domain", 95),
     Rule("public-domain", "public domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 60),
-    Rule("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?", 80),
+    Rule("cc0-1.0", " cc0 ", "cc0(?: 1 0)?(?: universal)?", 80),
     Rule("proprietary", "all rights reserved", "all rights reserved", 25),
     Rule("copyright-notice", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 25),
 )
@@ -111,24 +110,24 @@ def rules() -> list[Rule]:
     out = list(SENTENCES)
     for label, (keyword, names, versions) in LICENCES.items():
         name = "(?:" + "|".join(names) + ")"
-        for grant, priority in GRANTS:
-            out.append(Rule(label, keyword, grant.format(n=name), priority))
+        for grant, priority, also in GRANTS:
+            out.append(Rule(label, keyword, grant.format(n=name), priority, also))
         for v in versions:
             tag = f"{label}-{v.replace(' ', '.')}"
             tail = "(?: licen[sc]e)?(?: version| v)? " + v + "(?: or (?:any )?(?:later|newer)(?: version)?)?"
             out.append(Rule(tag, keyword, name + tail, 70))
-            out.append(Rule(tag, keyword, GRANTS[1][0].format(n=name) + "(?: version| v)? " + v, 90))
+            out.append(Rule(tag, keyword, GRANTS[1][0].format(n=name) + "(?: version| v)? " + v, 90, GRANTS[1][2]))
         ids = [label, *(f"{label} {v}" for v in versions)]
         for i in ids:
             out.append(Rule(i.replace(" ", "-", 1).replace(" ", "."), "spdx", "spdx licen[sc]e identifier " + i.replace("-", " ") + "(?: 0)?(?: only| or later)?", 100))
     for short, long in (("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl")):
         for v in ("", "1", "2", "2 1", "3"):
-            out.append(Rule(f"{short}-{v.replace(' ', '.')}" if v else short, short, f"{long} ?v?(?:ersion )?{v}(?: 0)?" if v else long, 55 if v else 30))
+            out.append(Rule(f"{short}-{v.replace(' ', '.')}" if v else short, f" {short}", f"{long} ?v?(?:ersion )?{v}(?: 0)?" if v else long, 55 if v else 30))
     for code, words in CC.items():
         for v in CC_VERSIONS:
-            out.append(Rule(f"cc-{code.replace(' ', '-')}-{v.replace(' ', '.')}", "cc", f"cc {code} {v}", 85))
+            out.append(Rule(f"cc-{code.replace(' ', '-')}-{v.replace(' ', '.')}", " cc ", f"cc {code} {v}", 85))
             out.append(Rule(f"cc-{code.replace(' ', '-')}-{v.replace(' ', '.')}", "creative commons", f"creative commons {words} {v}(?: international| unported)?", 85))
-        out.append(Rule(f"cc-{code.replace(' ', '-')}", "cc", f"cc {code}", 60))
+        out.append(Rule(f"cc-{code.replace(' ', '-')}", " cc ", f"cc {code}", 60))
         out.append(Rule(f"cc-{code.replace(' ', '-')}", "creative commons", f"creative commons {words}", 60))
     return out
 
@@ -160,24 +159,24 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     own = [c for c in docs.columns if c not in (*RESULT, "detections")]
     lower, norm, raw, base = (free_name([*own, *RESULT], f"_tess_{x}") for x in ("lower", "norm", "raw", "base"))
     whole = lambda p: f"(?<= )(?:{p})(?= )"
-    table_ = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(whole(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority")) for r in rules()])
+    groups: dict[tuple[str, str], list[Rule]] = {}
+    for r in rules():
+        groups.setdefault((r.keyword, r.also), []).append(r)
+    table_ = F.array(*[F.struct(F.array(*map(F.lit, keyword.split("|"))).alias("keywords"), F.lit(also).alias("also"), F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(whole(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority")) for r in rs]).alias("rules")) for (keyword, also), rs in groups.items()])
     phrases = F.array(*[F.struct(F.lit(v).alias("label"), F.lit(whole(k)).alias("pattern")) for k, v in BASE.items()])
     text = _once(docs.select(*own), **{lower: ascii_lower(F.coalesce(F.col(text_col), F.lit("")))})
-    stem = F.lit(False)
-    for s in STEMS:
-        stem = stem | F.regexp_like(lower, F.lit(s.replace(" ", SEPARATOR))) if " " in s else stem | F.contains(F.col(lower), F.lit(s))
-    # spaces of two kinds would hide a phrase: a text that may match is folded to its words first
-    text = _once(text, **{norm: F.when(stem, F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, SEPARATOR, " ")), F.lit(" "))), "n_words": F.regexp_count(lower, F.lit(WORD)).cast("bigint")})
+    # spaces of two kinds would hide a phrase: a text is folded to its words first
+    text = _once(text, **{norm: F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, SEPARATOR, " ")), F.lit(" ")), "n_words": F.regexp_count(lower, F.lit(WORD)).cast("bigint")})
     place_t = "array<struct<start:bigint,words:bigint,label:string,priority:int>>"
     hits = F.flatten(
         F.transform(
-            F.filter(table_, lambda r: F.contains(F.col(norm), r["keyword"])),
+            F.flatten(F.transform(F.filter(table_, lambda g: F.exists(g["keywords"], lambda k: F.contains(F.col(norm), k)) & F.contains(F.col(norm), g["also"])), lambda g: g["rules"])),
             lambda r: F.transform(_places(F.col(norm), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words"), r["label"].alias("label"), r["priority"].alias("priority"))),
         )
     )
     base_hits = F.flatten(F.transform(phrases, lambda r: F.transform(_places(F.col(norm), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words"), r["label"].alias("label"), F.lit(100).alias("priority")))))
     none = F.array().cast(place_t)
-    found = _once(text, **{raw: F.when(F.col(norm).isNotNull(), hits.cast(place_t)).otherwise(none), base: F.when(F.contains(F.col(norm), F.lit("license")), base_hits.cast(place_t)).otherwise(none)})
+    found = _once(text, **{raw: hits.cast(place_t), base: F.when(F.contains(F.col(norm), F.lit("license")), base_hits.cast(place_t)).otherwise(none)})
 
     def outranked(m: Column) -> Column:
         def by(o: Column) -> Column:

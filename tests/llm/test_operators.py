@@ -418,6 +418,51 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) > 300 and license_scan.scan(df.limit(0)).count() == 0
 
 
+def matches_of(pattern):
+    """Texts that a rule's pattern matches: every alternative of every group once, with optional parts and without."""
+    from re import _parser
+
+    def of(part):
+        out = [""]
+        for op, arg in part:
+            name = str(op)
+            if name == "LITERAL":
+                got = [chr(arg)]
+            elif name == "IN":
+                got = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+            elif name == "SUBPATTERN":
+                got = of(arg[3])
+            elif name == "BRANCH":
+                got = [x for branch in arg[1] for x in of(branch)]
+            else:
+                assert name == "MAX_REPEAT"
+                low, high, inner = arg
+                got = [*([""] if low == 0 else []), *(x * max(low, 1) for x in of(inner))]
+            k = max(len(out), len(got))
+            out = [out[i % len(out)] + got[i % len(got)] for i in range(k)] if len(out) > 1 else [out[0] + g for g in got]
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_rules_alone(spark):
+    rules = license_scan.rules()
+    texts = sorted({t for r in rules for t in matches_of(r.pattern)} | {"CC BY-SA 4.0", "CC0 1.0 Universal", "Released under MIT", "distributed under BSD 3-Clause", "Mozilla Public 2.0", "provided as is", "without warranties of any kind", "mit dem Bus", "PSF licence"})
+    whole = [(r, re.compile(f"(?<= )(?:{r.pattern})(?= )")) for r in rules]
+
+    def slow(text):
+        norm = " " + " ".join(re.findall(license_scan.WORD, text.translate(FOLD))) + " "
+        raw = [(norm[: m.start()].count(" ") - 1, m.group().count(" ") + 1, r.label, r.priority) for r, p in whole for m in p.finditer(norm)]
+        over = lambda m, o: o[0] <= m[0] and o[0] + o[1] >= m[0] + m[1] and (o[1] > m[1] or o[3] > m[3] or (o[3] == m[3] and o[2] < m[2]))
+        return sorted({m for m in raw if not any(over(m, o) for o in raw)})
+
+    assert all(any(re.fullmatch(r.pattern, t) for t in matches_of(r.pattern)) for r in rules)
+    got = {r.text: r for r in license_scan.scan(spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)).collect()}
+    for t in texts:
+        assert [tuple(d) for d in got[t].detections] == slow(t), t
+    assert got["CC BY-SA 4.0"].labels == "cc-by-sa-4.0" and got["Released under MIT"].labels == "mit" and got["distributed under BSD 3-Clause"].labels == "bsd-3-clause" and got["mit dem Bus"].labels == ""
+
+
 # -- 8 toxicity --------------------------------------------------------------
 
 def slow_kernel(s, t, n, decay):
