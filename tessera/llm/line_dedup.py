@@ -3,14 +3,18 @@
 A text is cut into units: at every line end, and within a line after sentence
 ends once a unit has ``least_words`` words (so short sentences join the next
 one, and units fall into step again soon after any place where texts begin to
-agree). A unit is normalised (A-Z folded, words one space apart) and known by a
+agree). Short lines in a row join into units of their own: one ends with a line
+whose checksum is even once it has enough words, so these units too fall into
+step wherever they begin. Scripts without spaces count two characters as a
+word, and their full stops end sentences. A unit is normalised (A-Z folded, words one space apart) and known by a
 128-bit digest. Digests are grouped over all documents, with sums made before
 the shuffle; the earliest occurrence by (rank, offset) of each is kept and the
 others are removed. Every removed unit is reported with its offsets in the
 original text.
 
 Units with fewer than ``least_words`` words are never removed: such lines repeat
-by chance in clean documents.
+by chance in clean documents. What is left of a row of short lines before a
+longer one is such a unit.
 
 The text is read twice: once to find the digests that occur more than once, once
 to list their occurrences. A bit filter (32 MB at most) keeps other units from
@@ -39,7 +43,9 @@ from tessera.llm import bloom
 from tessera.llm.common import Stage, free_name, table
 
 LEAST_WORDS = 7
-_END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|\n+")
+_END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|(?:\xe3\x80\x82|\xef\xbc[\x81\x9f])+|\n+")
+#: Characters of Chinese, Japanese, Thai and Lao.
+_WIDE = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2}")
 
 
 def units(text: bytes | None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, bytes]]:
@@ -47,19 +53,41 @@ def units(text: bytes | None, least_words: int = LEAST_WORDS) -> list[tuple[int,
     if not text:
         return []
     out, start = [], 0
+    run, run_size = 0, 0  # where the short lines before this one begin, and their words
+
+    def add(start: int, part: bytes, words: list[bytes]) -> None:
+        out.append((start + len(part) - len(part.lstrip()), start + len(part.rstrip()), len(words), xxhash.xxh128_digest(b" ".join(words))))
+
+    def add_run(end: int) -> None:
+        part = text[run:end]
+        add(run, part, part.lower().split())
+
     ends = [(m.end(), m.group()[:1] == b"\n") for m in _END.finditer(text)]
     ends.append((len(text), True))
     for end, line in ends:
         part = text[start:end]
-        if not line and part.count(b" ") + 1 < least_words:
+        if not line and part.count(b" ") + 1 < least_words and part.isascii():
             continue
         words = part.lower().split()
-        if len(words) >= least_words:
-            lead = len(part) - len(part.lstrip())
-            out.append((start + lead, start + len(part.rstrip()), len(words), xxhash.xxh128_digest(b" ".join(words))))
+        size = len(words)
+        if size < least_words and not part.isascii():
+            size += len(_WIDE.findall(part)) // 2
+        if size >= least_words:
+            if run_size >= least_words:
+                add_run(start)
+            run_size = 0
+            add(start, part, words)
         elif not line:
             continue
+        elif words:
+            run = run if run_size else start
+            run_size += size
+            if run_size >= least_words and (run_size >= 4 * least_words or not xxhash.xxh64_intdigest(b" ".join(words)) & 1):
+                add_run(end)
+                run_size = 0
         start = end
+    if run_size >= least_words:
+        add_run(len(text))
     return out
 
 

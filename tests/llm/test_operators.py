@@ -286,6 +286,20 @@ def test_line_dedup_removes_shared_passages(spark):
     assert b"Nine ten" in b"".join(raw[c.byte_start : c.byte_start + c.byte_length] for c in cut) and got[2].removed_spans == "x"
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    verse = "\n".join(" ".join(word() for _ in range(3)) for _ in range(60))
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(40))
+    sentences = "".join("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(20)) + "。" for _ in range(6))
+    long = " ".join(word() for _ in range(12))
+    rows = [(1, verse), (2, verse), (3, f"{word()}\n{word()} {word()}\n{verse}\n{word()}"), (4, han), (5, f"x\n{han}"), (6, f"{sentences}"), (7, f"开始。{sentences}"), (8, f"one\n{long}"), (9, f"two heads\n{long}")]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == verse and got[4] == han and got[6] == sentences
+    assert len(got[2].split()) < line_dedup.LEAST_WORDS and len(got[3].split()) < 50, "in step soon, wherever the lines begin"
+    assert got[5].split() == ["x"] and len(got[7]) < len(sentences) // 3 and got[9].split() == ["two", "heads"]
+
+
 def test_line_dedup_odd(odd, none):
     assert {r.doc_id for r in line_dedup.repeated_units(odd).collect()} <= {4, 6}
     assert line_dedup.remove_repeats(odd).count() == len(ODD) and line_dedup.remove_repeats(none).count() == 0
