@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,9 +251,60 @@ def test_near_dedup_of_large_groups(spark, k, percent):
     assert got == want
 
 
+def test_near_dedup_of_a_template_family(spark, monkeypatch):
+    """Many texts just under the threshold from one another, and partners just over it; leaves and blocks are small here."""
+    monkeypatch.setattr(near_dedup, "SMALL", 24)
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(600)]
+
+    def change(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rng.randrange(600)] = word()
+        return w
+
+    rows = [(i, " ".join(change(base, 11))) for i in range(180)]
+    for i in range(180, 210, 2):
+        half = change(base, 4)
+        rows += [(i, " ".join(change(half, 7))), (i + 1, " ".join(change(half, 7)))]
+    want = slow_components(rows, 3, 85)
+    assert 10 < sum(c != i for i, (_, c) in want.items()) < 80
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, percent=85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == want
+
+
+def test_near_dedup_of_tiles():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(40)]
+    sides = np.array([0] * 25 + [1] * 15)
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 40), pa.array(sides), pa.array(range(40)), pa.array(range(40)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["tile", "side", "id", "comp", "set"])
+    links = [(a, b) for out in near_dedup._exact_tiles(20, columns=16)(iter([batch.slice(0, 9), batch.slice(9)])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    true = {(a, b) for a in range(25) for b in range(25, 40) if len(sets[a]) and 5 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))}
+    assert links and set(links) <= true
+
+    def groups(pairs):
+        root = list(range(40))
+        for _ in range(40):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(links) == groups(true) and len(links) == 40 - len(set(groups(links)))
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [("b", text), ("a", text), (None, text), (None, other), (None, other), ("c", None), ("d", text + " more"), ("d", "something else here")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"))
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in found.collect()), key=str)
+    assert got == sorted([("b", "a", False), ("a", "a", True), (None, "a", False), (None, None, True), (None, None, True), ("c", "c", True), ("d", "a", False), ("d", "d", True)], key=str)
+
+
 def test_near_dedup_odd(spark, odd, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(odd).collect()}
-    assert got[1] == (0, 1) and got[2] == (0, 2) and got[5] == (0, 5) and got[4][1] == 3 and None not in got
+    assert got[1] == (0, 1) and got[2] == (0, 2) and got[5] == (0, 5) and got[4][1] == 3 and None in got
     assert near_dedup.near_duplicates(none).count() == 0
     assert near_dedup.recall(0.85) > 0.999 and near_dedup.recall(0.8) > 0.999
 
