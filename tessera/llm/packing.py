@@ -5,9 +5,11 @@ holds them; longer ones give full windows of the largest size and route what
 remains. Each tier is packed longest document first; the gap in a window is
 filled with the longest shorter documents that fit, from that tier or any
 shorter one, and only what no whole document fits is filled by cutting one.
-Every window is thus full, so nothing is padded but, at the end of a partition,
-what is left is cut into windows whose sizes are powers of two, which need no
-padding either. Windows are dealt to step groups of about ``step_tokens``
+Every window is thus full. At the end of a partition what is left fills windows
+of the tiers too; fewer tokens than the smallest tier remain then, and go to
+tail tiers, the powers of two below it, one window of each at most, so that
+nothing is padded. Their share falls with the partition's size (511 tokens of a
+partition at most); ``tier`` tells them from the others. Windows are dealt to step groups of about ``step_tokens``
 tokens, the longest first and always to the lightest group, so that groups
 carry equal loads and a like mix of tiers.
 
@@ -49,6 +51,7 @@ class Packer:
         self.tiers = sorted(tiers)
         if not self.tiers or any(t & (t - 1) or t < 1 for t in self.tiers):
             raise ValueError("tiers must be powers of two")
+        self.tail = [1 << b for b in reversed(range(self.tiers[0].bit_length() - 1))]
         self.step, self.buffer = step_tokens, buffer_tokens
         self.pending: list[tuple[int, int, object, int]] = []  # ascending length
         self.held = self.seen = self.groups = self.sequences = 0  # held: tokens pending
@@ -94,8 +97,11 @@ class Packer:
             flat = [(doc, start, length) for length, _, start, doc in reversed(self.pending)]
             total = sum(p[2] for p in flat)
             self.pending, self.held = [], 0
-            for bit in reversed(range(total.bit_length())):
-                size = total & (1 << bit)
+            sizes = []
+            for tier in (*reversed(self.tiers), *self.tail):
+                sizes += [tier] * (total // tier)
+                total %= tier
+            for size in sizes:
                 window, gap = [], size
                 while gap:
                     doc, start, length = flat.pop(0)
@@ -104,8 +110,7 @@ class Packer:
                     if take < length:
                         flat.insert(0, (doc, start + take, length - take))
                     gap -= take
-                if size:
-                    windows.append((size, window))
+                windows.append((size, window))
         n = max(1, round(sum(size for size, _ in windows) / self.step))
         loads = [(0, g) for g in range(n)]
         for size, window in sorted(windows, key=lambda x: -x[0]):

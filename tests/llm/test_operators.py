@@ -15,6 +15,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import attention_lm, bloom, components, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, registry, secret_scan, subwords, toxicity
@@ -136,7 +138,9 @@ def test_packer_of_many_short_documents():
             p = packing.Packer(buffer_tokens=buffer)
             out = [w for k, n in enumerate(lengths) for w in p.add(k, n)]
             out += p.finish()
-            assert all(size == sum(n for _, _, n in window) and size & (size - 1) == 0 for _, size, _, window in out)
+            assert all(size == sum(n for _, _, n in window) for _, size, _, window in out)
+            tail = Counter(size for _, size, _, _ in out if size not in packing.TIERS)
+            assert set(tail) <= {1 << b for b in range(9)} and set(tail.values()) <= {1}
             found = sorted((doc, start, n) for *_, window in out for doc, start, n in window)
             assert found and p.held == 0 and not p.pending
             for k, want in enumerate(lengths):
@@ -147,11 +151,27 @@ def test_packer_of_many_short_documents():
                 assert at == want
 
 
-@pytest.mark.parametrize("n", [65, 100, 511])
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 6), st.integers(1, 9000)), max_size=300), st.sampled_from([(512, 1024, 2048, 4096), (64, 4096), (8,)]), st.sampled_from([1, 700, 5000, 1 << 20]))
+def test_packer_places_each_token_once(lengths, tiers, buffer):
+    p = packing.Packer(tiers=tiers, buffer_tokens=buffer)
+    out = [w for k, n in enumerate(lengths) for w in p.add(k, n)] + list(p.finish())
+    tail = Counter(size for _, size, _, _ in out if size not in tiers)
+    assert all(size < tiers[0] and n == 1 for size, n in tail.items())
+    assert all(sum(n for _, _, n in window) == size for _, size, _, window in out)
+    places = sorted((doc, start, n) for *_, window in out for doc, start, n in window)
+    ends = Counter()
+    for doc, start, n in places:
+        assert start == ends[doc] and n > 0
+        ends[doc] += n
+    assert [ends[k] for k in range(len(lengths))] == lengths
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 100, 200, 511, 5000])
 def test_packing_of_empty_texts(spark, n):
-    rows = spark.createDataFrame([(i, None if i % 3 else "" if i % 2 else "a") for i in range(n)], "doc_id bigint, text string").coalesce(1)
-    pieces = packing.pack_documents(rows).collect()
-    assert {p.doc_id for p in pieces} == set(range(n)) and sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    texts = [(i, None if i % 3 else "" if i % 2 else "a") for i in range(n)] + [(n, "one long text among them " * 120)]
+    pieces = packing.pack_documents(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {p.doc_id for p in pieces} == set(range(n + 1)) and sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
 
 
 def test_packer_balances_groups():
