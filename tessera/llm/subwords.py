@@ -64,24 +64,30 @@ class Subwords(CachedWords):
         return self.model.encode(text, add_special_tokens=False).ids
 
     def learn(self, words) -> None:
-        rest, cores = [], {}
+        rest, cores, closed = [], {}, []
         for w in words:
             text = w.decode("utf-8", "replace")
             if text.isalpha():
-                cores.setdefault(text, []).append((w, b""))
+                cores[w] = text
             elif text[-1] in self.stops and text[:-1].isalpha():
-                cores.setdefault(text[:-1], []).append((w, self.stops[text[-1]]))
+                closed.append(w)
+                if w[:-1] not in self.cache:
+                    cores[w[:-1]] = text[:-1]
             else:
                 rest.append(w)
         names = list(cores)
-        for group, ids in zip(*self._encoded(names, " "), strict=True):
+        for k, ids in zip(range(0, len(names), self.many), self._encoded(list(cores.values()), " ")[1], strict=True):
+            group = names[k : k + self.many]
             cut = np.flatnonzero(self.is_end[ids]) + 1
-            if len(cut) != len(group):  # normalising has split a run of letters
-                rest += [w for g in group for w, _ in cores[g]]
-                continue
-            for name, part in zip(group, self._parts(ids, [0, *cut[:-1]], cut), strict=True):
-                for w, stop in cores[name]:
-                    self.cache[w] = part + stop
+            if len(cut) == len(group):
+                self.cache.update(zip(group, self._parts(ids, [0, *cut[:-1]], cut), strict=True))
+            else:  # normalising has split a run of letters
+                rest += group
+        for w in closed:
+            if (core := self.cache.get(w[:-1])) is None:
+                rest.append(w)
+            else:
+                self.cache[w] = core + self.stops[chr(w[-1])]
         alone = [w for w in rest if self.mark is None or self.mark.encode() in w]
         marked = [w for w in rest if self.mark is not None and self.mark.encode() not in w]
         for group, ids in zip(*self._encoded([w.decode("utf-8", "replace") for w in marked], f" {self.mark} "), strict=True):
