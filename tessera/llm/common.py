@@ -10,12 +10,15 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +95,14 @@ def free_name(columns: Iterable[str], name: str) -> str:
     return name
 
 
+@functools.cache
+def one_product_thread() -> None:
+    """Spark's tasks are the parallelism: numpy's library for matrix products takes one thread, where it can be told."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(str(path)).scipy_openblas_set_num_threads64_(1)
+
+
 _slot: dict = {}
 
 

@@ -15,19 +15,19 @@ the threshold), and what they propose is confirmed on full shingle sets. Only
 links between different components are looked for, so the work goes from cheap
 to thorough:
 
-1. in each small leaf, every set's best partner and the hub's; in a large leaf
-   (more than SMALL sets, or very long ones) each set against a few pivots;
-2. large leaves again, with pivots from outside their main component;
-3. in large leaves, what is still outside the main component meets every other
-   member: members are dealt to blocks, and every two blocks are a tile, compared
-   exhaustively like a small leaf;
-4. small leaves and tiles that had more candidates than they gave: all of them,
-   where they are at most four a member;
-5. otherwise (many pairs close to the threshold) the intersections of all full
+1. in the leaves of the first ``early`` trees: in a small leaf, every set's best
+   partner and the hub's; in a large one (more than SMALL sets, or very long
+   ones) each set against four pivots;
+2. in every leaf that still holds several components, the same; a large one is cut
+   into blocks first: what is outside its main component meets every other
+   member, every two blocks being a tile, compared exhaustively like a small leaf;
+3. leaves and tiles that had more candidates than they gave: all of them, where
+   they are at most four a member;
+4. otherwise (many pairs close to the threshold) the intersections of all full
    sets of the tile, by matrix products; a tile gives a forest of its links.
 
 Pivots only spare work: every pair of a leaf that they leave in different
-components is compared in 3 to 5. Nothing is capped. A link of exactly the
+components is compared in 2 to 4. Nothing is capped. A link of exactly the
 threshold is missed where no tree brings it together (``recall``; 1.4 in 100,000
 at 0.85, 4.4 in 10,000 at 0.8) or its estimate falls MARGIN deviations short.
 
@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import bloom
-from tessera.llm.common import Stage, table, worker_slot
+from tessera.llm.common import Stage, one_product_thread, table, worker_slot
 from tessera.llm.components import components
 
 HASHES = 256
@@ -258,17 +258,18 @@ def _tiles(least: int, best_only: bool):
                 n = int(np.count_nonzero(ok))
                 if not n:
                     continue
-                if n <= 4 * (t - h):
+                if n <= 2 or not best_only and n <= 4 * (t - h):
                     x, y = np.nonzero(ok)
                 elif best_only:
-                    more.append(tile[h])
                     sure = np.where(ok, est, 0)
                     rows, cols = np.arange(len(i)), np.arange(len(j))
                     hub_row, hub_col = ok.sum(1).argmax(), ok.sum(0).argmax()
                     x = np.concatenate([rows, sure.argmax(0), np.full(len(j), hub_row), rows])
                     y = np.concatenate([sure.argmax(1), cols, cols, np.full(len(i), hub_col)])
                     keep = ok[x, y]
-                    x, y = x[keep], y[keep]
+                    x, y = np.unique(np.stack([x[keep], y[keep]]), axis=1)
+                    if len(x) < n:
+                        more.append(tile[h])
                 else:
                     more.append(tile[h])
                     continue
@@ -288,6 +289,7 @@ def _exact_tiles(percent: int, columns: int = 4096):
     Sizes of all intersections come from products of blocks of the 0-1 matrix of sets and shingles."""
 
     def run(batches):
+        one_product_thread()
         for whole, _, bounds in _whole_tiles(batches):
             side, ids, comps = (whole.column(i).to_numpy() for i in (1, 2, 3))
             raw = whole.column(4)
@@ -373,7 +375,7 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = TREES, pivot_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = TREES, early: int = 3) -> DataFrame:
     """A row a document: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     stage = Stage(spark)
@@ -386,7 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = sets.select("id", "sig")
 
     # leaves that one set alone reaches go first; numbers alone shuffle here, signatures follow where they are needed
-    at = sets.select("id", "n", F.explode("leaves").alias("leaf"))
+    at = sets.select("id", "n", F.posexplode("leaves").alias("early", "leaf")).withColumn("early", F.col("early") % trees < early)
     n_sets = sets.count()
     bits = bloom.size_for(n_sets * trees * int(np.prod(FANS)))
     if n_sets * trees * int(np.prod(FANS)) < bits:
@@ -394,9 +396,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = stage.keep(at)
     big = (F.col("size") > SMALL) | (F.col("shingles") > SMALL * MEAN_SHINGLES)
     leaves = stage.keep(at.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1").withColumn("big", big))
-    members = stage.keep(at.join(leaves, "leaf").select("leaf", "id", "size", "shingles", "big"))
-    small = members.where("NOT big").select(F.col("leaf").alias("tile"), F.lit(0).alias("side"), "id")
-    large = members.where("big").select("leaf", "id", "size", "shingles")
+    members = stage.keep(at.join(leaves, "leaf").select("leaf", "id", "size", "shingles", "big", "early"))
+    small = members.where("NOT big").select(F.col("leaf").alias("tile"), F.lit(0).alias("side"), "id", "early")
+    large = members.where("big").select("leaf", "id", "size", "shingles", "early")
     any_large = leaves.where("big").limit(1).count() > 0
 
     involved = stage.keep(copies.join(members.select("id").distinct(), "id").select("print", "id", "rep"))
@@ -406,7 +408,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = maybe.mapInArrow(_sets(shingle), "print binary, set binary").where("print IS NOT NULL").dropDuplicates(["print"])
     full = stage.keep(full.join(involved, "print").select("id", "set"))
 
-    links, labels = None, None
+    labels = None
     share = percent / 100
     least = int(np.floor(HASHES * (share - MARGIN * np.sqrt(share * (1 - share) / HASHES))))
 
@@ -419,14 +421,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = with_component(tiles).join(sigs, "id").select("tile", "side", "id", "sig", "comp")
         return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(least, best_only), PAIR)
 
-    def link(new: DataFrame) -> bool:
-        """Takes new links (a, b) in; are there any?"""
-        nonlocal links, labels
-        if not new.limit(1).count():
-            return False
-        links = new if links is None else links.unionByName(new)
-        labels = components(links, "a", "b", stage)
-        return True
+    def link(new: DataFrame) -> None:
+        """Takes new links (a, b) in: what they join are the components so far."""
+        nonlocal labels
+        between = with_component(new.withColumnRenamed("a", "id")).select("b", F.col("comp").alias("a"))
+        between = with_component(between.withColumnRenamed("b", "id")).select("a", F.col("comp").alias("b")).where("a <> b").distinct()
+        between = stage.keep(between)
+        if between.limit(1).count():
+            joined = components(between, "a", "b", stage)
+            if labels is not None:
+                more = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+                moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+                joined = stage.keep(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(more))
+            labels = joined
 
     def confirmed(found: DataFrame) -> DataFrame:
         pairs = found.where("tile IS NULL AND a <> b").select("a", "b").distinct()
@@ -441,41 +448,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = pivots.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), slots - 1))).drop("size")
         return dealt.join(held, ["leaf", "slot"]).select("id", "sig", "comp", "pivots").mapInArrow(_pivot_pairs(least), PAIR)
 
-    def pivots_of(rows: DataFrame, n: int, seed: int) -> DataFrame:
-        one = rows.groupBy("leaf", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("k")).agg(F.first("size").alias("size"), F.min_by(F.struct("id", "sig", "comp"), F.xxhash64("id", F.lit(seed))).alias("one"))
+    def pivots_of(rows: DataFrame, n: int = 4) -> DataFrame:
+        one = rows.groupBy("leaf", F.pmod(F.xxhash64("id"), F.lit(n)).alias("k")).agg(F.first("size").alias("size"), F.min_by(F.struct("id", "sig", "comp"), F.xxhash64("id")).alias("one"))
         return one.groupBy("leaf").agg(F.first("size").alias("size"), F.collect_list("one").alias("pivots"))
 
-    found = compared(small, best_only=True)
+    # the first trees join most of what is alike; later only leaves of several components are looked at
+    found = compared(small.where("early"), best_only=True)
     if any_large:
-        now = large.withColumn("comp", F.col("id")).join(sigs, "id")
-        found = found.unionByName(against_pivots(now, stage.keep(pivots_of(now, 4, 0))))
+        now = large.where("early").withColumn("comp", F.col("id")).join(sigs, "id")
+        found = found.unionByName(against_pivots(now, stage.keep(pivots_of(now))))
     found = stage.keep(found)
-    more = small.join(stage.keep(found.where("tile IS NOT NULL").select("tile").distinct()), "tile", "left_semi")
+    left = stage.keep(found.where("tile IS NOT NULL").select("tile").distinct())
     link(confirmed(found))
 
+    tiles = small.where("NOT early").unionByName(small.where("early").join(left, "tile", "left_semi")).drop("early")
+    if labels is not None:
+        open_ = with_component(tiles).groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tile")
+        tiles = tiles.join(open_, "tile", "left_semi")
     if any_large:
-        for round_ in range(1, pivot_rounds + 1):
-            now = stage.keep(with_component(large))
-            held = now.groupBy("leaf", "comp").agg(F.count(F.lit(1)).alias("held"))
-            main = stage.keep(held.groupBy("leaf").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.max("held").alias("in_main")))
-            now = now.join(main.join(leaves.select("leaf", "size"), "leaf").where("in_main < size").select("leaf", "main", "in_main"), "leaf")
-            if round_ < pivot_rounds:
-                with_sig = now.join(sigs, "id")
-                if not link(confirmed(stage.keep(against_pivots(with_sig, stage.keep(pivots_of(with_sig.where("comp <> main"), 16, round_)))))):
-                    break
-        # what pivots have not joined to a leaf's main component meets every other member, block by block
-        outs = F.ceil(F.greatest((F.col("size") - F.col("in_main")) / BLOCK, (F.col("size") - F.col("in_main")) * F.col("shingles") / F.col("size") / (BLOCK * MEAN_SHINGLES)))
-        mains = F.ceil(F.greatest(F.col("in_main") / BLOCK, F.col("in_main") * F.col("shingles") / F.col("size") / (BLOCK * MEAN_SHINGLES)))
+        now = with_component(large)
+        held = now.groupBy("leaf", "comp").agg(F.count(F.lit(1)).alias("held"))
+        main = stage.keep(held.groupBy("leaf").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.max("held").alias("in_main")))
+        now = now.join(main, "leaf").where("in_main < size")
+        # what is outside a leaf's main component meets every other member, block by block
+        outside = F.col("size") - F.col("in_main")
+        mean = F.col("shingles") / F.col("size") / MEAN_SHINGLES  # a block of long sets holds fewer
+        outs, mains = (F.ceil(n / BLOCK * F.greatest(F.lit(1.0), mean)) for n in (outside, F.col("in_main")))
         h = F.xxhash64("id", F.lit(77))
         blocks = now.select("leaf", "id", outs.alias("outs"), (outs + mains).alias("blocks"), F.when(F.col("comp") != F.col("main"), F.pmod(h, outs)).otherwise(outs + F.pmod(h, mains)).alias("mine"))
         # a block of outsiders meets itself and every later block
         as_first = blocks.where("mine < outs").select("leaf", "id", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j")).withColumn("side", F.lit(0))
         as_second = blocks.where("mine > 0").select("leaf", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("mine"), F.col("outs")) - 1)).alias("i"), F.col("mine").alias("j")).withColumn("side", F.lit(1))
-        tiles = as_first.unionByName(as_second).select(F.xxhash64("leaf", "i", "j").alias("tile"), "side", "id")
-        found = stage.keep(compared(tiles, best_only=True))
-        tiles = tiles.join(stage.keep(found.where("tile IS NOT NULL").select("tile").distinct()), "tile", "left_semi")
-        more = more.unionByName(tiles)
-        link(confirmed(found))
+        tiles = tiles.unionByName(as_first.unionByName(as_second).select(F.xxhash64("leaf", "i", "j").alias("tile"), "side", "id"))
+    tiles = stage.keep(tiles)
+    found = stage.keep(compared(tiles, best_only=True))
+    more = tiles.join(found.where("tile IS NOT NULL").select("tile").distinct(), "tile", "left_semi")
+    link(confirmed(found))
 
     # tiles that hold more: all pairs between components where they are few, full sets where they are many
     more = stage.keep(more)
