@@ -1,53 +1,65 @@
 """A causal self-attention language model in numpy, on ids of a public subword vocabulary.
 
-A token's probability is that of its class, which the model predicts from what
-comes before, times the token's share in its class over all training text. The
-most frequent tokens are classes of their own; the others join the class of
-those that stand between like neighbours (k-means). The model has one causal
-self-attention layer over the classes of the last ``window`` tokens.
-
-Windows overlap: each gives the last ``stride`` of its places a score and the
+The ``HEAD - GROUPS`` most frequent subwords are output slots of their own, dealt
+to ``GROUPS`` groups of like neighbours; the rest of the vocabulary shares one more
+slot in each group, and a subword of these has its share of that slot's count. A
+token's probability is that of its group times that of its slot in the group
+(times its share). Both come from two sums of scores:
+
+* the direct path from the token before: how often slots follow one another in
+  all training text (absolute discounting), as logarithms;
+* a causal self-attention layer over the subword ids of the last ``WINDOW`` tokens,
+  whose output moves the groups' and the slots' scores.
+
+Windows overlap: each gives the last ``STRIDE`` of its places a score and the
 places before them context, so every token is scored once, by batches of
-windows in one masked attention.
-
-What is learned covers all training rows: word counts (one shuffle of words,
-summed per task first), the tokens' counts from them, and training that is
-data-parallel: every partition trains a copy of the weights on its share
-(``rate``, a fixed part of the documents, so it grows with the input) and the
-copies are averaged, ``rounds`` times. Nothing but the averages, the vocabulary's
-counts (bounded by the vocabulary) and the ``hot_words`` most frequent words (a
-fixed bound) reaches the driver.
-
-The base score is an add-one word unigram. A word's probability in the model is
-a mixture of that unigram's (a share of ``mix``) and of the attention model's for the
-word's tokens after all that came before, so that words too rare for the
-subword model's classes keep what their counts tell. Words among the hot ones
-are looked up where the text is; the others join with the table of counts.
+windows in one masked attention. In training, windows follow one another and
+every place in them is a target.
+
+Everything learned covers all training rows: word counts and slot pairs (sums made
+in the tasks first), and one epoch of training that is data-parallel: in each of
+``rounds`` rounds every partition trains a copy of the weights on its rows of
+that round (each row belongs to one round), and the copies are averaged by
+their tokens. Only averages, counts bounded by the vocabulary (50 thousand
+tokens, HEAD squared pairs) and the ``hot_words`` most frequent words (a fixed
+bound) reach the driver.
+
+The base score is an add-one word unigram. It takes no part in the model's score.
+Words among the hot ones are looked up where the text is; the others join with
+the table of counts. Texts are tokenised once; training and scoring read ids.
 
 Defined cases: null text is empty and scores its end token; without training
-rows all classes are even; ids may be null or repeat, each row has its own
-score; an empty table gives an empty result.
+rows all slots are even; ids may be null or repeat, each row has its own
+score; an empty table gives an empty result; other columns are kept, those named
+like a result are replaced.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import sum_over_partitions
-from tessera.llm.common import Stage, free_name, id_bucket, table
+from tessera.llm.common import Stage, id_bucket, one_product_thread, table
 from tessera.llm.subwords import byte_pairs
 
 END_WORD = b""
-CLASSES, SINGLES, DIM, WINDOW, STRIDE = 64, 32, 16, 16, 8
-NEIGHBOURS, CLUSTERED = 32, 1024
+GROUPS, SLOTS, DIM, WINDOW, STRIDE = 32, 32, 8, 16, 8
+HEAD, LEAD = GROUPS * SLOTS, WINDOW - STRIDE
+#: What stands before a text.
+BEGIN = HEAD
+DISCOUNT = 0.75
+_ROOT = np.float32(DIM**0.5)
+_PLACES = np.arange(WINDOW)
+_MASK = np.where(_PLACES[None, :] <= _PLACES[:, None], 0, -1e9).astype(np.float32)
 
 
 def end_id(size: int) -> int:
@@ -61,141 +73,234 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Lm:
-    token_class: np.ndarray  # of each token
-    token_share: np.ndarray  # natural log of its share in its class
+    slot: np.ndarray  # of each token
+    share: np.ndarray  # natural log of its share in its slot
+    group_after: np.ndarray  # natural log probability of each group after each slot
+    slot_after: np.ndarray  # of each slot in its group, after each slot
     weights: dict[str, np.ndarray]
 
     @staticmethod
     def shapes() -> dict[str, tuple[int, ...]]:
-        return {"E": (CLASSES + 1, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,)}
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.weights[k].ravel() for k in self.shapes()])
+        return {"E": (HEAD + 1, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "G": (DIM, GROUPS), "S": (GROUPS, DIM, SLOTS)}
 
-    def unflat(self, x: np.ndarray) -> Lm:
+    @staticmethod
+    def views(x: np.ndarray) -> dict[str, np.ndarray]:
+        """Parts of one array of all weights, by name."""
         out, at = {}, 0
-        for k, shape in self.shapes().items():
+        for k, shape in Lm.shapes().items():
             n = int(np.prod(shape))
-            out[k] = np.asarray(x[at : at + n], np.float32).reshape(shape)
+            out[k] = x[at : at + n].reshape(shape)
             at += n
-        return Lm(self.token_class, self.token_share, out)
+        return out
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.weights[k].ravel() for k in self.shapes()])
 
+    def with_weights(self, x: np.ndarray) -> Lm:
+        return Lm(self.slot, self.share, self.group_after, self.slot_after, self.views(np.asarray(x, np.float32)))
 
-_FUTURE = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 
+def first_weights(seed: int = 7) -> dict[str, np.ndarray]:
+    """The output starts at zero: the model begins as its direct path."""
+    rng = np.random.default_rng(seed)
+    return {k: (0 if k in "GS" else 0.1) * rng.standard_normal(shape).astype(np.float32) for k, shape in Lm.shapes().items()}
 
-def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of input classes, the STRIDE targets of each (-1: none), and the document of each window.
 
-    A document begins with places of a class of its own (number CLASSES)."""
-    lead = WINDOW - STRIDE
-    flat, goal, first, owner, at = [], [], [], [], 0
-    for i, c in enumerate(classes):
-        n = -(-len(c) // STRIDE)
-        flat += [np.full(lead + 1, CLASSES, np.int64), c[:-1], np.zeros(n * STRIDE - len(c), np.int64)]
-        goal += [c, np.full(n * STRIDE - len(c), -1, np.int64)]
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of many texts in a row, each with room before it; where scoring windows begin; the targets of each (-1: none)."""
+    flat, goal, first, at = [], [], [], 0
+    for s in texts:
+        n = -(-len(s) // STRIDE)
+        spare = n * STRIDE - len(s)
+        flat += [np.full(LEAD + 1, BEGIN, np.int16), s[:-1], np.zeros(spare, np.int16)]
+        goal += [s, np.full(spare, -1, np.int16)]
         first.append(at + STRIDE * np.arange(n))
-        owner.append(np.full(n, i))
-        at += lead + n * STRIDE
+        at += LEAD + n * STRIDE
     if not flat:
-        return np.zeros((0, WINDOW), np.int64), np.zeros((0, STRIDE), np.int64), np.zeros(0, np.int64)
-    x = np.concatenate(flat)[np.concatenate(first)[:, None] + np.arange(WINDOW)]
-    return x, np.concatenate(goal).reshape(-1, STRIDE).astype(np.int64), np.concatenate(owner)
-
-
-def log_probs(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, batch: int = 1024) -> np.ndarray:
-    """The targets' natural log probabilities."""
-    out = np.zeros(y.shape, np.float32)
-    # a place's vectors depend on its class and its number in the window only
-    at = w["E"][:, None] + w["P"][None]
-    q, k, v, r = ((at @ w["Q"]) / np.float32(DIM**0.5), at @ w["K"], at @ w["V"], at)
-    q, k, v, r = (t.reshape(-1, DIM) for t in (q, k, v, r))
-    place = np.arange(WINDOW)
-    for s in range(0, len(x), batch):
-        i = x[s : s + batch] * WINDOW + place
-        j = i[:, WINDOW - STRIDE :]
-        a = q[j] @ k[i].transpose(0, 2, 1)
+        return np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros((0, STRIDE), np.int16)
+    return np.concatenate(flat), np.concatenate(first), np.concatenate(goal).reshape(-1, STRIDE)
+
+
+def training_windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows one after another: inputs, and a target for every place (-1: none)."""
+    flat, goal = [], []
+    for s in texts:
+        spare = -len(s) % WINDOW
+        flat += [np.full(1, BEGIN, np.int16), s[:-1], np.zeros(spare, np.int16)]
+        goal += [s, np.full(spare, -1, np.int16)]
+    if not flat:
+        return np.zeros((0, WINDOW), np.int16), np.zeros((0, WINDOW), np.int16)
+    return np.concatenate(flat).reshape(-1, WINDOW), np.concatenate(goal).reshape(-1, WINDOW)
+
+
+def _by_group(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of targets by group, and where each group begins in it."""
+    g = (goal // SLOTS).astype(np.uint8)
+    order = np.argsort(g, kind="stable")
+    return order, np.searchsorted(g[order], np.arange(GROUPS + 1))
+
+
+def log_probs(lm: Lm, flat: np.ndarray, first: np.ndarray, goals: np.ndarray, batch: int = 1024) -> np.ndarray:
+    """The targets' natural log probabilities, by slot."""
+    w, out = lm.weights, np.zeros(goals.shape, np.float32)
+    # a place's vectors depend on its token and its number in the window only
+    at = (w["E"][:, None] + w["P"][None]).reshape(-1, DIM)
+    tq, tk, tv = at @ (w["Q"] / _ROOT), at @ w["K"], at @ w["V"]
+    for b in range(0, len(first), batch):
+        x = flat[first[b : b + batch, None] + _PLACES].astype(np.int64)
+        i = x * WINDOW + _PLACES
+        a = tq[i[:, LEAD:]] @ tk[i].transpose(0, 2, 1)
         np.minimum(a, 60, out=a)  # exp stays finite; trained scores are far below
-        a += _FUTURE
+        a += _MASK[LEAD:]
         np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
-        h = a @ v[i]
-        h += r[j]
-        z = h.reshape(-1, DIM) @ w["U"]
-        z += w["b"]
-        np.clip(z, -60, 60, out=z)
-        goal = y[s : s + batch].ravel()
-        got = z[np.arange(len(z)), goal]
+        h = (a @ tv[i]).reshape(-1, DIM)
+        before, goal = x[:, LEAD:].ravel(), np.maximum(goals[b : b + batch].ravel(), 0).astype(np.int64)
+        row = np.arange(len(goal))
+        z = h @ w["G"]
+        z += lm.group_after[before]
+        got = z[row, goal // SLOTS]
+        np.exp(z, out=z)
+        found = got - np.log(z.sum(-1))
+        order, cut = _by_group(goal)
+        hs, z = h[order], np.empty((len(goal), SLOTS), np.float32)
+        for g in range(GROUPS):
+            np.matmul(hs[cut[g] : cut[g + 1]], w["S"][g], out=z[cut[g] : cut[g + 1]])
+        of = goal[order]
+        z += lm.slot_after[before[order], of // SLOTS]
+        got = z[row, of % SLOTS]
         np.exp(z, out=z)
-        out[s : s + batch] = (got - np.log(z.sum(-1))).reshape(-1, STRIDE)
+        found[order] += got - np.log(z.sum(-1))
+        out[b : b + batch] = found.reshape(-1, STRIDE)
     return out
 
 
-def gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean loss over the targets."""
-    n, lead = len(x), WINDOW - STRIDE
-    at = w["E"][x] + w["P"]
-    last = at[:, lead:]
-    root = np.float32(DIM**0.5)
-    q, k, v = last @ w["Q"] / root, at @ w["K"], at @ w["V"]
-    a = q @ k.transpose(0, 2, 1) + _FUTURE
-    a = np.exp(a - a.max(-1, keepdims=True))
+def _shares(z: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """In place: the loss's gradient by the scores z, whose right ones stand at ``at``."""
+    np.exp(z, out=z)
+    z *= (weight / z.sum(-1))[:, None]
+    z[np.arange(len(z)), at] -= weight
+    return z
+
+
+def gradient(lm: Lm, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean loss over the targets of training windows."""
+    w, n, ids = lm.weights, len(x), x.ravel().astype(np.int64)
+    at = (w["E"][x] + w["P"]).reshape(-1, DIM)
+    inward = np.concatenate([w["Q"] / _ROOT, w["K"], w["V"]], 1)
+    q, k, v = ((at @ inward)[:, i * DIM : (i + 1) * DIM].reshape(n, WINDOW, DIM) for i in range(3))
+    a = q @ k.transpose(0, 2, 1)
+    np.minimum(a, 60, out=a)
+    a += _MASK
+    np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
-    h = last + a @ v
-    z = h.reshape(-1, DIM) @ w["U"] + w["b"]
-    z = np.exp(z - z.max(-1, keepdims=True))
-    z /= z.sum(-1, keepdims=True)
-    goal = y.ravel()
-    z[np.arange(len(z)), goal] -= 1
-    z *= (goal >= 0)[:, None] / np.float32(max(1, (goal >= 0).sum()))
-    g = {"U": h.reshape(-1, DIM).T @ z, "b": z.sum(0)}
-    dh = (z @ w["U"].T).reshape(n, STRIDE, DIM)
-    dv = a.transpose(0, 2, 1) @ dh
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q
-    flat = at.reshape(-1, DIM)
-    g["Q"], g["K"], g["V"] = last.reshape(-1, DIM).T @ dq.reshape(-1, DIM), flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, lead:] += dh + dq @ w["Q"].T
-    g["P"] = dx.sum(0)
-    ids = x.ravel()
-    g["E"] = np.stack([np.bincount(ids, dx.reshape(-1, DIM)[:, d], CLASSES + 1) for d in range(DIM)], 1).astype(np.float32)
-    return g
-
-
-def train_on(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rate: float, batch: int = 64) -> dict[str, np.ndarray]:
-    """One pass of Adam over the windows."""
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    order = np.random.default_rng(len(x)).permutation(len(x))
-    for t, k0 in enumerate(range(0, len(x), batch), 1):
-        pick = order[k0 : k0 + batch]
-        for k, g in gradient(w, x[pick], y[pick]).items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            s[k] = 0.99 * s[k] + 0.01 * g * g
-            w[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-    return w
-
-
-def classes_of(counts: np.ndarray, left: np.ndarray, right: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Class of each token. left, right: how often each of the top tokens stands beside the NEIGHBOURS most frequent ones."""
-    token_class = np.full(len(counts), CLASSES - 1, np.int64)
-    token_class[top[:SINGLES]] = np.arange(min(SINGLES, len(top)))
-    rest = top[SINGLES:]
-    n = CLASSES - SINGLES - 1
-    if len(rest):
-        f = np.log1p(np.concatenate([left, right], 1)[SINGLES : SINGLES + len(rest)])
-        f /= np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-9)
-        centre = f[np.linspace(0, len(f) - 1, min(n, len(f))).astype(int)]
-        for _ in range(15):
-            near = (f @ centre.T).argmax(1)
-            for c in range(len(centre)):
-                if (near == c).any():
-                    centre[c] = f[near == c].mean(0)
-            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-        token_class[rest] = SINGLES + near
-    return token_class
+    h = (a @ v).reshape(-1, DIM)
+    goal = y.ravel().astype(np.int64)
+    weight = (goal >= 0) / np.maximum((goal >= 0).sum(), 1, dtype=at.dtype).astype(at.dtype)
+    goal = np.maximum(goal, 0)
+    z = h @ w["G"]
+    z += lm.group_after[ids]
+    _shares(z, goal // SLOTS, weight)
+    out = {"G": h.T @ z}
+    dh = z @ w["G"].T
+    order, cut = _by_group(goal)
+    hs, of = h[order], goal[order]
+    t, back, out["S"] = np.empty((len(goal), SLOTS), at.dtype), np.empty_like(h), np.empty_like(w["S"])
+    for g in range(GROUPS):
+        np.matmul(hs[cut[g] : cut[g + 1]], w["S"][g], out=t[cut[g] : cut[g + 1]])
+    t += lm.slot_after[ids[order], of // SLOTS]
+    _shares(t, of % SLOTS, weight[order])
+    for g in range(GROUPS):
+        part = slice(cut[g], cut[g + 1])
+        np.matmul(hs[part].T, t[part], out=out["S"][g])
+        np.matmul(t[part], w["S"][g].T, out=back[part])
+    dh[order] += back
+    do = dh.reshape(n, WINDOW, DIM)
+    da = do @ v.transpose(0, 2, 1)
+    da -= (da * a).sum(-1, keepdims=True)
+    da *= a
+    d = np.concatenate([(da @ k).reshape(-1, DIM), (da.transpose(0, 2, 1) @ q).reshape(-1, DIM), (a.transpose(0, 2, 1) @ do).reshape(-1, DIM)], 1)
+    into = at.T @ d
+    out["Q"], out["K"], out["V"] = into[:, :DIM] / _ROOT, into[:, DIM : 2 * DIM], into[:, 2 * DIM :]
+    dx = d @ inward.T
+    out["P"] = dx.reshape(n, WINDOW, DIM).sum(0)
+    by_id = np.argsort(ids.astype(np.uint16), kind="stable")
+    sorted_ids = ids[by_id]
+    head = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
+    out["E"] = np.zeros_like(w["E"])
+    out["E"][sorted_ids[head]] = np.add.reduceat(dx[by_id], head, axis=0)
+    return out
+
+
+class Adam:
+    """Training of one copy of the weights."""
+
+    def __init__(self, lm: Lm, rate: float) -> None:
+        self.x = lm.flat()
+        self.lm, self.rate, self.steps = lm.with_weights(self.x), rate, 0
+        self.m, self.s = np.zeros_like(self.x), np.zeros_like(self.x)
+
+    def learn(self, x: np.ndarray, y: np.ndarray, batch: int = 192) -> None:
+        order = np.random.default_rng(len(x)).permutation(len(x))
+        for b in range(0, len(x), batch):
+            pick = order[b : b + batch]
+            found = gradient(self.lm, x[pick], y[pick])
+            g = np.concatenate([found[k].ravel() for k in Lm.shapes()])
+            self.steps += 1
+            self.m += 0.1 * (g - self.m)
+            g *= g
+            self.s += 0.01 * (g - self.s)
+            g = np.sqrt(self.s)
+            g += 1e-7
+            np.divide(self.m, g, out=g)
+            g *= self.rate * (1 - 0.99**self.steps) ** 0.5 / (1 - 0.9**self.steps)
+            self.x -= g  # the model's weights are views of it
+
+
+def grouped(pairs: np.ndarray) -> np.ndarray:
+    """New numbers of the slots: those of frequent tokens are halved again and again along their main direction, until GROUPS groups are left.
+
+    pairs: how often slots (rows, BEGIN last) are followed by slots. The last slot of a group stays the rest's."""
+    n = HEAD - GROUPS
+    f = np.sqrt(np.concatenate([pairs[:n], pairs[:HEAD, :n].T], 1))
+    f /= np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-9)
+    parts = [np.arange(n)]
+    while len(parts) < GROUPS:
+        halves = []
+        for part in parts:
+            z = f[part] - f[part].mean(0)
+            along = np.argsort(np.linalg.eigh(z @ z.T)[1][:, -1], kind="stable")
+            halves += [part[along[: len(part) // 2]], part[along[len(part) // 2 :]]]
+        parts = halves
+    number = np.zeros(HEAD, np.int64)
+    for g, part in enumerate(parts):
+        number[np.sort(part)] = g * SLOTS + np.arange(len(part))
+        number[n + g] = g * SLOTS + SLOTS - 1
+    return number
+
+
+def direct_path(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of groups, and of slots in their group, after each slot."""
+    one = pairs.sum(0) + 0.5
+    one /= one.sum()
+    total, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
+    after = np.where(total > 0, (np.maximum(pairs - DISCOUNT, 0) + DISCOUNT * kinds * one) / np.maximum(total, 1), one).reshape(HEAD + 1, GROUPS, SLOTS)
+    group = after.sum(-1)
+    return np.log(group).astype(np.float32), np.log(after / group[..., None]).astype(np.float32)
+
+
+def _texts(batches, slot: np.ndarray, most: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """Texts as slots, many at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for raw in batch.column(batch.num_columns - 1).to_pylist():
+            held.append(slot[np.frombuffer(raw, np.uint16)])
+            n += len(held[-1])
+            if n >= most:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
 
 def word_counts(docs: DataFrame, text_col: str, stage: Stage, flush: int = 200_000) -> DataFrame:
@@ -222,106 +327,72 @@ def word_counts(docs: DataFrame, text_col: str, stage: Stage, flush: int = 200_0
     return stage.keep(docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
 
 
-def train(docs: DataFrame, counts: DataFrame, text_col: str, id_col: str, stage: Stage, path: str, rate: float = 1 / 32, rounds: int = 2, learning_rate: float = 0.01) -> Lm:
-    size = byte_pairs(path).size
+def _summed(ids: DataFrame, keys, size: int) -> np.ndarray:
+    """How often each of ``size`` keys occurs. keys: texts' ids -> array of keys."""
 
-    def token_counts(batches):
-        total = np.zeros(size)
-        sub = byte_pairs(path)
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                sub.cache.clear()
-                sub.learn([w for w in part if w])
-                ids = [np.frombuffer(sub.cache[w], np.uint16) if w else np.array([end_id(size)], np.uint16) for w in part]
-                np.add.at(total, np.concatenate(ids), np.repeat(n[k : k + 50_000], [len(i) for i in ids]))
-        return total
-
-    seen = sum_over_partitions(counts, token_counts, size)
-    top = np.argsort(-seen, kind="stable")[: max(1, min(CLUSTERED, int((seen > 0).sum())))]
-
-    picked = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lm")), F.lit(1 << 20)) < int(rate * (1 << 20))).select(F.col(text_col).cast("binary").alias("text"))
-
-    end = np.array([end_id(size)], "<u2").tobytes()
-
-    def tokenise(batches):
-        sub = byte_pairs(path)
-        for batch in batches:
-            ids = sub([words_of(t) for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([i + end for i in ids], pa.binary())], names=["ids"])
-
-    sample = stage.keep(picked.mapInArrow(tokenise, "ids binary"))
-
-    rank = np.full(size, -1, np.int64)
-    rank[top] = np.arange(len(top))
-
-    def neighbours(batches):
-        total = np.zeros((2, CLUSTERED, NEIGHBOURS))
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                r = rank[np.frombuffer(raw, np.uint16)]
-                for side, (a, b) in enumerate(((r[1:], r[:-1]), (r[:-1], r[1:]))):
-                    ok = (a >= 0) & (b >= 0) & (b < NEIGHBOURS)
-                    np.add.at(total[side], (a[ok], b[ok]), 1)
-        return total.ravel()
-
-    left, right = sum_over_partitions(sample, neighbours, 2 * CLUSTERED * NEIGHBOURS).reshape(2, CLUSTERED, NEIGHBOURS)
-    token_class = classes_of(seen, left, right, top)
-    in_class = np.bincount(token_class, seen + 1, CLASSES)
-    share = np.log((seen + 1) / in_class[token_class])
-
-    def followers(batches):
-        total = np.zeros((CLASSES, CLASSES))
+    def count(batches):
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                c = token_class[np.frombuffer(raw, np.uint16)]
-                total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-        return total.ravel()
-
-    # where training begins: the nearest model of this rank that sees one token back
-    pairs = sum_over_partitions(sample, followers, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-    one = (in_class + 0.5) / (in_class + 0.5).sum()  # a class may hold no token
-    given = (pairs + 5 * one) / (pairs + 5 * one).sum(1, keepdims=True)
-    a, s, b = np.linalg.svd(np.log(given / one), full_matrices=False)
-    rng = np.random.default_rng(7)
-    w = {k: 0.1 * rng.standard_normal(shape).astype(np.float32) for k, shape in Lm.shapes().items()}
-    w["E"][:CLASSES] = a[:, :DIM] * np.sqrt(s[:DIM])
-    w["E"][CLASSES] = 0
-    w["P"] *= 0.1
-    w["U"] = (b[:DIM] * np.sqrt(s[:DIM])[:, None]).astype(np.float32)
-    w["b"] = np.log(one).astype(np.float32)
-    lm = Lm(token_class, share.astype(np.float32), w)
+                found = keys(np.frombuffer(raw, np.uint16))
+                if len(found) > size // 8:
+                    total += np.bincount(found, minlength=size)
+                else:
+                    np.add.at(total, found, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["key", "n"])
+
+    out = np.zeros(size)
+    sums = ids.select("ids").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    for r in sums.toArrow().to_batches():  # at most size rows
+        out[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    return out
+
 
+def train(ids: DataFrame, size: int, rounds: int = 2, learning_rate: float = 0.01) -> Lm:
+    """One epoch over all rows of ids (uid, ids): texts as ids of a vocabulary of ``size``, 16 bits each."""
+    seen = _summed(ids, lambda t: t, size)
+    order = np.argsort(-seen, kind="stable")
+    slot = np.zeros(size, np.int64)
+    n = HEAD - GROUPS
+    slot[order[:n]] = np.arange(min(n, size))
+    rest = order[n:]
+    slot[rest] = n + np.arange(len(rest)) % GROUPS
+    pairs = _summed(ids, lambda t: np.append(BEGIN, slot[t[:-1]]) * HEAD + slot[t], (HEAD + 1) * HEAD).reshape(HEAD + 1, HEAD)
+    number = grouped(pairs)
+    moved = np.zeros_like(pairs)
+    moved[np.ix_(np.append(number, BEGIN), number)] = pairs
+    slot = number[slot]
+    share = np.log((seen + 1) / np.bincount(slot, seen + 1, HEAD)[slot])
+    lm = Lm(slot.astype(np.int16), share, *direct_path(moved), first_weights())
     for r in range(rounds):
 
         def local(batches, lm=lm, r=r):
-            total, n = None, 0
-            for batch in batches:
-                raws = batch.column(0).to_pylist()
-                for k in range(0, len(raws), 512):
-                    x, y, _ = windows([lm.token_class[np.frombuffer(raw, np.uint16)] for raw in raws[k : k + 512]])
-                    if len(x):
-                        lm = lm.unflat(np.concatenate([v.ravel() for v in train_on(lm.weights, x, y, learning_rate / (1 + r)).values()]))
-                        n += len(x)
-            return np.append(lm.flat() * n, n) if n else None
-
-        total = sum_over_partitions(sample, local, len(lm.flat()) + 1)
+            one_product_thread()
+            copy, n = Adam(lm, learning_rate / (1 + r)), 0
+            for texts in _texts(batches, lm.slot):
+                copy.learn(*training_windows(texts))
+                n += sum(map(len, texts))
+            return np.append(copy.x.astype(np.float64) * n, n) if n else None
+
+        rows = ids.where(F.pmod(F.xxhash64("uid"), F.lit(rounds)) == r).select("ids")
+        total = sum_over_partitions(rows, local, len(lm.flat()) + 1)
         if total[-1]:
-            lm = lm.unflat(total[:-1] / total[-1])
-    stage.drop(sample)
+            lm = lm.with_weights(total[:-1] / total[-1])
     return lm
 
 
-def score(docs: DataFrame, train_docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, hot_words: int = 200_000, rate: float = 1 / 32, rounds: int = 2, mix: float = 0.7) -> DataFrame:
-    """Every row of docs (its columns but the text) with n_tokens, n_known, train_tokens, base_score and score."""
+def score(docs: DataFrame, learn: Column | None = None, text_col: str = "text", path: str | None = None, hot_words: int = 200_000, rounds: int = 2, learning_rate: float = 0.01) -> DataFrame:
+    """Every row of docs (its columns but the text) with n_tokens, n_known, train_tokens, base_score and score.
+
+    learn: which rows to learn from; all, if not given."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    stage = Stage(docs.sparkSession)
-    counts = word_counts(train_docs, text_col, stage)
-    lm = train(train_docs, counts, text_col, id_col, stage, path, rate, rounds)
+    spark, stage = docs.sparkSession, Stage(docs.sparkSession)
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    counts = word_counts(docs.where(learn), text_col, stage)
     all_tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
     # the least count that at most hot_words words reach
     least, held = 1 << 62, 0
@@ -329,63 +400,65 @@ def score(docs: DataFrame, train_docs: DataFrame, text_col: str = "text", id_col
         if held + r["count"] > hot_words:
             break
         least, held = r["c"], held + r["count"]
-    hot = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= least).toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast((lm, hot))
+    hot = spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= least).toLocalIterator()})
     own = [c for c in docs.columns if c not in (text_col, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    extra = "uid bigint, n_tokens bigint, known bigint, base double, mixed double, rare array<struct<word: binary, lp: double>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema) + ", " + extra
-    whole_count = float(all_tokens + distinct + 1)
-
-    end_bytes = np.array([end_id(byte_pairs(path).size)], "<u2").tobytes()
+    names = {f"o{i}": c for i, c in enumerate(own)}
+    extra = "learn boolean, uid bigint, n_tokens bigint, known bigint, base double, rare array<binary>, ids binary"
+    kept = docs.select(*[F.col(c).alias(o) for o, c in names.items()], learn.alias("learn"), F.col(text_col).cast("binary").alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(own)]) + (", " if own else "") + extra
+    size = byte_pairs(path).size
+    end = np.array([end_id(size)], "<u2").tobytes()
 
-    def run(batches):
-        sub, (model, known) = byte_pairs(path), shared.value
+    def tokenise(batches):
+        sub, known = byte_pairs(path), hot.value
         uid = TaskContext.get().partitionId() << 33
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 part = whole.slice(k, 256)
-                docs_words = [words_of(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                parts = sub.by_word(docs_words)
-                ids = [np.frombuffer(b"".join([*p, end_bytes]), np.uint16) for p in parts]
-                x, y, _ = windows([model.token_class[i] for i in ids])
-                lp = log_probs(model.weights, x, y)[y >= 0] + model.token_share[np.concatenate(ids)]
-                # by word: the end counts as one
-                sizes = np.fromiter((n for p in parts for n in (*map(len, p), 2)), np.int64) // 2
-                run_ = np.append(0.0, np.cumsum(lp, dtype=np.float64))
-                stop = np.cumsum(sizes)
-                of_word = run_[stop] - run_[stop - sizes]
-                flat = [w for words in docs_words for w in (*words, END_WORD)]
+                texts = [words_of(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                n, ids = len(texts), [t + end for t in sub(texts)]
+                flat = [w for words in texts for w in (*words, END_WORD)]
                 seen = np.fromiter(map(known.get, flat, repeat(0)), np.int64, len(flat))
-                ok = seen > 0
-                owner = np.repeat(np.arange(len(ids)), [len(w) + 1 for w in docs_words])
-                base = np.bincount(owner[ok], np.log10(seen[ok] + 1), len(ids))
-                mixed = np.bincount(owner[ok], np.log10(mix * (seen[ok] + 1) / whole_count + (1 - mix) * np.exp(of_word[ok])), len(ids))
-                hits = np.bincount(owner[ok], minlength=len(ids))
-                few = np.flatnonzero(~ok)
-                few_of = np.searchsorted(few, np.append(0, np.cumsum(np.bincount(owner, minlength=len(ids)))))
-                items = pa.StructArray.from_arrays([pa.array([flat[i] for i in few], pa.binary()), pa.array(of_word[few], pa.float64())], names=["word", "lp"])
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(part.num_columns - 1)), pa.array(np.arange(uid, uid + n), pa.int64()), pa.array([len(w) + 1 for w in docs_words], pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(mixed, pa.float64()), pa.ListArray.from_arrays(pa.array(few_of, pa.int32()), items)],
-                    names=[*own, "uid", "n_tokens", "known", "base", "mixed", "rare"],
-                )
+                owner = np.repeat(np.arange(n), [len(w) + 1 for w in texts])
+                few = np.flatnonzero(seen == 0)
+                few_of = np.searchsorted(owner[few], np.arange(n + 1))
+                hits = np.bincount(owner, seen > 0, n).astype(np.int64)
+                base = np.bincount(owner, np.where(seen > 0, np.log10(seen + 1), 0), n)
+                rare = pa.ListArray.from_arrays(pa.array(few_of, pa.int32()), pa.array([flat[i] for i in few], pa.binary()))
+                cols = [pa.array(range(uid, uid + n), pa.int64()), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(hits), pa.array(base), rare, pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), *cols], names=[*names, "learn", "uid", "n_tokens", "known", "base", "rare", "ids"])
                 uid += n
 
-    done = stage.keep(docs.select(*own, F.col(text_col).cast("binary").alias(free_name(own, "_tess_text"))).mapInArrow(run, schema))
-    few = done.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.lp").alias("lp"))
-    c = F.coalesce("c", F.lit(0))
-    gain = F.log10(F.lit(mix / whole_count) * (c + 1) + F.lit(1 - mix) * F.exp("lp"))
-    found = few.join(counts, "word", "left").groupBy("uid").agg(F.count("c").alias("more"), F.sum(F.log10(c + 1)).alias("rare_base"), F.sum(gain).alias("rare_mixed"))
-    return done.drop("rare").join(found, "uid", "left").select(
-        *own,
+    done = stage.keep(kept.mapInArrow(tokenise, schema))
+    model = spark.sparkContext.broadcast(train(done.where("learn").select("uid", "ids"), size, rounds, learning_rate))
+
+    def run(batches):
+        one_product_thread()
+        lm = model.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                part = whole.slice(k, 512)
+                ids = [np.frombuffer(raw, np.uint16) for raw in part.column(part.num_columns - 1).to_pylist()]
+                flat, first, goals = joined([lm.slot[t] for t in ids])
+                lp = log_probs(lm, flat, first, goals)[goals >= 0] + lm.share[np.concatenate(ids)]
+                total = np.bincount(np.repeat(np.arange(len(ids)), [len(t) for t in ids]), lp, len(ids)) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(total)], names=[*part.schema.names[:-1], "model"])
+
+    plain = [*names, "uid", "n_tokens", "known", "base"]
+    scored = done.select(*plain, "ids").mapInArrow(run, schema[: schema.index("learn boolean")] + "uid bigint, n_tokens bigint, known bigint, base double, model double")
+    few = done.select("uid", F.explode("rare").alias("word"))
+    found = few.join(counts, "word").groupBy("uid").agg(F.count("c").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("rare_base"))
+    whole_count = float(all_tokens + distinct + 1)
+    return scored.join(found, "uid", "left").select(
+        *[F.col(o).alias(c) for o, c in names.items()],
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(all_tokens)).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(whole_count)))).alias("base_score"),
-        (F.col("mixed") + F.coalesce("rare_mixed", F.lit(0.0))).alias("score"),
+        F.col("model").alias("score"),
     )
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_bucket(F.col("doc_id"), 7) == 2)
-    return score(docs, docs.where(~F.col("held_out"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, ~F.col("held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
