@@ -75,3 +75,26 @@ def run_select(spark, sql: str, views: dict[str, DataFrame]) -> DataFrame:
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(guard_select(sql))
+
+
+def numbered(items: Column) -> Column:
+    """The items of a list as lines "1. item"."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
+def returns_description(names: Column, kinds: Column) -> Column:
+    """"name (type)" of a single field, the names by commas of several, empty of none."""
+    return F.when(F.size(names) == 1, F.concat(F.get(names, F.lit(0)), F.lit(" ("), F.get(kinds, F.lit(0)), F.lit(")"))).otherwise(F.array_join(names, ", "))
+
+
+def tool_section(name: Column, description: Column, params: Column, returns: Column) -> Column:
+    """A tool as a prompt shows it: heading, description, parameters as a list, what it returns."""
+    listed = F.when(F.size(params) > 0, F.array_join(F.transform(params, lambda p: F.concat(F.lit("- "), p)), "\n")).otherwise(F.lit("- none"))
+    return F.concat(F.lit("## "), name, F.lit("\n"), F.coalesce(description, F.lit("")), F.lit("\nParameters:\n"), listed, F.lit("\nReturns: "), returns)
+
+
+def iso_time(ts: Column) -> Column:
+    """ISO 8601 to the second, with the fraction where there is one."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    micro = F.date_format(ts, "SSSSSS")
+    return F.when(micro == "000000", whole).otherwise(F.concat(whole, F.lit("."), micro))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import inspect
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,3 +80,27 @@ def tool_schema(function) -> tuple[str, T.StructType]:
 def next_speaker(speaker: Column, is_tool_call: Column, is_stop: Column) -> Column:
     """Who acts after a message: the environment after a tool call, the caller after its result (caller here: the agent), else the other side; null after a stop."""
     return F.when(is_stop, F.lit(None).cast("string")).when(is_tool_call, "environment").when(speaker == "agent", "user").otherwise("agent")
+
+
+def termination(messages: DataFrame, trajectory: str, turn: str, stop: Column, error: Column, max_steps: int = 200, max_errors: int = 10) -> DataFrame:
+    """(trajectory, steps, reason): where a run ends and why, over its recorded steps.
+
+    The first of: a stop (agent_stop or user_stop by speaker), the step limit, too many errors; null where none comes. Steps count from 0."""
+    w = Window.partitionBy(trajectory).orderBy(turn)
+    m = messages.withColumn("_at", F.row_number().over(w) - 1).withColumn("_errors", F.sum(error.cast("int")).over(w))
+    why = F.when(stop, F.concat("speaker", F.lit("_stop"))).when(F.col("_at") + 1 >= max_steps, "max_steps").when(F.col("_errors") >= max_errors, "too_many_errors")
+    m = m.withColumn("_why", why)
+    first = F.min_by(F.struct("_at", "_why"), F.when(F.col("_why").isNotNull(), F.col("_at")))
+    found = m.groupBy(trajectory).agg(first.alias("_f"), F.count(F.lit(1)).alias("_n"))
+    return found.select(trajectory, F.coalesce(F.col("_f._at") + 1, F.col("_n")).cast("bigint").alias("steps"), F.col("_f._why").alias("reason"))
+
+
+def postconditions(rows: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:
+    """(key, condition, met) for each named condition on a sampled intent's row."""
+    checks = [F.struct(F.lit(n).alias("condition"), F.coalesce(c, F.lit(False)).alias("met")) for n, c in conditions.items()]
+    return rows.select(key, F.inline(F.array(*checks)))
+
+
+def pick_row(rows: DataFrame, group: str, order: list[str], index: int) -> DataFrame:
+    """The row of each group at a place counted from 1."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") == index).drop("_n")

@@ -46,6 +46,23 @@ def onestop_search(legs: DataFrame, compat: bool = True) -> DataFrame:
     return a.join(b, (F.col("destination_1") == F.col("origin_2")) & (F.col("day") == F.col("date_2"))).where("departure_2 >= arrival_1").drop("day")
 
 
+def onestop_counts(legs: DataFrame, compat: bool = True) -> DataFrame:
+    """How many pairs of onestop_search there are for each origin, stop, destination and day.
+
+    Legs meet as counts by their times, and the second legs' counts as running sums from the last departure
+    back, so no pair is made: a stop's day costs its distinct arrival times times the destinations."""
+    a = legs.withColumn("day", next_day(F.col("date"), F.col("arrival"), compat)).groupBy(F.col("origin").alias("origin_1"), F.col("destination").alias("destination_1"), F.col("date").alias("date_1"), "day", "arrival").agg(F.count(F.lit(1)).alias("n"))
+    times = a.groupBy(F.col("destination_1").alias("origin"), F.col("day").alias("date")).agg(F.array_sort(F.collect_set("arrival")).alias("times"))
+    b = legs.groupBy("origin", F.col("destination").alias("destination_2"), "date", "departure").agg(F.count(F.lit(1)).alias("m"))
+    # a departure counts for the latest arrival time it is open to; sums from the latest time back give all later ones
+    latest = F.array_max(F.filter("times", lambda x: x <= F.col("departure")))
+    caught = b.join(times, ["origin", "date"]).withColumn("arrival", latest).where("arrival IS NOT NULL").groupBy("origin", "date", "destination_2", "arrival").agg(F.sum("m").alias("m"))
+    by_stop = caught.groupBy("origin", "date", "destination_2").agg(F.map_from_entries(F.collect_list(F.struct("arrival", "m"))).alias("open"))
+    firsts = a.groupBy("origin_1", "destination_1", "date_1", "day").agg(F.collect_list(F.struct("arrival", "n")).alias("ins"))
+    pairs = F.aggregate("ins", F.lit(0).cast("bigint"), lambda s, i: s + i["n"] * F.aggregate(F.map_values(F.map_filter("open", lambda k, _: k >= i["arrival"])), F.lit(0).cast("bigint"), lambda x, y: x + y))
+    return firsts.join(by_stop, (F.col("destination_1") == F.col("origin")) & (F.col("day") == F.col("date"))).select("origin_1", "destination_1", "destination_2", "date_1", pairs.alias("pairs")).where("pairs > 0")
+
+
 def booking_price(legs_total: Column, passengers: Column, insured: Column, nonfree_bags: Column) -> Column:
     return legs_total * passengers + F.when(insured, passengers * INSURANCE).otherwise(0) + nonfree_bags * BAG
 
@@ -145,3 +162,123 @@ def device_state(log: DataFrame, device: str, order: str, setting: str, value: s
 def fuzzy(a: Column, b: Column, most: int = 2) -> Column:
     """At most so many edits apart, case folded. The number is ours; nothing public fixes it."""
     return F.levenshtein(F.lower(a), F.lower(b)) <= most
+
+
+def lookup(requests: DataFrame, rows: DataFrame, key: str, what: str, strict: bool = False) -> DataFrame:
+    """Requests with the row of their key, and error: "<what> <key> not found" where there is none. strict: such a request fails the query."""
+    error = F.when(F.col("_found").isNull(), F.concat(F.lit(f"{what} "), F.col(key).cast("string"), F.lit(" not found")))
+    if strict:
+        error = F.when(error.isNotNull(), F.raise_error(error)).cast("string")
+    return requests.join(rows.withColumn("_found", F.lit(True)), key, "left").withColumn("error", error).drop("_found")
+
+
+def flight_status(requests: DataFrame, dates: DataFrame, keys: list[str]) -> DataFrame:
+    """The status of each asked flight and day; null where that flight has none that day."""
+    return requests.join(dates.select(*keys, "status"), keys, "left")
+
+
+#: Airports served: fixed values.
+AIRPORTS = {
+    "SFO": "San Francisco", "JFK": "New York", "LAX": "Los Angeles", "ORD": "Chicago", "DFW": "Dallas", "DEN": "Denver", "SEA": "Seattle", "ATL": "Atlanta", "MIA": "Miami", "BOS": "Boston",
+    "PHX": "Phoenix", "IAH": "Houston", "LAS": "Las Vegas", "MCO": "Orlando", "EWR": "Newark", "CLT": "Charlotte", "MSP": "Minneapolis", "DTW": "Detroit", "PHL": "Philadelphia", "LGA": "LaGuardia",
+}
+TRANSFERRED = "Transfer successful"
+
+
+def airports(spark) -> DataFrame:
+    return spark.createDataFrame(list(AIRPORTS.items()), "code string, city string")
+
+
+def without_seats(dates: DataFrame, bookings: DataFrame, keys: list[str], passengers: str) -> DataFrame:
+    """dates with the seats that bookings take subtracted."""
+    taken = bookings.groupBy(*keys).agg(F.sum(passengers).alias("_taken"))
+    return dates.join(taken, keys, "left").withColumn("seats", F.col("seats") - F.coalesce("_taken", F.lit(0))).drop("_taken")
+
+
+def after_payments(methods: DataFrame, payments: DataFrame, keys: list[str], amount: str) -> DataFrame:
+    """Payment methods (keys, kind, balance) after payments: gift cards lose what is paid (a negative amount credits them), used certificates go."""
+    paid = payments.groupBy(*keys).agg(F.sum(amount).alias("_paid"))
+    j = methods.join(paid, keys, "left")
+    gone = (F.col("kind") == "certificate") & F.col("_paid").isNotNull()
+    rest = F.when((F.col("kind") == "gift_card") & F.col("_paid").isNotNull(), F.col("balance") - F.col("_paid")).otherwise(F.col("balance"))
+    return j.where(~gone).withColumn("balance", rest).drop("_paid")
+
+
+def with_status(rows: DataFrame, keys: DataFrame, key: str, status: str) -> DataFrame:
+    """rows with the status set for the keys given."""
+    return rows.join(keys.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("status", F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("status"))).drop("_hit")
+
+
+def leg_error(legs: DataFrame, dates: DataFrame, booking: str, keys: list[str], passengers: str, kept: Column | None = None) -> DataFrame:
+    """(booking, error): the first leg (by leg) that cannot be flown: not that day, not available, or too few seats. Legs that a rebooking keeps are not asked."""
+    j = legs.join(dates.select(*keys, "status", "seats"), keys, "left")
+    e = F.when(F.col("status").isNull(), "flight not found").when(F.col("status") != "available", "flight not available").when(F.col("seats") < F.col(passengers), "not enough seats")
+    if kept is not None:
+        e = F.when(~F.coalesce(kept, F.lit(False)), e)
+    return j.groupBy(booking).agg(F.min_by(e, F.when(e.isNotNull(), F.col("leg"))).alias("error"))
+
+
+def passengers_error(old: Column, new: Column) -> Column:
+    """Passengers may be changed, not added or taken away."""
+    return F.when(F.size(old) != F.size(new), "number of passengers does not match")
+
+
+def update_ledger(payments: DataFrame, changes: DataFrame, key: str, amount: str) -> DataFrame:
+    """Payments with a row for each change whose amount is not 0."""
+    return payments.unionByName(changes.where(F.col(amount) != 0).select(*payments.columns))
+
+
+def certificates(requests: DataFrame, used: DataFrame, user: str, ids: list[str]) -> DataFrame:
+    """Requests (user, amount) with the first of the ids that no user's certificate has, or an error where all are used. One request a user is served."""
+    free = F.array_except(F.array(*map(F.lit, ids)), F.coalesce("_used", F.array().cast("array<string>")))
+    taken = used.where(F.col("id").isin(ids)).groupBy(user).agg(F.collect_set("id").alias("_used"))
+    j = requests.join(taken, user, "left").withColumn("certificate", F.try_element_at(free, F.lit(1)))
+    return j.withColumn("error", F.when(F.col("certificate").isNull(), "too many certificates")).drop("_used")
+
+
+def find_user(users: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (request, email | first, last, zip) with the user of that email, else of that name and zip, case folded; the first user where several match."""
+    low = lambda c: F.lower(F.col(c))
+    ask = requests.select("request", *[low(c).alias(f"_{c}") for c in ("email", "first", "last", "zip")])
+    u = users.select("user", *[low(c).alias(c) for c in ("email", "first", "last", "zip")])
+    by_email = ask.where("_email IS NOT NULL").join(u, F.col("_email") == F.col("email"))
+    by_name = ask.where("_email IS NULL").join(u, (F.col("_first") == F.col("first")) & (F.col("_last") == F.col("last")) & (F.col("_zip") == F.col("zip")))
+    found = by_email.select("request", "user").unionByName(by_name.select("request", "user")).groupBy("request").agg(F.min("user").alias("user"))
+    return requests.join(found, "request", "left").select("request", "user", F.when(F.col("user").isNull(), "user not found").alias("error"))
+
+
+def product_types(products: DataFrame, name: str, key: str) -> DataFrame:
+    """All product names with their ids, as one sorted map in JSON."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), F.col(key).alias("v"))))
+    return products.select(name, key).distinct().agg(F.to_json(F.map_from_entries(entries)).alias("products"))
+
+
+def exchange_error(status: Column, done_before: Column, old: Column, new: Column, same_product: Column, available: Column, balance: Column, difference: Column) -> Column:
+    """The first rule that an exchange or change of items breaks: a delivered order, once, lists of one length, same products, in stock, enough on the gift card."""
+    return (
+        F.when(status != "delivered", "order is not delivered").when(done_before, "already done").when(F.size(old) != F.size(new), "items do not pair")
+        .when(~same_product, "not the same product").when(~available, "not available").when(balance < difference, "gift card balance is not enough")
+    )
+
+
+def changed(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Create, change and delete by one table: changes (key, op, the columns of rows); op is put or delete. The last change of a key, by seq, counts.
+
+    put: columns that are null in the change keep their values."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in changes.columns if c not in (key, "seq")]), "seq").alias("_c"))
+    j = rows.withColumn("_there", F.lit(True)).join(last, key, "full_outer").where(F.col("_c").isNull() | (F.col("_c.op") == "put"))
+    return j.select(key, *[F.coalesce(F.col("_c")[c], F.col(c)).alias(c) for c in rows.columns if c != key])
+
+
+def search(rows: DataFrame, equal: dict | None = None, between: dict | None = None, near: dict | None = None) -> DataFrame:
+    """Rows that match all conditions given: equal values, ranges (low, high; either may be None), texts at most two edits away or holding the text."""
+    rows = optional_filter(rows, **(equal or {}))
+    for c, (low, high) in (between or {}).items():
+        if low is not None:
+            rows = rows.where(F.col(c) >= F.lit(low))
+        if high is not None:
+            rows = rows.where(F.col(c) <= F.lit(high))
+    for c, value in (near or {}).items():
+        if value is not None:
+            rows = rows.where(fuzzy(F.col(c), F.lit(value)) | F.contains(F.lower(c), F.lit(value.lower())))
+    return rows

@@ -33,14 +33,11 @@ def text_has(content: Column, info: Column) -> Column:
     return F.contains(F.replace(F.lower(content), F.lit(","), F.lit("")), F.lower(info))
 
 
-def communicate_checks(infos: DataFrame, messages: DataFrame, trajectory: str, content: str, role: str, info: str) -> DataFrame:
-    """For each trajectory and piece of information: did any assistant text say it?
-
-    infos is small and is broadcast; the result keeps one row for each pair."""
-    said = messages.where((F.col(role) == "assistant") & (F.length(F.trim(content)) > 0))
-    ids = messages.select(trajectory).distinct()
-    met = said.crossJoin(F.broadcast(infos)).groupBy(trajectory, info).agg(F.bool_or(text_has(F.col(content), F.col(info))).alias("met"))
-    return ids.crossJoin(F.broadcast(infos)).join(met, [trajectory, info], "left").select(trajectory, info, F.coalesce("met", F.lit(False)).alias("met"))
+def communicate_checks(infos: list[str], messages: DataFrame, trajectory: str, content: str, role: str) -> DataFrame:
+    """For each trajectory and piece of information: did any assistant text say it? One aggregation over the messages."""
+    said = (F.col(role) == "assistant") & (F.length(F.trim(content)) > 0)
+    met = [F.struct(F.lit(i).alias("info"), F.coalesce(F.bool_or(said & text_has(F.col(content), F.lit(i))), F.lit(False)).alias("met")) for i in infos]
+    return messages.groupBy(trajectory).agg(F.array(*met).alias("_checks")).select(trajectory, F.inline("_checks"))
 
 
 def arguments_match(gold: Column, call: Column, compare: Column | None = None) -> Column:
@@ -54,15 +51,14 @@ def arguments_match(gold: Column, call: Column, compare: Column | None = None) -
     return (F.size(keys) == 0) | (pick(gold) == pick(call))
 
 
-def action_checks(gold: DataFrame, calls: DataFrame, on: list[str], task: str, match: Column | None = None) -> DataFrame:
-    """Gold actions, each with whether any call of the same trajectory matches it: order and repeats do not count."""
-    name = [c for c in on]
-    g = gold.withColumn("_gold", F.monotonically_increasing_id()) if match is not None else gold
+def action_checks(gold: DataFrame, calls: DataFrame, on: list[str], match: Column | None = None) -> DataFrame:
+    """Distinct gold actions, each with whether any call of the same trajectory matches it: order and repeats do not count.
+
+    With a match: one join, and one aggregation by the gold action itself."""
     if match is None:
-        hit = calls.select(*name).distinct().withColumn("_hit", F.lit(True))
-        return g.join(hit, name, "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
-    found = g.join(calls, name).groupBy("_gold").agg(F.bool_or(match).alias("_hit"))
-    return g.join(found, "_gold", "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_gold", "_hit")
+        hit = calls.select(*on).distinct().withColumn("_hit", F.lit(True))
+        return gold.distinct().join(hit, on, "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return gold.join(calls, on, "left").groupBy(*gold.columns).agg(F.coalesce(F.bool_or(match), F.lit(False)).alias("matched"))
 
 
 def combine_rewards(basis: Column, channels: dict[str, Column], ended: Column | None = None, has_criteria: Column | None = None) -> Column:
@@ -119,3 +115,63 @@ def has_stop_token(content: Column, is_tool_call: Column) -> Column:
 
 def flip_roles(role: Column) -> Column:
     return F.when(role == "user", "assistant").when(role == "assistant", "user").otherwise(role)
+
+
+def is_tool_call(calls: Column) -> Column:
+    """A message with a list of calls is a tool call, an empty list included."""
+    return calls.isNotNull()
+
+
+def all_met(checks: Column) -> Column:
+    """1 where every check of the list holds, else 0; an empty or missing list is met."""
+    return F.when(F.forall(F.coalesce(checks, F.array().cast("array<boolean>")), lambda x: F.coalesce(x, F.lit(False))), 1.0).otherwise(0.0)
+
+
+ASSERTIONS = "struct<results:array<struct<expectedOutcome:string,reasoning:string,metExpectation:boolean>>>"
+
+
+def assertion_results(completion: Column) -> Column:
+    """What a judge's JSON answer says of each assertion: array of (assertion, met). An answer that does not parse gives an empty array."""
+    found = F.from_json(completion, ASSERTIONS)["results"]
+    empty = F.array().cast("array<struct<assertion:string,met:boolean>>")
+    return F.coalesce(F.transform(found, lambda r: F.struct(r["expectedOutcome"].alias("assertion"), F.coalesce(r["metExpectation"], F.lit(False)).alias("met"))), empty)
+
+
+def assertion_reward(results: Column) -> Column:
+    """1 where all results that came back are met: an assertion without a result is no failure."""
+    return all_met(F.transform(results, lambda r: r["met"]))
+
+
+def env_assertion(result: Column, expected: Column) -> Column:
+    """Does a check of the environment give what is asserted? No result does not."""
+    return F.coalesce(result == expected, F.lit(False))
+
+
+#: Which channels each kind of evaluation looks at: fixed names.
+EVALUATIONS = {"env": ("DB", "ENV_ASSERTION"), "communicate": ("COMMUNICATE",), "action": ("ACTION",), "nl_assertions": ("NL_ASSERTION",), "all": ("DB", "ENV_ASSERTION", "ACTION", "NL_ASSERTION", "COMMUNICATE")}
+
+
+def evaluate(kind: str, basis: Column, channels: dict[str, Column], ended: Column | None = None, has_criteria: Column | None = None) -> Column:
+    """The reward of one kind of evaluation; "all" multiplies the channels that the task's basis names, the others take their own channels whatever the basis says."""
+    if kind not in EVALUATIONS:
+        raise ValueError(f"unknown evaluation {kind!r}; known: {sorted(EVALUATIONS)}")
+    picked = {c: v for c, v in channels.items() if c in EVALUATIONS[kind]}
+    used = basis if kind == "all" else F.array(*map(F.lit, EVALUATIONS[kind]))
+    return combine_rewards(used, picked, ended, has_criteria)
+
+
+def action_rows(simulations: DataFrame, checks: str) -> DataFrame:
+    """A row for each action check of each simulation; simulations without checks have none."""
+    return simulations.select(*[c for c in simulations.columns if c != checks], F.inline(checks))
+
+
+def with_tool_kind(rows: DataFrame, kinds: DataFrame, requestor: str, tool: str) -> DataFrame:
+    """rows with the kind (read, write, think, generic) that the requestor's tool has, null where it has none. kinds: (requestor, tool, kind)."""
+    k = kinds.select(F.col("requestor").alias(requestor), F.col("tool").alias(tool), "kind")
+    return rows.join(k, [requestor, tool], "left")
+
+
+def write_action_accuracy(rows: DataFrame, simulation: str, met: str) -> DataFrame:
+    """For each simulation: checks of writing tools, and how many of them are met."""
+    write = F.coalesce(F.col("kind") == "write", F.lit(False))
+    return rows.groupBy(simulation).agg(F.count_if(write).alias("write_checks"), F.count_if(write & F.col(met)).alias("write_met"))

@@ -138,3 +138,36 @@ def export_graph(tools: DataFrame, edges: DataFrame) -> DataFrame:
     """Each tool's node as JSON, with its edges out."""
     out = edges.groupBy(F.col("src").alias("tool")).agg(F.array_sort(F.collect_list("dst")).alias("next"))
     return tools.join(out, "tool", "left").select("tool", F.to_json(F.struct("tool", "inputs", "outputs", "params", F.coalesce("next", F.array().cast("array<string>")).alias("next"))).alias("node"))
+
+
+def successors(path: DataFrame, edges: DataFrame, tools: DataFrame) -> DataFrame:
+    """Next tools for each (walk_id, path): those that an edge leads to, and those that take a type the last tool gives, unvisited, once each."""
+    last = path.select("walk_id", "path", F.element_at("path", -1).alias("src"))
+    by_type = resource_edges(tools).select("src", "dst")
+    onward = edges.select("src", "dst").unionByName(by_type).distinct()
+    return last.join(onward, "src").where(~F.array_contains("path", F.col("dst"))).select("walk_id", "dst")
+
+
+def entry_sample(walks: DataFrame, entries: DataFrame, seed: int) -> DataFrame:
+    """A seeded entry point for each walk. Entry points are few; they are numbered by one sort."""
+    names = entries.agg(F.array_sort(F.collect_set("tool")).alias("names"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("walk_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return walks.crossJoin(names).select("walk_id", F.get("names", F.pmod(draw, F.size("names")).cast("int")).alias("tool"))
+
+
+def pattern_distribution(paths: DataFrame, patterns: list[str]) -> DataFrame:
+    """How many paths each pattern has, those without any included."""
+    known = paths.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    return known.join(paths.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def completed_to(paths: DataFrame, tools: DataFrame, edges: DataFrame, target: float = 0.8) -> DataFrame:
+    """coverage_completion's chains, in the tools' order, as many as bring coverage to the target; none where it is reached.
+
+    A chain counts for the one unused tool it is made for."""
+    left = coverage_completion(paths, tools, edges)
+    n = tools.agg(F.count(F.lit(1)).alias("n")).crossJoin(left.agg(F.count(F.lit(1)).alias("unused")))
+    most = F.greatest(F.lit(0), F.ceil(F.lit(target) * F.col("n")) - (F.col("n") - F.col("unused")))
+    before = left.select(F.col("tool").alias("other"))
+    place = left.join(before, F.col("other") < F.col("tool"), "left").groupBy("tool", "path").agg(F.count("other").alias("place"))
+    return place.crossJoin(n).where(F.col("place") < most).select("tool", "path")

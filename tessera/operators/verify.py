@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import written
+
 FIRST, LAST, FOLLOW, NEEDS, CONFLICT = "must_be_first", "must_be_last", "must_follow", "requires_predecessor", "conflicts_with"
 
 
@@ -91,12 +93,35 @@ def refine_chain(names: Column, known: Column) -> Column:
 def bounded_repair(cases: DataFrame, key: str, check, repair, most: int = 2) -> tuple[DataFrame, DataFrame]:
     """Check, repair what failed, check again, at most ``most`` repairs. (accepted, rejected).
 
-    check(df) gives the keys that pass; repair(df) gives new versions of what failed."""
-    accepted, open_ = None, cases
+    check(df) gives the keys that pass; repair(df) gives new versions of what failed. Each round is written."""
+    accepted, open_ = cases.limit(0), cases
     for attempt in range(most + 1):
-        passed = open_.join(check(open_).select(key), key, "left_semi")
-        accepted = passed if accepted is None else accepted.unionByName(passed)
+        passed = written(open_.join(check(open_).select(key), key, "left_semi"))
+        accepted = accepted.unionByName(passed)
         open_ = open_.join(passed.select(key), key, "left_anti")
         if attempt < most:
-            open_ = repair(open_)
+            open_ = written(repair(open_))
+    return accepted, open_
+
+
+def refine_chains(chains: DataFrame, key: str, judge, resample, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Verify, refine, verify again, then resample: (accepted, skipped).
+
+    judge(df) gives (key, status, tools) of chains (key, tools, pattern, parallel).
+    valid: accepted as it is; fixed: the tools are replaced, the pattern stays and
+    parallel groups go, and the chain is judged again; rejected: resample(keys)
+    gives a new chain, judged again. After ``most`` refinements what is still open
+    is skipped, a fix of the last attempt too, as it is never judged. Each round is
+    written."""
+    accepted, open_ = chains.limit(0), chains
+    for attempt in range(most + 1):
+        judged = written(open_.join(judge(open_).select(key, "status", F.col("tools").alias("_tools")), key))
+        accepted = accepted.unionByName(judged.where("status = 'valid'").select(*chains.columns))
+        again = judged.where("status <> 'valid'")
+        if attempt == most or not again.limit(1).count():
+            return accepted, again.select(*chains.columns)
+        none = F.lit(None).cast(chains.schema["parallel"].dataType)
+        fixed = again.where("status = 'fixed'").withColumn("tools", F.col("_tools")).withColumn("parallel", none).select(*chains.columns)
+        fresh = resample(again.where("status = 'rejected'").select(key)).select(*chains.columns)
+        open_ = written(fixed.unionByName(fresh))
     return accepted, open_

@@ -6,7 +6,8 @@ relationship of a batch looks up its targets; rows not seen before are added,
 and of them only the first lookup's make the target's own batch (possibly none;
 later rows of that table are added but not followed). Batches are worked off in
 the order in which they came to be. A table has one batch at most, so the number
-of Spark jobs depends on the schema alone.
+of Spark jobs depends on the schema alone. What a lookup adds is written to the
+shared folder, so plans do not nest.
 
 Row order within a lookup, which decides what comes first, is that of the
 primary key (of all columns where there is none).
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.catalog import Catalog
+from tessera.sources.staging import written
 
 
 def key_of(catalog: Catalog, table: str, df: DataFrame) -> list[str]:
@@ -71,10 +73,11 @@ def walk(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, seed_r
             keys = key_of(catalog, e.to_table, target)
             if e.to_table in first and first[e.to_table][0][1] == r:  # the first lookup makes the target's batch
                 at, value = first[e.to_table]
-                started.append((at, e.to_table, target.where(F.col(e.to_column) == F.lit(value)).dropDuplicates(keys)))
+                started.append((at, e.to_table, written(target.where(F.col(e.to_column) == F.lit(value)).dropDuplicates(keys))))
             values = batch.where(F.col(e.from_column).isNotNull()).select(F.col(e.from_column).alias("_key")).distinct()
             found = target.join(values, target[e.to_column] == values["_key"], "left_semi")
-            fresh = _new(found, result.get(e.to_table), keys).dropDuplicates(keys)
+            # written, so that no later lookup holds this one's plan
+            fresh = written(_new(found, result.get(e.to_table), keys).dropDuplicates(keys))
             result[e.to_table] = fresh if e.to_table not in result else result[e.to_table].unionByName(fresh)
         visited |= set(first)
         for _, name, own in sorted(started, key=lambda x: x[0]):
@@ -96,13 +99,46 @@ def _closure(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, se
                 found = _new(target.join(values, target[e.to_column] == values["_key"], "left_semi"), result.get(e.to_table), keys)
                 found = _new(found, reached.get(e.to_table), keys)
                 reached[e.to_table] = found if e.to_table not in reached else reached[e.to_table].unionByName(found)
-        # each round is cut off from the ones before by a reliable checkpoint
-        frontier = {t: c for t, r in reached.items() if (c := r.checkpoint()).limit(1).count()}
+        # each round is cut off from the ones before
+        frontier = {t: c for t, r in reached.items() if (c := written(r)).limit(1).count()}
         for t, r in frontier.items():
             result[t] = r if t not in result else result[t].unionByName(r)
     return result
 
 
+def extend(result: dict[str, DataFrame], tables: dict[str, DataFrame], catalog: Catalog, table: str, rows: DataFrame) -> dict[str, DataFrame]:
+    """result with rows of a table and what a walk from them reaches, each row once: rows that result holds already are not added again."""
+    out = dict(result)
+    for name, df in walk(tables, catalog, table, rows).items():
+        keys = key_of(catalog, name, df)
+        out[name] = df if name not in out else out[name].unionByName(written(_new(df, out[name], keys)))
+    return out
+
+
+def sample_unreached(result: dict[str, DataFrame], tables: dict[str, DataFrame], catalog: Catalog, n: int = 1, seed: int = 0) -> dict[str, DataFrame]:
+    """result with a seeded sample of n rows of each table that nothing has reached, taken for itself."""
+    out = dict(result)
+    for name in [t for t in catalog.tables if t in tables and t not in result]:
+        keys = key_of(catalog, name, tables[name])
+        chance = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+        out[name] = tables[name].orderBy(chance, *keys).limit(n)
+    return out
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of edges (a, b) and nodes (node): the least name that edges reach.
+
+    Labels spread along edges until none changes; each round is written."""
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = written(nodes.select("node", F.col("node").alias("component")).distinct())
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        after = written(labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("next")))
+        if not after.where("next <> component").limit(1).count():
+            return labels
+        labels = after.select("node", F.col("next").alias("component"))
+
+
 def value_index(rows: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
     """(column_name, value): the distinct values of key columns in a sub-database, as text."""
     eligible, parts = catalog.key_columns(), []
@@ -135,11 +171,7 @@ def resolve_disconnected(result: dict[str, DataFrame], tables: dict[str, DataFra
                     values = values.unionByName(h)
                 rows = tables[t].join(values.distinct(), F.col(c) == F.col("_v"), "left_semi")
                 if rows.limit(1).count():
-                    result[t] = rows
-                    for name, df in walk(tables, catalog, t, rows).items():
-                        if name != t:
-                            keys = key_of(catalog, name, df)
-                            result[name] = df if name not in result else result[name].unionByName(_new(df, result[name], keys))
+                    result = extend(result, tables, catalog, t, rows)
                     progress = True
                     break
     return result

@@ -11,14 +11,13 @@ from tessera.plans.queries import _EDGE_SQL, _tools, _values, query, t
 # -- chains ------------------------------------------------------------------
 
 _RULES = [("signup", "must_be_first", None), ("click", "must_follow", "view"), ("purchase", "requires_predecessor", "signup"), ("error", "conflicts_with", "purchase"), ("view", "must_be_last", None)]
-_STEPS_SQL = "steps AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events WHERE event_id % 40 < 3)"
+_STEPS_SQL = "steps AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"
 
 
 def _steps(spark, d):
     from pyspark.sql import Window
 
-    e = t(spark, d, "events").where("event_id % 40 < 3")
-    return e.select("user_id", "event_type", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint").alias("pos"))
+    return t(spark, d, "events").select("user_id", "event_type", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint").alias("pos"))
 
 
 @query(f"""
@@ -117,16 +116,16 @@ def direct_search(spark, d):
     return domain.direct_search(flights, dates, "flight", origin=3, date=last).select("o_orderkey", F.col("origin").alias("c_nationkey"), "o_totalprice")
 
 
-_LEG_SQL = "legs AS (SELECT l_orderkey * 100 + l_linenumber AS flight, c_nationkey AS origin, s_nationkey AS destination, strftime(l_shipdate, '%Y-%m') AS date, lpad(CAST(l_partkey % 24 AS VARCHAR), 2, '0') || ':00:00' AS departure, lpad(CAST((l_partkey % 24 + 3) % 24 AS VARCHAR), 2, '0') || ':30:00' AS arrival, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50)"
+_LEG_SQL = "legs AS (SELECT l_orderkey * 100 + l_linenumber AS flight, c_nationkey AS origin, s_nationkey AS destination, strftime(l_shipdate, '%Y-%m') AS date, lpad(CAST(l_partkey % 24 AS VARCHAR), 2, '0') || ':00:00' AS departure, lpad(CAST((l_partkey % 24 + 3) % 24 AS VARCHAR), 2, '0') || ':30:00' AS arrival, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 
 
-@query(f"WITH {_LEG_SQL} SELECT a.origin AS origin_1, a.destination AS destination_1, b.destination AS destination_2, a.date AS date_1, count(*) AS pairs FROM legs a JOIN legs b ON a.destination = b.origin AND a.date = b.date AND b.departure >= a.arrival GROUP BY 1, 2, 3, 4")
+@query(f"WITH {_LEG_SQL} SELECT a.origin AS origin_1, a.destination AS destination_1, b.destination AS destination_2, a.date AS date_1, CAST(sum(a.n * b.n) AS BIGINT) AS pairs FROM (SELECT origin, destination, date, arrival, count(*) AS n FROM legs GROUP BY ALL) a JOIN (SELECT origin, destination, date, departure, count(*) AS n FROM legs GROUP BY ALL) b ON a.destination = b.origin AND a.date = b.date AND b.departure >= a.arrival GROUP BY 1, 2, 3, 4")
 def onestop_pairs(spark, d):
-    """Full-quantity lines as flights from the customer's to the supplier's nation in their month."""
-    j = t(spark, d, "lineitem").where("l_quantity = 50").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """Lines as flights from the customer's to the supplier's nation in their month."""
+    j = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     clock = lambda c, tail: F.concat(F.lpad(c.cast("string"), 2, "0"), F.lit(tail))
     legs = j.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("flight"), F.col("c_nationkey").alias("origin"), F.col("s_nationkey").alias("destination"), F.date_format("l_shipdate", "yyyy-MM").alias("date"), clock(F.col("l_partkey") % 24, ":00:00").alias("departure"), clock((F.col("l_partkey") % 24 + 3) % 24, ":30:00").alias("arrival"))
-    return domain.onestop_search(legs, compat=False).groupBy("origin_1", "destination_1", "destination_2", "date_1").agg(F.count(F.lit(1)).alias("pairs"))
+    return domain.onestop_counts(legs, compat=False).select("origin_1", "destination_1", "destination_2", "date_1", "pairs")
 
 
 @query("SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) * 2 + CASE WHEN min(l_linenumber) = 1 THEN 60 ELSE 0 END + count(*) * 50 AS DOUBLE) AS price FROM lineitem GROUP BY l_orderkey")
@@ -190,9 +189,18 @@ def first_free_id(spark, d):
     return domain.first_free(t(spark, d, "region").select(F.col("r_name").alias("name")), "name", ["EUROPE", "ATLANTIS", "MU"])
 
 
-@query()
+_SETTINGS = ("cellular", "wifi", "location")
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, ['cellular', 'wifi', 'location', 'low_battery'][event_id % 4 + 1] AS setting, value > 50 AS v FROM events), "
+    "l AS (SELECT *, coalesce(last_value(CASE WHEN setting = 'low_battery' THEN v END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), false) AS low FROM e) "
+    "SELECT user_id, "
+    + ", ".join(f"coalesce(arg_max(CASE WHEN low THEN false ELSE v END, event_id) FILTER (WHERE low OR setting = '{n}'), true) AS {n}" for n in _SETTINGS)
+    + ", arg_max(low, event_id) AS low_battery FROM l GROUP BY user_id"
+)
 def device_state(spark, d):
-    """Events as changes of device settings; a fold that SQL does not express."""
+    """Events as changes of device settings."""
     e = t(spark, d, "events")
     name = F.element_at(F.array(*map(F.lit, ("cellular", "wifi", "location", "low_battery"))), (F.col("event_id") % 4 + 1).cast("int"))
     return domain.device_state(e.select("user_id", "event_id", name.alias("setting"), (F.col("value") > 50).alias("on")), "user_id", "event_id", "setting", "on")

@@ -161,8 +161,7 @@ _INFOS = [("The",), ("and",), ("of,",), ("10",)]
 
 @query(f"SELECT ids.conv_id, info, coalesce(bool_or(contains(replace(lower(text), ',', ''), lower(info))), false) AS met FROM (SELECT DISTINCT conv_id FROM conversations) ids CROSS JOIN {_values(_INFOS, 'info')} LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant' AND length(trim(text)) > 0) m ON m.conv_id = ids.conv_id GROUP BY ids.conv_id, info")
 def communicate_checks(spark, d):
-    infos = spark.createDataFrame(_INFOS, "info string")
-    return evaluate.communicate_checks(infos, t(spark, d, "conversations"), "conv_id", "text", "role", "info")
+    return evaluate.communicate_checks([i for i, in _INFOS], t(spark, d, "conversations"), "conv_id", "text", "role")
 
 
 @query("SELECT c_custkey, o_orderstatus, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = s.o_orderstatus) AS matched FROM customer c CROSS JOIN (VALUES ('F'), ('P')) AS s(o_orderstatus)")
@@ -170,7 +169,7 @@ def action_checks(spark, d):
     """Each customer should have a finished and a pending order."""
     gold = t(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit("F"), F.lit("P"))).alias("o_orderstatus"))
     calls = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
-    return evaluate.action_checks(gold, calls, ["c_custkey", "o_orderstatus"], "c_custkey")
+    return evaluate.action_checks(gold, calls, ["c_custkey", "o_orderstatus"])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag, EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linestatus = 'F' AND b.l_returnflag = a.l_returnflag) AS matched FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_linestatus = 'O') a")
@@ -179,7 +178,7 @@ def argument_checks(spark, d):
     lines = t(spark, d, "lineitem")
     gold = lines.where("l_linestatus = 'O'").select("l_orderkey", "l_linenumber", "l_returnflag").distinct().withColumn("gold", F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("line"), F.col("l_linenumber").cast("string")))
     calls = lines.where("l_linestatus = 'F'").select("l_orderkey", F.col("l_returnflag").alias("f")).distinct().select("l_orderkey", F.create_map(F.lit("flag"), F.col("f")).alias("call"))
-    return evaluate.action_checks(gold, calls, ["l_orderkey"], "l_orderkey", evaluate.arguments_match(F.col("gold"), F.col("call"))).select("l_orderkey", "l_linenumber", "l_returnflag", "matched")
+    return evaluate.action_checks(gold, calls, ["l_orderkey"], evaluate.arguments_match(F.col("gold"), F.col("call"))).select("l_orderkey", "l_linenumber", "l_returnflag", "matched")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0.0 WHEN doc_id % 3 = 0 THEN quality * (1.0 - toxic) WHEN doc_id % 3 = 1 THEN CAST(quality AS DOUBLE) ELSE 1.0 END AS reward FROM labels")
@@ -229,9 +228,9 @@ _DIGEST_T = ("region", "nation", "part")
 def _digest_sql(name: str, cols: list[str]) -> str:
     row = " || '|' || ".join(f"'{c}=' || coalesce('v' || CAST({c} AS VARCHAR), 'n')" for c in sorted(cols))
     parts = ", ".join(f"CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)::HUGEINT AS p{i}" for i in range(4))
-    sums = ", ".join(f"sum(p{i} * k) AS s{i}" for i in range(4))
+    sums = ", ".join(f"sum(p{i}) AS s{i}" for i in range(4))
     line = "b || ':' || CAST(k AS VARCHAR)" + "".join(f" || ':' || CAST(s{i} AS VARCHAR)" for i in range(4))
-    return f"SELECT '{name}' AS table_name, CAST(sum(k) AS BIGINT) AS n, sha256(string_agg({line}, ',' ORDER BY {line})) AS digest FROM (SELECT b, sum(k) AS k, {sums} FROM (SELECT substr(h, 1, 2) AS b, k, {parts} FROM (SELECT h, count(*) AS k FROM (SELECT sha256({row}) AS h FROM {name}) GROUP BY h)) GROUP BY b)"
+    return f"SELECT '{name}' AS table_name, CAST(sum(k) AS BIGINT) AS n, sha256(string_agg({line}, ',' ORDER BY {line})) AS digest FROM (SELECT b, count(*) AS k, {sums} FROM (SELECT substr(h, 1, 2) AS b, {parts} FROM (SELECT sha256({row}) AS h FROM {name})) GROUP BY b)"
 
 
 _DIGEST_COLS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"]}
@@ -319,7 +318,8 @@ def fk_centrality(spark, d):
 
 @query("WITH RECURSIVE e AS (SELECT from_table AS a, to_table AS b FROM " + _KEYS_SQL + " UNION SELECT to_table, from_table FROM " + _KEYS_SQL.replace("AS v(", "AS v2(") + "), r AS (SELECT table_name AS a, table_name AS b FROM " + _values([(n,) for n in _TABLES], "table_name") + " UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS table_name, min(b) AS component FROM r GROUP BY a")
 def fk_components(spark, d):
-    return spark.createDataFrame(list(DRIVER.components().items()), "table_name string, component string")
+    edges = DRIVER.key_frame(spark).select(F.col("from_table").alias("a"), F.col("to_table").alias("b"))
+    return walk.components(edges, DRIVER.table_frame(spark).select(F.col("table_name").alias("node"))).withColumnRenamed("node", "table_name")
 
 
 @query(f"SELECT table_name, count(*) AS shared FROM {_values(_COLUMNS, 'table_name, ord, column_name, type, pk')} WHERE column_name IN ('doc_id', 'text', 'role', 'quality') GROUP BY table_name ORDER BY count(*) DESC, min(CASE table_name " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(_TABLES)) + " END) LIMIT 1")
@@ -379,15 +379,14 @@ def fk_walk_customer(spark, d):
 
 
 @query("""
-SELECT 'c_custkey' AS column_name, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_custkey <= 20
-UNION SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey <= 20
-UNION SELECT 'o_orderkey', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey <= 20
-UNION SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey <= 20
+SELECT 'c_custkey' AS column_name, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_custkey IS NOT NULL
+UNION SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_nationkey IS NOT NULL
+UNION SELECT 'o_orderkey', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey IS NOT NULL
+UNION SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey IS NOT NULL
 """)
 def value_index(spark, d):
-    """Key values of a sub-database of twenty customers and their orders."""
-    rows = {"customer": t(spark, d, "customer").where("c_custkey <= 20"), "orders": t(spark, d, "orders").where("o_custkey <= 20")}
-    return walk.value_index(rows, DRIVER)
+    """Key values of customers and orders."""
+    return walk.value_index(driver_tables(spark, d, ["customer", "orders"]), DRIVER)
 
 
 @query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de')")
