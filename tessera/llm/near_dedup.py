@@ -26,7 +26,8 @@ to thorough:
 4. otherwise (many pairs close to the threshold) the intersections of all full
    sets of the tile, by matrix products; a tile gives a forest of its links.
 
-Pivots only spare work: every pair of a leaf that they leave in different
+Two sets often share many leaves; the first of them alone takes their pair
+(leaves compare by 32 bits for that). Pivots only spare work: every pair of a leaf that they leave in different
 components is compared in 2 to 4. Nothing is capped. A link of exactly the
 threshold is missed where no tree brings it together (``recall``; 1.4 in 100,000
 at 0.85, 4.4 in 10,000 at 0.8) or its estimate falls MARGIN deviations short.
@@ -123,7 +124,7 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def paths(values: np.ndarray, trees: int) -> np.ndarray:
-    """Leaf numbers of many sets: (sets, leaves)."""
+    """Leaf numbers of many sets: (sets, leaves), tree after tree. A column is one way through a tree, so two sets share a leaf in one column."""
     n = len(values)
     node = np.broadcast_to(_mix(np.arange(1, trees + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)), (n, trees))
     rows = np.arange(n)[:, None]
@@ -134,10 +135,10 @@ def paths(values: np.ndarray, trees: int) -> np.ndarray:
             i = ((pick >> _U(8 * f)) % _U(HASHES)).astype(np.int64)
             children.append(_mix(node * _U(0xD6E8FEB86659FD93) + (i.astype(np.uint64) << _U(33)) + values[rows, i].astype(np.uint64) + _U(f + 1)))
         node = np.concatenate(children, axis=1)
-    return node
+    return node.reshape(n, -1, trees).transpose(0, 2, 1).reshape(n, -1)
 
 
-FEATURES = T.StructType([T.StructField("uid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("leaves", T.ArrayType(T.LongType()))])
+FEATURES = T.StructType([T.StructField("uid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("ways", T.BinaryType()), T.StructField("leaves", T.ArrayType(T.LongType()))])
 
 
 def _features(shingle: int, trees: int):
@@ -153,9 +154,11 @@ def _features(shingle: int, trees: int):
                     prints.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                     values.append(minwise(s))
                 v = np.array(values, np.uint32).reshape(len(sizes), HASHES)
-                leaves = [x.tolist() if n else [] for x, n in zip(paths(v, trees).view(np.int64), sizes, strict=True)]
+                found = paths(v, trees)
+                leaves = [x.tolist() if n else [] for x, n in zip(found.view(np.int64), sizes, strict=True)]
+                ways = [x.tobytes() for x in found.astype(np.uint32)]
                 low = (v & np.uint32(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], names=["own", *(f.name for f in FEATURES)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(ways, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], names=["own", *(f.name for f in FEATURES)])
                 uid += len(sizes)
 
     return run
@@ -232,8 +235,9 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def _tiles(least: int, best_only: bool):
-    """Rows (tile, side, id, sig, comp) sorted by tile -> candidate pairs between components.
+    """Rows (tile, side, id, sig, comp, ways, col) sorted by tile -> candidate pairs between components.
 
+    A pair counts in the first column that both sets share alone, so that no other leaf gives it again.
     best_only: each set's best partner and the hub's; else all of a tile that has
     few, and the tile's number where it has many."""
 
@@ -241,10 +245,18 @@ def _tiles(least: int, best_only: bool):
         for whole, tile, bounds in _whole_tiles(batches):
             side, ids, comps = (whole.column(i).to_numpy() for i in (1, 2, 4))
             sigs = np.frombuffer(b"".join(whole.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
+            ways = np.frombuffer(b"".join(whole.column(5).to_pylist()), np.uint32).reshape(len(ids), -1)
+            cols = whole.column(6).to_numpy()
+
+            def here(x, y, ways=ways, cols=cols):
+                """Which of the pairs (by row) meet first in this column."""
+                parts = [(ways[x[k : k + 8192]] == ways[y[k : k + 8192]]).argmax(1) == cols[x[k : k + 8192]] for k in range(0, len(x), 8192)]
+                return np.concatenate(parts) if parts else np.zeros(0, bool)
+
             left, right, more = [], [], []
             two = np.array([h for h, t in bounds if t - h == 2], np.int64)
             if len(two):  # most tiles are pairs
-                ok = ((sigs[two] == sigs[two + 1]).sum(1) >= least) & (comps[two] != comps[two + 1])
+                ok = ((sigs[two] == sigs[two + 1]).sum(1) >= least) & (comps[two] != comps[two + 1]) & here(two, two + 1)
                 left.append(ids[two][ok])
                 right.append(ids[two + 1][ok])
             for h, t in bounds:
@@ -255,7 +267,10 @@ def _tiles(least: int, best_only: bool):
                 ok = (est >= least) & (comps[h:t][i][:, None] != comps[h:t][j][None, :])
                 if same:
                     ok &= ids[h:t][i][:, None] > ids[h:t][j][None, :]
-                n = int(np.count_nonzero(ok))
+                x, y = np.nonzero(ok)
+                first = here(h + i[x], h + j[y])
+                ok[x[~first], y[~first]] = False
+                n = int(np.count_nonzero(first))
                 if not n:
                     continue
                 if n <= 2 or not best_only and n <= 4 * (t - h):
@@ -384,11 +399,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = stage.keep(texts.mapInArrow(_features(shingle, trees), T.StructType([*own, *FEATURES])))
     # a node for each distinct set, numbered by one of its rows
     copies = stage.keep(every.where("print IS NOT NULL").groupBy("print").agg(F.min("uid").alias("id"), F.min("own").alias("rep")))
-    sets = stage.keep(every.join(copies.select("id"), F.col("uid") == F.col("id")).select("id", "n", "sig", "leaves"))
-    sigs = sets.select("id", "sig")
+    sets = stage.keep(every.join(copies.select("id"), F.col("uid") == F.col("id")).select("id", "n", "sig", "ways", "leaves"))
+    sigs = sets.select("id", "sig", "ways")
 
     # leaves that one set alone reaches go first; numbers alone shuffle here, signatures follow where they are needed
-    at = sets.select("id", "n", F.posexplode("leaves").alias("early", "leaf")).withColumn("early", F.col("early") % trees < early)
+    at = sets.select("id", "n", F.posexplode("leaves").alias("col", "leaf"))
     n_sets = sets.count()
     bits = bloom.size_for(n_sets * trees * int(np.prod(FANS)))
     if n_sets * trees * int(np.prod(FANS)) < bits:
@@ -396,9 +411,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = stage.keep(at)
     big = (F.col("size") > SMALL) | (F.col("shingles") > SMALL * MEAN_SHINGLES)
     leaves = stage.keep(at.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1").withColumn("big", big))
-    members = stage.keep(at.join(leaves, "leaf").select("leaf", "id", "size", "shingles", "big", "early"))
-    small = members.where("NOT big").select(F.col("leaf").alias("tile"), F.lit(0).alias("side"), "id", "early")
-    large = members.where("big").select("leaf", "id", "size", "shingles", "early")
+    members = stage.keep(at.join(leaves, "leaf").select("leaf", "id", "size", "shingles", "big", "col"))
+    small = members.where("NOT big").select(F.col("leaf").alias("tile"), F.lit(0).alias("side"), "id", "col")
+    large = members.where("big").select("leaf", "id", "size", "shingles", "col")
     any_large = leaves.where("big").limit(1).count() > 0
 
     involved = stage.keep(copies.join(members.select("id").distinct(), "id").select("print", "id", "rep"))
@@ -418,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
     def compared(tiles: DataFrame, best_only: bool) -> DataFrame:
-        rows = with_component(tiles).join(sigs, "id").select("tile", "side", "id", "sig", "comp")
+        rows = with_component(tiles).join(sigs, "id").select("tile", "side", "id", "sig", "comp", "ways", F.col("col").cast("bigint").alias("col"))
         return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(least, best_only), PAIR)
 
     def link(new: DataFrame) -> None:
@@ -453,15 +468,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return one.groupBy("leaf").agg(F.first("size").alias("size"), F.collect_list("one").alias("pivots"))
 
     # the first trees join most of what is alike; later only leaves of several components are looked at
-    found = compared(small.where("early"), best_only=True)
+    is_early = F.col("col") < early * int(np.prod(FANS))
+    found = compared(small.where(is_early), best_only=True)
     if any_large:
-        now = large.where("early").withColumn("comp", F.col("id")).join(sigs, "id")
+        now = large.where(is_early).withColumn("comp", F.col("id")).join(sigs, "id")
         found = found.unionByName(against_pivots(now, stage.keep(pivots_of(now))))
     found = stage.keep(found)
     left = stage.keep(found.where("tile IS NOT NULL").select("tile").distinct())
     link(confirmed(found))
 
-    tiles = small.where("NOT early").unionByName(small.where("early").join(left, "tile", "left_semi")).drop("early")
+    tiles = small.where(~is_early).unionByName(small.where(is_early).join(left, "tile", "left_semi"))
     if labels is not None:
         open_ = with_component(tiles).groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tile")
         tiles = tiles.join(open_, "tile", "left_semi")
@@ -475,11 +491,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mean = F.col("shingles") / F.col("size") / MEAN_SHINGLES  # a block of long sets holds fewer
         outs, mains = (F.ceil(n / BLOCK * F.greatest(F.lit(1.0), mean)) for n in (outside, F.col("in_main")))
         h = F.xxhash64("id", F.lit(77))
-        blocks = now.select("leaf", "id", outs.alias("outs"), (outs + mains).alias("blocks"), F.when(F.col("comp") != F.col("main"), F.pmod(h, outs)).otherwise(outs + F.pmod(h, mains)).alias("mine"))
+        blocks = now.select("leaf", "id", "col", outs.alias("outs"), (outs + mains).alias("blocks"), F.when(F.col("comp") != F.col("main"), F.pmod(h, outs)).otherwise(outs + F.pmod(h, mains)).alias("mine"))
         # a block of outsiders meets itself and every later block
-        as_first = blocks.where("mine < outs").select("leaf", "id", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j")).withColumn("side", F.lit(0))
-        as_second = blocks.where("mine > 0").select("leaf", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("mine"), F.col("outs")) - 1)).alias("i"), F.col("mine").alias("j")).withColumn("side", F.lit(1))
-        tiles = tiles.unionByName(as_first.unionByName(as_second).select(F.xxhash64("leaf", "i", "j").alias("tile"), "side", "id"))
+        as_first = blocks.where("mine < outs").select("leaf", "id", "col", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j")).withColumn("side", F.lit(0))
+        as_second = blocks.where("mine > 0").select("leaf", "id", "col", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("mine"), F.col("outs")) - 1)).alias("i"), F.col("mine").alias("j")).withColumn("side", F.lit(1))
+        tiles = tiles.unionByName(as_first.unionByName(as_second).select(F.xxhash64("leaf", "i", "j").alias("tile"), "side", "id", "col"))
     tiles = stage.keep(tiles)
     found = stage.keep(compared(tiles, best_only=True))
     more = tiles.join(found.where("tile IS NOT NULL").select("tile").distinct(), "tile", "left_semi")
