@@ -13,7 +13,8 @@ no shuffle; a worker scores each distinct word once and keeps at most
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased; words
 without a letter do not count. Words longer than 23 characters are scored in
-stretches of 23 (cuts across a stretch's end are not summed).
+stretches of 23 (cuts across a stretch's end are not summed). All pieces of the
+vocabulary take part, whatever their length.
 
 Defined cases: null text, or text without a letter: ``und`` with score 0; no
 labelled row at all: ``und`` for every text; equal scores: the alphabetically
@@ -54,9 +55,10 @@ def vocabulary(path: str | None = None) -> list[str]:
 class Lattice:
     """Looks up every substring of many words among the pieces at once."""
 
-    def __init__(self, pieces: list[str], max_len: int = 8) -> None:
-        pieces = sorted({p for p in pieces if 0 < len(p) <= max_len})
-        self.max_len, self.unknown, self.n = max_len, len(pieces), len(pieces) + 1
+    def __init__(self, pieces: list[str]) -> None:
+        pieces = sorted({p for p in pieces if 0 < len(p) <= STRETCH + 1})  # no stretch holds a longer one
+        self.max_len = max(map(len, pieces), default=1)
+        self.unknown, self.n = len(pieces), len(pieces) + 1
         self.hashes = np.zeros(len(pieces) + 1, np.uint64)
         for i, p in enumerate(pieces):
             h = 0
@@ -136,10 +138,10 @@ class Model:
         return out
 
 
-def fit(counts: dict[str, dict[str, float]], pieces: list[str], prior: dict[str, float] | None = None, rounds: int = 4, max_len: int = 8) -> Model:
+def fit(counts: dict[str, dict[str, float]], pieces: list[str], prior: dict[str, float] | None = None, rounds: int = 4) -> Model:
     """Piece probabilities by expectation maximisation. counts: language -> word -> count."""
     langs = sorted(counts)
-    lattice = Lattice(pieces, max_len)
+    lattice = Lattice(pieces)
     words = sorted({w for c in counts.values() for w in c})
     weight = np.array([[counts[g].get(w, 0.0) for g in langs] for w in words]).reshape(len(words), len(langs))
     probs = np.full((lattice.n + 1, len(langs)), 1.0 / lattice.n)
