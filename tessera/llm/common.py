@@ -7,13 +7,10 @@ rules that the operators' contracts state; no non-ASCII byte is ever touched.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import functools
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
@@ -22,29 +19,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Maps every ASCII byte outside [0-9a-z] (upper case folded first) to a space.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (tests)."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return _own_dirs[app]
-
-
 class Stage:
     """Tables written to the shared folder, so that lost executors lose no work.
 
