@@ -1,9 +1,12 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of key characters that hold a digit, or that follow an
-assignment to a name like "token". Their features are SQL expressions: length,
-shares of character kinds, transitions between kinds, distinct characters and
-entropy, how much of the run common words and syllables cover, what the path
+Candidates are of three kinds, without an upper bound on their length: values
+assigned to a name that holds a word like "token" or "password" (six characters
+or more of any kind but white space, quotes and angle brackets), private keys
+between their PEM lines, and runs of 16 or more key characters that hold a
+digit. Their features are SQL expressions: length, shares of character kinds,
+transitions between kinds, distinct characters and entropy, how much of the
+candidate words of a public vocabulary and common syllables cover, what the path
 says, and which words stand before and after. A random forest of Spark's own ML
 library, trained on labelled findings, gives each a probability.
 
@@ -26,17 +29,24 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: A run of 16 to 512 key characters, not within a longer run, with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_=-])"
-SECRET_WORDS = r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d|pwd|credential|auth|bearer|private[_-]?key|access[_-]?key)"
+SECRET_WORDS = r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d|passphrase|pwd|credential|auth|bearer|private[_-]?key|access[_-]?key)"
+#: What leads to an assigned value: a name with such a word, and the sign of assignment.
+ASSIGNED = r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{0,40}?" + SECRET_WORDS.replace("(?i)(?:", "(?i:") + r"[A-Za-z0-9_.-]{0,16}[\"'`]?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?"
+VALUE = r"[^\s\"'`<>]{6,}"
+PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?"
+#: A run of 16 key characters or more, not within a longer run, with a digit in it.
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = f"{ASSIGNED}{VALUE}|{PEM}|{RUN}"
 OTHER_WORDS = r"(?i)(?:commit|sha-?(?:1|256)|md5|checksum|digest|hash|uuid|guid|revision|etag|isbn|order|invoice|tracking|card|phone|version|build)"
 SAMPLE_WORDS = r"(?i)(?:example|sample|dummy|placeholder|changeme|your[_-]|xxxx|fake|redacted|test)"
-KNOWN_PREFIX = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|SG\.|eyJ|ya29)"
+KNOWN_PREFIX = r"^(?:-----BEGIN|AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|SG\.|eyJ|ya29)"
 #: Common words and syllables; what they cover is probably not random.
 PIECES = r"(?i)(?:the|and|ing|tion|ent|for|that|with|this|from|pass|word|user|name|test|data|file|http|www|com|org|key|value|index|table|page|image|order|number|date|time|message|account|server|client|config|service)"
+#: Lengths of the dictionary's words, and how many of them are used.
+WORD_LENGTHS, WORDS = (4, 5, 6, 7, 8), 6000
 BEFORE, AFTER = 48, 32
 FEATURES = (
-    "f_length", "f_digits", "f_upper", "f_lower", "f_symbols", "f_kind_changes", "f_case_changes", "f_distinct", "f_entropy", "f_repeats", "f_words", "f_vowel_runs",
+    "f_length", "f_digits", "f_upper", "f_lower", "f_symbols", "f_kind_changes", "f_case_changes", "f_distinct", "f_entropy", "f_repeats", "f_words", "f_dictionary", "f_sentence_words", "f_vowel_runs",
     "f_all_digits", "f_all_hex", "f_uuid", "f_prefix", "f_secret_before", "f_other_before", "f_sample_near", "f_sample_inside", "f_assigned", "f_quoted", "f_sentence_after",
     "f_path_test", "f_path_config",
 )
@@ -46,12 +56,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each candidate: id, start (characters), value, before, after, path."""
     text = F.col(text_col)
     gaps, found = F.split(text, F.lit(CANDIDATE)), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size"), m.alias("value")))
+    # what leads to an assigned value belongs to the words before it
+    lead = lambda v: F.length(F.regexp_extract(v, "^" + ASSIGNED + f"(?={VALUE}$)", 0))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size"), lead(m).cast("bigint").alias("lead"), m.alias("value")))
     # each place is the sum of what lies before it
     walk = F.aggregate(
         steps,
         F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,value:string>>").alias("out")),
-        lambda a, s: F.struct((a["at"] + s["gap"] + s["size"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), s["value"].alias("value")))).alias("out")),
+        lambda a, s: F.struct((a["at"] + s["gap"] + s["size"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"] + s["lead"]).alias("start"), F.substring(s["value"], (s["lead"] + 1).cast("int"), (s["size"] - s["lead"]).cast("int")).alias("value")))).alias("out")),
     )
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     with_any = docs.where(F.regexp_like(text, F.lit(CANDIDATE)))
@@ -66,6 +78,26 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def dictionary(n: int = WORDS) -> list[str]:
+    """The first n whole words of plain letters in the public vocabulary, which lists merges of frequent words first."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = (t[:-4] for t, _ in sorted(ids.items(), key=lambda x: x[1]) if t.endswith("</w>"))
+    return [w for w in words if len(w) in WORD_LENGTHS and w.isascii() and w.isalpha()][:n]
+
+
+def _word_ends(column: str) -> Column:
+    """At how many places of the column a word of the dictionary ends. One walk that holds the last letters; the list is looked up by hash."""
+    words, most = ", ".join(f"'{w}'" for w in dictionary()), max(WORD_LENGTHS)
+    last = f"right(concat(a.last, c), {most})"
+    ends = f"exists(array({', '.join(map(str, WORD_LENGTHS))}), n -> right({last}, n) IN ({words}))"
+    return F.expr(f"aggregate(split(lower({column}), ''), struct('' AS last, 0 AS n), (a, c) -> struct({last} AS last, a.n + if({ends}, 1, 0) AS n), a -> a.n)").cast("double")
+
+
 def features(found: DataFrame) -> DataFrame:
     """found (value, before, after, path) with the FEATURES as doubles."""
     v, n = F.col("value"), F.length("value").cast("double")
@@ -91,12 +123,14 @@ def features(found: DataFrame) -> DataFrame:
         "f_entropy": entropy,
         "f_repeats": count(r"(.)(?=\1)") / n,
         "f_words": (n - F.length(F.regexp_replace(v, PIECES, ""))) / n,
+        "f_dictionary": _word_ends("value") / n,
+        "f_sentence_words": F.size(F.regexp_extract_all(v, F.lit("[a-z]+(?=[^A-Za-z0-9]|$)"), F.lit(0))).cast("double") / n,
         "f_vowel_runs": count("(?i)[bcdfghjklmnpqrstvwxyz][aeiou]") / n,
         "f_all_digits": like(v, "^[0-9]+$"),
         "f_all_hex": like(v, "^(?:[0-9a-f]+|[0-9A-F]+)$"),
         "f_uuid": like(v, "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"),
         "f_prefix": like(v, KNOWN_PREFIX),
-        "f_secret_before": like(F.col("before"), SECRET_WORDS + r"\W{0,6}\w{0,12}\W{0,6}$"),
+        "f_secret_before": like(F.col("before"), SECRET_WORDS + r"[\w.-]{0,16}\W{0,6}\w{0,12}\W{0,6}$"),
         "f_other_before": like(F.col("before"), OTHER_WORDS),
         "f_sample_near": like(F.concat("before", F.lit(" "), "after"), SAMPLE_WORDS),
         "f_sample_inside": like(v, SAMPLE_WORDS),
@@ -129,6 +163,13 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) ->
         (1, F.concat(F.lit("ghp_"), cut(b64, 36)), F.concat(prose_b, pick(7, "", "token=", "Bearer ")), prose_a),
         (1, cut(b64, 40), F.concat(prose_b, pick(8, "aws_secret_access_key = ", "client_secret=", "apikey: ", "SECRET=")), prose_a),
         (1, F.concat(pick(9, "sk_live_", "sk-", "glpat-", "xoxb-"), cut(b64, 28)), prose_b, prose_a),
+        (1, F.concat(pick(18, "correcthorse", "ilovemydog", "summerrain", "Tr0ub4dor", "openSesame", "letmeinplease"), pick(19, "battery", "garden", "winter", "!river", "mountain"), pick(20, "staple", "window", "#9", "yellow", "")), F.concat(prose_b, pick(21, "password: ", "password=", "passwd = '", "pwd: ", "passphrase=")), prose_a),
+        (1, F.concat(pick(22, "hunter", "qwerty", "dragon", "zx!", "P@ss", "m0nkey"), cut(digits, 3), pick(23, "!", "", "#", "$x")), F.concat(prose_b, pick(24, "password=", "db_password: ", "pwd=", 'secret="')), prose_a),
+        (1, F.translate(cut(b64, 24), "0123456789+/", "abcdefghijkl"), F.concat(prose_b, pick(25, "api_key=", "token: ", 'access_key="', "auth_token=")), prose_a),
+        (1, F.concat(F.lit("-----BEGIN "), pick(26, "RSA ", "", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----\n"), b64, F.lit("\n"), b64, F.lit("\n")), prose_b, prose_a),
+        (1, F.concat(b64, b64, b64, b64, b64, b64, b64, b64, b64, b64, b64, b64, b64, b64), F.concat(prose_b, pick(27, "token=", "", "Bearer ")), prose_a),
+        (0, pick(28, "required", "string", "undefined", "request.form", "getpass()", "os.environ", "optional,", "none,", "settings.token", "is", "the", "must be", "process.env.TOKEN", "${TOKEN}", "[hidden]", "******", "forgotten?"), F.concat(prose_b, pick(29, "password: ", "token: ", "secret = ", "auth = ", "api_key=", "credential: ")), prose_a),
+        (0, F.concat(prose_b, pick(30, "information", "authentication", "application")), F.concat(pick(31, "token: ", "secret: ", "password: "), F.lit("")), prose_a),
         (0, cut(digits, 16), prose_b, prose_a),
         (0, F.concat(F.lit("4"), F.substring(digits, 1, 15)), F.concat(prose_b, pick(10, "", "card ", "order ", "invoice no. ")), prose_a),
         (0, cut(hexa, 40), F.concat(prose_b, pick(11, "commit ", "revision ", "sha1 ", "tree ")), prose_a),
