@@ -140,37 +140,38 @@ def _by_group(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(g[order], np.arange(GROUPS + 1))
 
 
-def log_probs(lm: Lm, flat: np.ndarray, first: np.ndarray, goals: np.ndarray, batch: int = 1024) -> np.ndarray:
+def log_probs(lm: Lm, flat: np.ndarray, first: np.ndarray, goals: np.ndarray, batch: int = 2048) -> np.ndarray:
     """The targets' natural log probabilities, by slot."""
     w, out = lm.weights, np.zeros(goals.shape, np.float32)
     # a place's vectors depend on its token and its number in the window only
     at = (w["E"][:, None] + w["P"][None]).reshape(-1, DIM)
+    ones, after = np.ones(SLOTS, np.float32), lm.slot_after.reshape(-1, SLOTS)
     tq, tk, tv = at @ (w["Q"] / _ROOT), at @ w["K"], at @ w["V"]
     for b in range(0, len(first), batch):
         x = flat[first[b : b + batch, None] + _PLACES].astype(np.int64)
         i = x * WINDOW + _PLACES
-        a = tq[i[:, LEAD:]] @ tk[i].transpose(0, 2, 1)
+        a = tq.take(i[:, LEAD:], 0) @ tk.take(i, 0).transpose(0, 2, 1)
         np.minimum(a, 60, out=a)  # exp stays finite; trained scores are far below
         a += _MASK[LEAD:]
         np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
-        h = (a @ tv[i]).reshape(-1, DIM)
+        h = (a @ tv.take(i, 0)).reshape(-1, DIM)
         before, goal = x[:, LEAD:].ravel(), np.maximum(goals[b : b + batch].ravel(), 0).astype(np.int64)
         row = np.arange(len(goal))
         z = h @ w["G"]
-        z += lm.group_after[before]
-        got = z[row, goal // SLOTS]
+        z += lm.group_after.take(before, 0)
+        got = z.ravel().take(row * GROUPS + goal // SLOTS)
         np.exp(z, out=z)
-        found = got - np.log(z.sum(-1))
+        found = got - np.log(z @ ones)
         order, cut = _by_group(goal)
-        hs, z = h[order], np.empty((len(goal), SLOTS), np.float32)
+        hs, z = h.take(order, 0), np.empty((len(goal), SLOTS), np.float32)
         for g in range(GROUPS):
             np.matmul(hs[cut[g] : cut[g + 1]], w["S"][g], out=z[cut[g] : cut[g + 1]])
         of = goal[order]
-        z += lm.slot_after[before[order], of // SLOTS]
-        got = z[row, of % SLOTS]
+        z += after.take(before[order] * GROUPS + of // SLOTS, 0)
+        got = z.ravel().take(row * SLOTS + of % SLOTS)
         np.exp(z, out=z)
-        found[order] += got - np.log(z.sum(-1))
+        found[order] += got - np.log(z @ ones)
         out[b : b + batch] = found.reshape(-1, STRIDE)
     return out
 
@@ -178,15 +179,15 @@ def log_probs(lm: Lm, flat: np.ndarray, first: np.ndarray, goals: np.ndarray, ba
 def _shares(z: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """In place: the loss's gradient by the scores z, whose right ones stand at ``at``."""
     np.exp(z, out=z)
-    z *= (weight / z.sum(-1))[:, None]
-    z[np.arange(len(z)), at] -= weight
+    z *= (weight / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    z.ravel()[np.arange(len(z)) * z.shape[1] + at] -= weight
     return z
 
 
 def gradient(lm: Lm, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss over the targets of training windows."""
     w, n, ids = lm.weights, len(x), x.ravel().astype(np.int64)
-    at = (w["E"][x] + w["P"]).reshape(-1, DIM)
+    at = (w["E"].take(x, 0) + w["P"]).reshape(-1, DIM)
     inward = np.concatenate([w["Q"] / _ROOT, w["K"], w["V"]], 1)
     q, k, v = ((at @ inward)[:, i * DIM : (i + 1) * DIM].reshape(n, WINDOW, DIM) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
@@ -199,16 +200,16 @@ def gradient(lm: Lm, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     weight = (goal >= 0) / np.maximum((goal >= 0).sum(), 1, dtype=at.dtype).astype(at.dtype)
     goal = np.maximum(goal, 0)
     z = h @ w["G"]
-    z += lm.group_after[ids]
+    z += lm.group_after.take(ids, 0)
     _shares(z, goal // SLOTS, weight)
     out = {"G": h.T @ z}
     dh = z @ w["G"].T
     order, cut = _by_group(goal)
-    hs, of = h[order], goal[order]
+    hs, of = h.take(order, 0), goal[order]
     t, back, out["S"] = np.empty((len(goal), SLOTS), at.dtype), np.empty_like(h), np.empty_like(w["S"])
     for g in range(GROUPS):
         np.matmul(hs[cut[g] : cut[g + 1]], w["S"][g], out=t[cut[g] : cut[g + 1]])
-    t += lm.slot_after[ids[order], of // SLOTS]
+    t += lm.slot_after.reshape(-1, SLOTS).take(ids[order] * GROUPS + of // SLOTS, 0)
     _shares(t, of % SLOTS, weight[order])
     for g in range(GROUPS):
         part = slice(cut[g], cut[g + 1])
@@ -228,7 +229,7 @@ def gradient(lm: Lm, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     sorted_ids = ids[by_id]
     head = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
     out["E"] = np.zeros_like(w["E"])
-    out["E"][sorted_ids[head]] = np.add.reduceat(dx[by_id], head, axis=0)
+    out["E"][sorted_ids[head]] = np.add.reduceat(dx.take(by_id, 0), head, axis=0)
     return out
 
 
@@ -240,7 +241,7 @@ class Adam:
         self.lm, self.rate, self.steps = lm.with_weights(self.x), rate, 0
         self.m, self.s = np.zeros_like(self.x), np.zeros_like(self.x)
 
-    def learn(self, x: np.ndarray, y: np.ndarray, batch: int = 192) -> None:
+    def learn(self, x: np.ndarray, y: np.ndarray, batch: int = 384) -> None:
         order = np.random.default_rng(len(x)).permutation(len(x))
         for b in range(0, len(x), batch):
             pick = order[b : b + batch]
