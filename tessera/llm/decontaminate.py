@@ -6,8 +6,9 @@ can start no match and are left out of it. Each suffix of each test item is
 binary-searched in the shard's array for its first ``window`` words (an item
 with fewer words is searched whole), and every hit is extended word by word to
 its longest verbatim match. Documents never shuffle; the test items travel to
-the shards in blocks of at most ``block_bytes`` of text, one pass each, so what
-a task holds stays bounded however large the benchmark is.
+the shards in broadcast blocks of at most ``block_bytes`` of text, one pass each,
+so the driver holds one block at a time; a task runs the passes of all blocks side
+by side, which suits benchmarks of some blocks, not of thousands.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z folded.
 
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import WORD_BYTES, free_name, table
 
 WINDOW = 10
+#: Pairs of a test's window and a place in the texts that are looked at together.
+PAIRS = 1 << 19
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType()), T.StructField("doc_start", T.LongType()), T.StructField("length", T.LongType())])
 RESULT = ("n_words", "hit_spans", "matches")
@@ -59,6 +62,9 @@ class Tests:
             self.items.append((item_id, ids))
         self.starts, self.owner, self.sizes = (np.array(x, np.int64) for x in (starts, owner, sizes))
         self.least = int(self.sizes.min(initial=window))
+        # all items in a row, a 0 before each and after the last
+        self.offset = np.cumsum([1, *(len(ids) + 1 for _, ids in self.items)])
+        self.flat = np.concatenate([x for _, ids in self.items for x in (np.zeros(1, np.int64), ids)] + [np.zeros(1, np.int64)])
         padded = np.zeros((len(starts), window), ">u4")
         above = np.full((len(starts), window), 0xFFFFFFFF, ">u4")
         for i, (s, o, n) in enumerate(zip(starts, owner, sizes, strict=True)):
@@ -96,31 +102,35 @@ class Tests:
         left = np.searchsorted(key, self.low, "left")
         right = np.where(self.sizes == self.window, np.searchsorted(key, self.low, "right"), np.searchsorted(key, self.high, "right"))
         n = np.maximum(0, right - left)
-        test = np.repeat(np.arange(len(n)), n)
-        at = place[np.repeat(left, n) + np.arange(len(test)) - np.repeat(np.cumsum(n) - n, n)]
-        if not len(at):
+        ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
             return out
-        doc = np.searchsorted(first, at, "right") - 1
         mark = np.zeros(len(flat) + 1, np.int64)
-        np.add.at(mark, at, 1)
-        np.add.at(mark, at + self.sizes[test], -1)
+        heads = []
+        for lo in range(0, int(ends[-1]), PAIRS):  # repetitive texts make many pairs: so many are held at a time
+            pair = np.arange(lo, min(lo + PAIRS, int(ends[-1])))
+            test = np.searchsorted(ends, pair, "right")
+            at = place[left[test] + pair - (ends[test] - n[test])]
+            mark += np.bincount(at, minlength=len(mark)) - np.bincount(at + self.sizes[test], minlength=len(mark))
+            # a match begins where the words before differ; the windows after its first one lie within it
+            before = self.flat[self.offset[self.owner[test]] + self.starts[test] - 1]
+            new = (before == 0) | (before != np.where(at > 0, flat[at - 1], 0))
+            heads.append((test[new], at[new]))
         hit = np.cumsum(mark) > 0
-        # windows of one item at consecutive places on one diagonal make one longer match
-        item, start = self.owner[test], self.starts[test]
-        by = np.lexsort((at, at - start, item, doc))
-        doc, item, start, at, size = doc[by], item[by], start[by], at[by], self.sizes[test][by]
-        new = np.ones(len(at), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - start[1:] != at[:-1] - start[:-1]) | (at[1:] != at[:-1] + 1)
-        head = np.flatnonzero(new)
-        length = np.diff(np.append(head, len(at))) - 1 + size[head]
-        doc, item, start, at = doc[head], item[head], start[head], at[head]
+        test, at = (np.concatenate(x) for x in zip(*heads, strict=True))
+        doc, item, start = np.searchsorted(first, at, "right") - 1, self.owner[test], self.starts[test]
+        length, on = self.sizes[test].copy(), np.arange(len(test))
+        while len(on):  # word by word to the longest verbatim match
+            ahead = self.flat[self.offset[item[on]] + start[on] + length[on]]
+            on = on[(ahead != 0) & (ahead == flat[at[on] + length[on]])]
+            length[on] += 1
         best = np.lexsort((at, start, -length, item, doc))
         one = np.ones(len(best), bool)
         one[1:] = (doc[best][1:] != doc[best][:-1]) | (item[best][1:] != item[best][:-1])
         for i in best[one]:
             d = doc[i]
             out[d][2].append((self.items[item[i]][0], int(start[i]), int(at[i] - first[d]), int(length[i])))
-        for d in np.unique(doc):
+        for d in np.unique(doc):  # every hit lies in a match
             edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[first[d] : first[d + 1]], [False]])))
             out[d][1].extend((int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True))
         return out
@@ -154,9 +164,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     spans_t = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     match_t = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())]))
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        tests = Tests(items, window)
+        shared = docs.sparkSession.sparkContext.broadcast(Tests(items, window))  # goes to disk; the driver holds one block at a time
 
-        def run(batches, tests=tests):
+        def run(batches, shared=shared):
+            tests = shared.value
             for whole in batches:
                 for k in range(0, whole.num_rows, shard_docs):
                     batch = whole.slice(k, shard_docs)

@@ -11,9 +11,10 @@ its words (a match kernel), so one insult in a long text counts as in a short
 one, and the logarithm of the values' sum. A linear machine (squared hinge) is trained on that, and a logistic curve
 on its margins gives the score.
 
-Training: word counts cover all labelled training rows; the machine is fitted
-on at most about ``fit_rows`` of them a label (a hash picks them, whole texts),
-the documented bound of what reaches the driver. Scoring is one pass over whole
+Training: landmarks are chosen and the machine is fitted on at most about
+``fit_rows`` labelled rows a label (a hash picks them, whole texts), the
+documented bound of what reaches the driver. An insult too rare to occur in that
+sample a few times gets no landmark of its own. Scoring is one pass over whole
 texts without a shuffle; each distinct word is compared with the landmarks once
 a worker.
 
