@@ -148,7 +148,7 @@ def _features(shingle: int, trees: int):
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 sizes, prints, values = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(part.num_columns - 1).to_pylist():
                     s = shingle_set(text, shingle, hashes)
                     sizes.append(len(s))
                     prints.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
@@ -158,7 +158,7 @@ def _features(shingle: int, trees: int):
                 leaves = [x.tolist() if n else [] for x, n in zip(found.view(np.int64), sizes, strict=True)]
                 ways = [x.tobytes() for x in found.astype(np.uint32)]
                 low = (v & np.uint32(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(ways, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], names=["own", *(f.name for f in FEATURES)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(ways, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], names=[*part.schema.names[:-1], *(f.name for f in FEATURES)])
                 uid += len(sizes)
 
     return run
@@ -390,12 +390,13 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = TREES, early: int = 3) -> DataFrame:
-    """A row a document: id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = TREES, early: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row a document: id, n_shingles, component_id, kept, and the columns named in carry."""
     spark = docs.sparkSession
     stage = Stage(spark)
-    own = T.StructType([T.StructField("own", docs.schema[id_col].dataType)])
-    texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("binary").alias("text"))
+    carried = {f"c{i}": c for i, c in enumerate(carry)}
+    texts = docs.select(F.col(id_col).alias("own"), *[F.col(c).alias(k) for k, c in carried.items()], F.col(text_col).cast("binary").alias("text"))
+    own = texts.schema[:-1]
     every = stage.keep(texts.mapInArrow(_features(shingle, trees), T.StructType([*own, *FEATURES])))
     # a node for each distinct set, numbered by one of its rows
     copies = stage.keep(every.where("print IS NOT NULL").groupBy("print").agg(F.min("uid").alias("id"), F.min("own").alias("rep")))
@@ -514,9 +515,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_copy = copies.withColumn("component", F.col("id")) if labels is None else with_component(copies).withColumnRenamed("comp", "component")
     of_copy = stage.keep(of_copy.select("print", "rep", "component"))
     least_of = of_copy.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = every.select("own", "n", "print").join(of_copy.join(least_of, "component").select("print", "component_id"), "print", "left")
+    named = every.select("own", *carried, "n", "print").join(of_copy.join(least_of, "component").select("print", "component_id"), "print", "left")
     component = F.when(F.col("print").isNull(), F.col("own")).otherwise(F.col("component_id"))
-    out = stage.keep(named.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")))
+    out = stage.keep(named.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *[F.col(k).alias(c) for k, c in carried.items()]))
     stage.drop_but(out)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 

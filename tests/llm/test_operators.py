@@ -805,6 +805,29 @@ def test_decontamination_short_items_and_blocks(spark):
         assert best.length == want[3][0] and best.doc_start == 0, "the longest verbatim match is the whole text"
 
 
+def test_matches_of_repetitive_texts(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(150):
+        monkeypatch.setattr(decontaminate, "PAIRS", rng.choice([7, 50, 1 << 19]))
+        words = ["a", "b", "c"][: rng.choice([1, 2, 3])] + ["x"]
+        items = [(str(i), " ".join(rng.choice(words) for _ in range(rng.randrange(25))).encode()) for i in range(4)]
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))).encode() for _ in range(3)]
+        for text, (n, spans, matches) in zip(texts, decontaminate.Tests(items, 5).search(texts), strict=True):
+            w, longest, hit = text.split(), {}, set()
+            for name, item in items:
+                v = item.split()
+                m = min(5, len(v))
+                for s, p in itertools.product(range(len(v) - m + 1 if v else 0), range(len(w) - m + 1)):
+                    if w[p : p + m] == v[s : s + m]:
+                        size = m
+                        while s + size < len(v) and p + size < len(w) and v[s + size] == w[p + size]:
+                            size += 1
+                        hit |= set(range(p, p + m))
+                        longest[name] = max(longest.get(name, 0), size)
+            assert n == len(w) and {k for a, b in spans for k in range(a, a + b)} == hit
+            assert {name: size for name, _, _, size in matches} == longest
+
+
 def test_decontamination_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, "the same text of seven words")], "item_id bigint, text string")
     kept = decontaminate.remove_contaminated(odd, bench)
@@ -876,6 +899,16 @@ def test_pipeline(spark, sf_dir, odd, none):
             docs = Stage(spark).keep(stage(spark, docs, sf_dir))
 
 
+def test_pipeline_near_stage_goes_by_text(spark, sf_dir):
+    import corpus_pipeline
+
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (2, other), (3, other + " end"), (None, text + " fin"), (None, "something of its own that nothing else holds")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[5]], key=str)
+
+
 def test_entry_without_this_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
