@@ -13,7 +13,8 @@ and returns a DataFrame; all but the last return the columns of documents.
 5. packing: sequences of 512 to 4096 tokens; a row for each piece, with its ids.
 
 A null or empty text has no language and goes in the first stage; an empty
-table passes through as an empty table.
+table passes through as an empty table. Rows may repeat an id: each goes by its
+own text, and of rows with one id and near texts whose id is the smallest all stay.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom, decontaminate, exact_dedup, language_id, near_dedup, packing
-from tessera.llm.common import Stage, table
+from tessera.llm.common import Stage, free_name, table
 
 #: Under this posterior a text's language counts as not told.
 LEAST_SCORE = 0.5
@@ -38,9 +39,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id")
+    # rows are known by id and text, so that rows of one id don't go for one another
+    key = free_name(docs.columns, "_tess_row")
+    rows = docs.withColumn(key, F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), "text").cast("binary")))
+    dropped = near_dedup.near_duplicates(rows, shingle=5, percent=80, carry=(key,)).where("NOT kept").select(key)
     stage = Stage(spark)
-    return bloom.without(docs, stage.keep(dropped), "doc_id", stage)
+    return bloom.without(rows, stage.keep(dropped), key, stage).drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +66,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs, stage = table(spark, sf_dir, "documents"), Stage(spark)
+    docs, stage, before = table(spark, sf_dir, "documents"), Stage(spark), None
     for _, function in STAGES[:-1]:
         docs = stage.keep(function(spark, docs, sf_dir))
+        if before is not None:
+            stage.drop(before)  # the table of the stage before is no longer read
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
