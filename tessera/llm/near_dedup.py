@@ -278,9 +278,10 @@ def _tiles(least: int, best_only: bool):
                 elif best_only:
                     sure = np.where(ok, est, 0)
                     rows, cols = np.arange(len(i)), np.arange(len(j))
-                    hub_row, hub_col = ok.sum(1).argmax(), ok.sum(0).argmax()
-                    x = np.concatenate([rows, sure.argmax(0), np.full(len(j), hub_row), rows])
-                    y = np.concatenate([sure.argmax(1), cols, cols, np.full(len(i), hub_col)])
+                    by_row, by_col = ok.sum(1), ok.sum(0)
+                    hub_row, hub_col = (int((by_row + by_col).argmax()),) * 2 if same else (int(by_row.argmax()), int(by_col.argmax()))
+                    x = np.concatenate([rows, np.full(len(j), hub_row), rows])
+                    y = np.concatenate([sure.argmax(1), cols, np.full(len(i), hub_col)])
                     keep = ok[x, y]
                     x, y = np.unique(np.stack([x[keep], y[keep]]), axis=1)
                     if len(x) < n:
