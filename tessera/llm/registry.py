@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }
