@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import attention_lm, decontaminate, exact_dedup, language_id, license_scan, line_dedup, line_runs, near_dedup, packing, secret_scan, toxicity
+from tessera.llm import attention_lm, conversation_repair, decontaminate, exact_dedup, language_id, license_scan, line_dedup, line_runs, near_dedup, packing, secret_scan, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_language_id": language_id.op10_language_id,
     "op12_line_runs": line_runs.op12_line_runs,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
     "op12_line_runs": line_runs.OP12_SQL,
+    "op13_conversation_repair": conversation_repair.OP13_SQL,
 }
