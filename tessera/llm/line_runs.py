@@ -17,7 +17,7 @@ folded; it is known by two 64-bit hashes of different seeds. Keys of fewer than
 that at least ``min_docs`` documents hold, but for those in the documents of the
 largest id. Documents are split once into hashes (written to the shared folder,
 one part a batch) and, where lines must go, once more into lines; only those
-documents' texts shuffle. A line of a third of all documents is one row for each
+documents' texts shuffle, by the same plan at every size. A line of a third of all documents is one row for each
 map task when grouped, and a hot key of a plain join when its places are looked
 up, which adaptive execution splits.
 
@@ -151,7 +151,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = (F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), text.alias("kept_text"))
     gone = gone.select(*[F.col(c).alias(names[c]) for c in ("id", "t", "gone")])
     same = F.col(id_col).eqNullSafe(F.col(names["id"])) & (F.xxhash64(text) == F.col(names["t"]))
-    cut = marked.where(names["maybe"]).join(gone, same, "left").select(*own, names["gone"], F.split(text, "\n", -1).alias(names["lines"]))
+    cut = marked.where(names["maybe"]).join(gone.hint("merge"), same, "left").select(*own, names["gone"], F.split(text, "\n", -1).alias(names["lines"]))
     # sets of numbers differ in one pass over both, however many lines go
     kept = F.array_except(F.sequence(F.lit(0), F.size(names["lines"]) - 1), F.coalesce(F.col(names["gone"]), F.array().cast("array<int>")))
     left = F.array_join(F.transform(kept, lambda p: F.get(F.col(names["lines"]), p)), "\n")
