@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import attention_lm, conversation_repair, decontaminate, exact_dedup, language_id, license_scan, line_dedup, line_runs, near_dedup, packing, secret_scan, toxicity
+from tessera.llm import attention_lm, conversation_repair, decontaminate, exact_dedup, language_id, license_scan, line_dedup, line_runs, near_dedup, packing, secret_scan, token_alignment, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_language_id": language_id.op10_language_id,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_line_runs": line_runs.op12_line_runs,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
