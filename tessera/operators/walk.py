@@ -13,11 +13,16 @@ Row order within a lookup, which decides what comes first, is that of the
 primary key (of all columns where there is none).
 
 ``mode="closure"`` follows every row instead, until nothing new is found.
+
+What a walk leaves (``Walked``) holds its rows and which tables it has visited, so
+that ``extend``, ``resolve_disconnected`` and ``sample_unreached`` go on from it:
+rows of a table visited before are added where they are new, and not followed.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,20 +47,47 @@ def _new(found: DataFrame, seen: DataFrame | None, keys: list[str]) -> DataFrame
     return found.join(s, same, "left_anti")
 
 
-def walk(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, seed_rows: DataFrame, mode: str = "compat") -> dict[str, DataFrame]:
+class Walked(dict):
+    """table -> its rows, with the tables that a walk has visited: looked into with a value, whether rows came or not."""
+
+    def __init__(self, rows: dict[str, DataFrame], visited: set[str] | None = None) -> None:
+        super().__init__(rows)
+        self.visited = set(rows) if visited is None else set(visited)
+
+    @classmethod
+    def of(cls, rows: dict[str, DataFrame]) -> Walked:
+        """A state of its own; of a plain dictionary all tables count as visited."""
+        return cls(rows, rows.visited if isinstance(rows, Walked) else None)
+
+    def add(self, catalog: Catalog, table: str, rows: DataFrame) -> None:
+        """Adds the rows that are not held yet, each once; written, so that no later lookup holds this one's plan."""
+        keys = key_of(catalog, table, rows)
+        fresh = written(_new(rows, self.get(table), keys).dropDuplicates(keys))
+        self[table] = fresh if table not in self else self[table].unionByName(fresh)
+
+    def held(self, column: str) -> DataFrame | None:
+        """The distinct values (_v) that rows have so far in columns of that name; None where no table has it."""
+        found = [df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v")) for df in self.values() if column in df.columns]
+        return reduce(DataFrame.unionByName, found).distinct() if found else None
+
+
+def walk(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, seed_rows: DataFrame, mode: str = "compat") -> Walked:
     """table -> its rows in the walked sub-database. tables may leave some of the catalog's tables out."""
     if mode not in ("compat", "closure"):
         raise ValueError(f"mode must be compat or closure, not {mode!r}")
     if mode == "closure":
         return _closure(tables, catalog, seed_table, seed_rows)
-    result: dict[str, DataFrame] = {seed_table: seed_rows}
-    visited = {seed_table}
-    queue: deque[tuple[str, DataFrame]] = deque([(seed_table, seed_rows)])
+    return _follow(Walked({seed_table: seed_rows}), tables, catalog, seed_table, seed_rows)
+
+
+def _follow(result: Walked, tables: dict[str, DataFrame], catalog: Catalog, table: str, rows: DataFrame) -> Walked:
+    """Works off rows of a table and the batches they lead to; result grows."""
+    queue: deque[tuple[str, DataFrame]] = deque([(table, rows)])
     while queue:
         table, batch = queue.popleft()
         order = key_of(catalog, table, batch)
         edges = [e for e in catalog.edges(table) if e.to_table in tables]
-        fresh_edges = [(r, e) for r, e in enumerate(edges) if e.to_table not in visited]
+        fresh_edges = [(r, e) for r, e in enumerate(edges) if e.to_table not in result.visited]
         # of each relationship, the first row (by key) that has a value, and that value
         first: dict[str, tuple[tuple, object]] = {}
         if fresh_edges:
@@ -76,16 +108,14 @@ def walk(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, seed_r
                 started.append((at, e.to_table, written(target.where(F.col(e.to_column) == F.lit(value)).dropDuplicates(keys))))
             values = batch.where(F.col(e.from_column).isNotNull()).select(F.col(e.from_column).alias("_key")).distinct()
             found = target.join(values, target[e.to_column] == values["_key"], "left_semi")
-            # written, so that no later lookup holds this one's plan
-            fresh = written(_new(found, result.get(e.to_table), keys).dropDuplicates(keys))
-            result[e.to_table] = fresh if e.to_table not in result else result[e.to_table].unionByName(fresh)
-        visited |= set(first)
+            result.add(catalog, e.to_table, found)
+        result.visited |= set(first)
         for _, name, own in sorted(started, key=lambda x: x[0]):
             queue.append((name, own))
     return result
 
 
-def _closure(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, seed_rows: DataFrame) -> dict[str, DataFrame]:
+def _closure(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, seed_rows: DataFrame) -> Walked:
     result, frontier = {seed_table: seed_rows}, {seed_table: seed_rows}
     while frontier:
         reached: dict[str, DataFrame] = {}
@@ -103,25 +133,30 @@ def _closure(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, se
         frontier = {t: c for t, r in reached.items() if (c := written(r)).limit(1).count()}
         for t, r in frontier.items():
             result[t] = r if t not in result else result[t].unionByName(r)
-    return result
+    return Walked(result)
 
 
-def extend(result: dict[str, DataFrame], tables: dict[str, DataFrame], catalog: Catalog, table: str, rows: DataFrame) -> dict[str, DataFrame]:
-    """result with rows of a table and what a walk from them reaches, each row once: rows that result holds already are not added again."""
-    out = dict(result)
-    for name, df in walk(tables, catalog, table, rows).items():
-        keys = key_of(catalog, name, df)
-        out[name] = df if name not in out else out[name].unionByName(written(_new(df, out[name], keys)))
-    return out
+def extend(result: dict[str, DataFrame], tables: dict[str, DataFrame], catalog: Catalog, table: str, rows: DataFrame) -> Walked:
+    """result with rows of a table and what following them reaches, each row once.
+
+    The given rows are followed. Of what they reach, only tables that nothing visited before are followed further."""
+    out = Walked.of(result)
+    out.add(catalog, table, rows)
+    out.visited.add(table)
+    return _follow(out, tables, catalog, table, rows)
+
 
+def sample_unreached(result: dict[str, DataFrame], tables: dict[str, DataFrame], catalog: Catalog, n: int = 1, seed: int = 0) -> Walked:
+    """result with a seeded sample of n rows of each table that was not visited, in catalog order, and what following each sample reaches.
 
-def sample_unreached(result: dict[str, DataFrame], tables: dict[str, DataFrame], catalog: Catalog, n: int = 1, seed: int = 0) -> dict[str, DataFrame]:
-    """result with a seeded sample of n rows of each table that nothing has reached, taken for itself."""
-    out = dict(result)
-    for name in [t for t in catalog.tables if t in tables and t not in result]:
+    Tables that an earlier sample's rows reach meanwhile are sampled all the same."""
+    out = Walked.of(result)
+    for name in [t for t in catalog.tables if t in tables and t not in out.visited]:
         keys = key_of(catalog, name, tables[name])
         chance = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
-        out[name] = tables[name].orderBy(chance, *keys).limit(n)
+        rows = written(tables[name].orderBy(chance, *keys).limit(n))
+        if rows.limit(1).count():
+            out = extend(out, tables, catalog, name, rows)
     return out
 
 
@@ -152,29 +187,33 @@ def value_index(rows: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
     return out.distinct()
 
 
-def resolve_disconnected(result: dict[str, DataFrame], tables: dict[str, DataFrame], catalog: Catalog, exclude_columns: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Adds tables that no foreign key reached, by key columns of the same name that share values, and walks on from them.
+def resolve_disconnected(result: dict[str, DataFrame], tables: dict[str, DataFrame], catalog: Catalog, exclude_columns: tuple[str, ...] = ()) -> Walked:
+    """Adds tables that were not visited, by key columns of the same name that share values with rows held so far, and follows what they add.
 
-    Tables in catalog order, columns in order of declaration; the first column with a match wins."""
-    result = dict(result)
+    Tables in catalog order, columns in order of declaration; the first column with a match wins. Passes go on
+    until one adds no table; a table that another one's rows reach within a pass is still matched in it."""
+    out = Walked.of(result)
     eligible = catalog.key_columns() - set(exclude_columns)
     progress = True
     while progress:
         progress = False
-        for t in [t for t in catalog.tables if t in tables and t not in result]:
+        for t in [t for t in catalog.tables if t in tables and t not in out.visited]:
             for c in (c.name for c in catalog.tables[t].columns if c.name in eligible):
-                held = [df.where(F.col(c).isNotNull()).select(F.col(c).alias("_v")) for df in result.values() if c in df.columns]
-                if not held:
+                values = out.held(c)
+                if values is None:
                     continue
-                values = held[0]
-                for h in held[1:]:
-                    values = values.unionByName(h)
-                rows = tables[t].join(values.distinct(), F.col(c) == F.col("_v"), "left_semi")
+                rows = written(tables[t].join(values, F.col(c) == F.col("_v"), "left_semi"))
                 if rows.limit(1).count():
-                    result = extend(result, tables, catalog, t, rows)
+                    out = extend(out, tables, catalog, t, rows)
                     progress = True
                     break
-    return result
+    return out
+
+
+def sub_database(tables: dict[str, DataFrame], catalog: Catalog, seed_table: str, seed_rows: DataFrame, resolve: bool = True, sample: int = 3, seed: int = 0) -> Walked:
+    """A walk, then what shared key values connect, then a sample of each table that is still unvisited."""
+    out = walk(tables, catalog, seed_table, seed_rows)
+    return sample_unreached(resolve_disconnected(out, tables, catalog), tables, catalog, sample, seed) if resolve else out
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
