@@ -7,13 +7,14 @@ of additions does not show.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text, values
 from tessera.operators import combos, digest, domain, evaluate, metrics, toolgraph, verify, walk
-from tessera.sources.catalog import DRIVER
+from tessera.sources.catalog import DRIVER, declare
 from tessera.sources.readers import driver_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,13 +390,47 @@ def value_index(spark, d):
     return walk.value_index(driver_tables(spark, d, ["customer", "orders"]), DRIVER)
 
 
-@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de')")
+#: Orders and lines tied to nobody by declared keys, suppliers by columns of one name only.
+_LOOSE = declare(
+    {"nation": ["nationkey INTEGER"], "customer": ["custkey INTEGER", "nationkey INTEGER"], "supplier": ["suppkey INTEGER", "nationkey INTEGER"], "orders": ["orderkey INTEGER", "custkey INTEGER"], "lines": ["orderkey INTEGER", "linenumber INTEGER", "suppkey INTEGER"]},
+    {"nation": ["nationkey"], "customer": ["custkey"], "supplier": ["suppkey"], "orders": ["orderkey"]},
+    [("customer", "nationkey", "nation", "nationkey"), ("supplier", "nationkey", "nation", "nationkey"), ("lines", "suppkey", "supplier", "suppkey"), ("lines", "orderkey", "orders", "orderkey")],
+)
+
+
+def _loose_tables(spark, d):
+    """The driver's tables under the names that _LOOSE gives their columns."""
+    out = {}
+    for name, own in _LOOSE.tables.items():
+        df = t(spark, d, "lineitem" if name == "lines" else name)
+        out[name] = df.select(*[F.col(c).cast("bigint").alias(c.split("_", 1)[1]) for c in df.columns if c.split("_", 1)[1] in {x.name for x in own.columns}]).distinct()
+    return out
+
+
+@query("""
+WITH s0 AS (SELECT * FROM supplier WHERE s_nationkey = 3),
+l AS (SELECT DISTINCT l_linenumber, l_orderkey, l_suppkey FROM lineitem),
+l1 AS (SELECT * FROM l WHERE l_suppkey IN (SELECT s_suppkey FROM s0)),
+lb AS (SELECT * FROM l WHERE l_suppkey = (SELECT min(s_suppkey) FROM s0)),
+o1 AS (SELECT l_orderkey FROM lb),
+l2 AS (SELECT * FROM l WHERE l_orderkey = (SELECT l_orderkey FROM lb ORDER BY ALL LIMIT 1)),
+o2 AS (SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM l1 UNION SELECT l_orderkey FROM l2 UNION SELECT l_orderkey FROM o1)),
+l3 AS (SELECT * FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM o2)),
+s1 AS (SELECT s_suppkey FROM s0 UNION SELECT l_suppkey FROM l3)
+SELECT 'nation' AS table_name, CAST(3 AS BIGINT) AS key, CAST(1 AS BIGINT) AS n
+UNION ALL SELECT 'customer', c_custkey, 1 FROM customer WHERE c_nationkey = 3
+UNION ALL SELECT 'supplier', s_suppkey, 1 FROM s1
+UNION ALL SELECT 'orders', o_orderkey, 1 FROM o2
+UNION ALL SELECT 'lines', l_orderkey, count(*) FROM l3 GROUP BY l_orderkey
+""")
 def resolve_disconnected(spark, d):
-    """Labels found from documents by the name and values of a key, without the foreign key."""
-    bare = {"documents", "labels", "pages"}
-    catalog = type(DRIVER)({n: type(x)(n, x.columns, []) for n, x in DRIVER.tables.items() if n in bare})
-    tables = driver_tables(spark, d, bare)
-    return walk.resolve_disconnected({"documents": tables["documents"].where("lang = 'de'")}, tables, catalog)["labels"].select("doc_id", "quality", "toxic")
+    """Suppliers and orders found by the names and values of keys. What they lead to in visited tables is added and not followed: no customers of other nations."""
+    tables = _loose_tables(spark, d)
+    first = walk.walk({n: tables[n] for n in ("nation", "customer")}, _LOOSE, "nation", tables["nation"].where("nationkey = 3"))
+    found = walk.resolve_disconnected(first, tables, _LOOSE)
+    keys = {"nation": "nationkey", "customer": "custkey", "supplier": "suppkey", "orders": "orderkey", "lines": "orderkey"}
+    parts = [found[n].groupBy(F.col(k).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "key", "n") for n, k in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY md5('42' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 25")

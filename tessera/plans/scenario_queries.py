@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -299,24 +302,47 @@ def reminder_search(spark, d):
 
 # -- walks and graphs --------------------------------------------------------
 
-_BARE = {"region", "nation", "part"}
+@query("""
+WITH rs AS (SELECT r_regionkey FROM region ORDER BY md5('7:' || CAST(r_regionkey AS VARCHAR)), r_regionkey LIMIT 2),
+n1 AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM rs)),
+nb AS (SELECT n_nationkey FROM nation WHERE n_regionkey = (SELECT min(r_regionkey) FROM rs)),
+c1 AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nb)),
+cb AS (SELECT c_custkey FROM customer WHERE c_nationkey = (SELECT min(n_nationkey) FROM nb)),
+o1 AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM cb)),
+ns AS (SELECT n_nationkey, n_regionkey FROM nation ORDER BY md5('7:' || CAST(n_nationkey AS VARCHAR)), n_nationkey LIMIT 2),
+c2 AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM ns)),
+cs AS (SELECT c_custkey, c_nationkey FROM customer ORDER BY md5('7:' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 2),
+o2 AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM cs)),
+os AS (SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 2)
+SELECT 'region' AS table_name, CAST(r_regionkey AS BIGINT) AS key FROM (SELECT r_regionkey FROM rs UNION SELECT n_regionkey FROM ns)
+UNION ALL SELECT 'nation', n_nationkey FROM (SELECT n_nationkey FROM n1 UNION SELECT n_nationkey FROM ns UNION SELECT c_nationkey FROM cs)
+UNION ALL SELECT 'customer', c_custkey FROM (SELECT c_custkey FROM c1 UNION SELECT c_custkey FROM c2 UNION SELECT c_custkey FROM cs UNION SELECT o_custkey FROM os)
+UNION ALL SELECT 'orders', o_orderkey FROM (SELECT o_orderkey FROM o1 UNION SELECT o_orderkey FROM o2 UNION SELECT o_orderkey FROM os)
+""")
+def unreached_sample(spark, d):
+    """From parts, which reach nothing here: two rows of every other table, each sample followed as far as unvisited tables go."""
+    tables = readers.driver_tables(spark, d, {"region", "nation", "customer", "orders", "part"})
+    found = walk.sample_unreached({"part": tables["part"]}, tables, DRIVER, 2, 7)
+    return _keyed(found, {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey"})
 
 
-@query("SELECT p_partkey FROM part ORDER BY md5('7:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 5")
-def unreached_sample(spark, d):
-    """Parts, which nothing reached from nations reaches, sampled for themselves."""
-    tables = readers.driver_tables(spark, d, _BARE)
-    return walk.sample_unreached({"nation": tables["nation"], "region": tables["region"]}, tables, DRIVER, 5, 7)["part"].select("p_partkey")
+def _keyed(found, keys):
+    parts = [found[n].select(F.lit(n).alias("table_name"), F.col(k).cast("bigint").alias("key")) for n, k in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("SELECT 'nation' AS table_name, CAST(n_nationkey AS BIGINT) AS key FROM nation WHERE n_regionkey IN (1, 2) UNION ALL SELECT 'region', CAST(r_regionkey AS BIGINT) FROM region WHERE r_regionkey IN (1, 2)")
+@query("""
+SELECT 'nation' AS table_name, CAST(n_nationkey AS BIGINT) AS key FROM nation WHERE n_regionkey IN (1, 2)
+UNION ALL SELECT 'region', CAST(r_regionkey AS BIGINT) FROM region WHERE r_regionkey IN (1, 2)
+UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+""")
 def extended_walk(spark, d):
-    """A walk from one region, extended by another one; rows held already are not added again."""
-    tables = readers.driver_tables(spark, d, {"region", "nation"})
+    """A walk from one region, extended by another one: its nations are added, but as nations were visited before their customers are not."""
+    tables = readers.driver_tables(spark, d, {"region", "nation", "customer"})
     region = tables["region"]
     first = walk.walk(tables, DRIVER, "region", region.where("r_regionkey = 1"))
-    found = walk.extend(first, tables, DRIVER, "region", region.where("r_regionkey IN (1, 2)"))
-    return found["nation"].select(F.lit("nation").alias("table_name"), F.col("n_nationkey").cast("bigint").alias("key")).unionByName(found["region"].select(F.lit("region").alias("table_name"), F.col("r_regionkey").cast("bigint").alias("key")))
+    found = walk.extend(first, tables, DRIVER, "region", region.where("r_regionkey = 2"))
+    return _keyed(found, {"nation": "n_nationkey", "region": "r_regionkey", "customer": "c_custkey"})
 
 
 def _edges(spark):
