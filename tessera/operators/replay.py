@@ -60,11 +60,6 @@ def replay(calls: DataFrame, tools: dict[str, Tool], start: dict, group: list[st
     return calls.groupBy(*group).applyInPandas(run, schema)
 
 
-def db_check(predicted: DataFrame, gold: DataFrame, task: str) -> DataFrame:
-    """Does each simulation end in the state that its task's gold actions lead to?"""
-    return predicted.join(gold.select(task, F.col("digest").alias("_gold")), task).withColumn("db_match", F.col("digest") == F.col("_gold")).drop("_gold")
-
-
 def completions(requests: DataFrame, responses: DataFrame, key: str) -> DataFrame:
     """Answers of a model, replayed: requests with the completion recorded under the same key, null where there is none.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import bookings
+from tessera.operators import bookings, environments, evaluate
+from tessera.operators.environments import Environment, Toolkit, tool
 from tessera.plans.queries import query, t
 
 # -- bookings ----------------------------------------------------------------
@@ -87,3 +88,127 @@ def after_bookings(spark, d):
     b = _booked(spark, d)
     seats = b.seats.select(F.col("flight").alias("name"), F.col("seats").cast("bigint").alias("amount"))
     return seats.unionByName(b.methods.select(F.concat("method", F.col("user").cast("string")).alias("name"), F.col("balance").cast("bigint").alias("amount")))
+
+
+# -- environments ------------------------------------------------------------
+
+
+class _Looking(Toolkit):
+    @tool("read")
+    def view(state):
+        return state.get("clicks", 0)
+
+    @tool("generic")
+    def click(state):
+        state["clicks"] = state.get("clicks", 0) + 1
+        return "ok"
+
+
+class _Shop(_Looking):
+    @tool("write")
+    def signup(state):
+        state["signed"] = True
+        return {"signed": True, "since": None}
+
+    @tool("write")
+    def purchase(state, k):
+        if not state.get("signed"):
+            raise ValueError("not signed up")
+        state["spent"] = state.get("spent", 0) + k
+        return [state["spent"]]
+
+
+class _Phone(Toolkit):
+    @tool("write")
+    def report(state, k):
+        if k < 10:
+            raise ValueError("too small to report")
+        state["reports"] = state.get("reports", 0) + 1
+        return "ok"
+
+
+_ENV, _SOLO = Environment(_Shop, _Phone), Environment(_Shop, _Phone, solo=True)
+_K = "CAST(regexp_extract(props, '[0-9]+') AS BIGINT)"
+
+
+def _calls(spark, d):
+    """Events as calls: errors are reports that the user's side makes, the largest go to a tool that nobody has."""
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    name = F.when((F.col("event_type") == "error") & (k >= 90), "vanish").when(F.col("event_type") == "error", "report").otherwise(F.col("event_type"))
+    args = F.when(name.isin("purchase", "report"), F.to_json(F.struct(k.alias("k")))).otherwise("{}")
+    return t(spark, d, "events").select("user_id", "event_id", "event_type", k.alias("k"), name.alias("name"), F.when(name == "report", "user").otherwise("assistant").alias("requestor"), args.alias("arguments"))
+
+
+@query(f"""
+SELECT event_id, mode,
+  CASE WHEN event_type = 'error' AND k >= 90 THEN 'Error: Tool ''vanish'' not found.'
+       WHEN event_type = 'error' AND event_id % 2 = 1 AND mode = 'both' THEN 'Error: Tool ''report'' not found.'
+       WHEN event_type = 'error' AND event_id % 2 = 0 AND mode = 'solo' THEN 'Error: User tool calls are not allowed in solo mode'
+       WHEN event_type = 'error' AND k < 10 THEN 'Error: too small to report'
+       WHEN event_type IN ('error', 'click') THEN 'ok'
+       WHEN event_type = 'signup' THEN '{{"signed": "True", "since": null}}'
+       WHEN event_type = 'purchase' THEN 'Error: not signed up' ELSE '"0"' END AS content,
+  event_type = 'purchase' OR event_type = 'error' AND (k >= 90 OR k < 10 OR event_id % 2 = CASE mode WHEN 'both' THEN 1 ELSE 0 END) AS error
+FROM (SELECT *, {_K} AS k FROM events), (VALUES ('both'), ('solo')) m(mode)
+""")
+def dispatched_calls(spark, d):
+    """Each event as a call on a fresh state; reports of odd events are asked for by the assistant, which alone has the user's tools in solo mode."""
+    calls = _calls(spark, d).withColumn("requestor", F.when((F.col("name") == "report") & (F.col("event_id") % 2 == 0), "user").otherwise("assistant"))
+    modes = [environments.responses(calls, env, {}, "event_id").withColumn("mode", F.lit(mode)) for mode, env in (("both", _ENV), ("solo", _SOLO))]
+    return modes[0].unionByName(modes[1]).select("event_id", "mode", "content", "error")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'generic' ELSE 'write' END AS kind FROM events) GROUP BY kind")
+def calls_by_kind(spark, d):
+    """How many events call a tool of each kind; tools that a toolkit inherits count as its own."""
+    rows = t(spark, d, "events").select(F.when(F.col("event_type") == "error", "user").otherwise("assistant").alias("requestor"), F.when(F.col("event_type") == "error", "report").otherwise(F.col("event_type")).alias("tool"))
+    return evaluate.with_tool_kind(rows, _ENV.tool_rows(spark), "requestor", "tool").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Sums over a user's events in order: whether signed up before, clicks so far.
+_RUN = f"""
+e AS (SELECT *, {_K} AS k, row_number() OVER w - 1 AS i, count(*) FILTER (event_type = 'click') OVER w AS clicks,
+             coalesce(bool_or(event_type = 'signup') OVER w, false) AS signed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, event_type = 'purchase' AND signed AS pays, event_type = 'error' AND k < 90 AND k >= 10 AS reports FROM e),
+g AS (SELECT *, coalesce(bool_or(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id), false) AS signed2 FROM (SELECT *, {_K} AS k FROM events WHERE event_id % 40 <> 3))"""
+
+
+@query(f"""
+WITH {_RUN},
+ran AS (SELECT user_id, count(*) AS n_calls, count(*) FILTER (event_type = 'purchase' AND NOT signed OR event_type = 'error' AND NOT reports) AS n_errors,
+               min(i) FILTER (event_type = 'view' AND event_id % 50 = 7) AS mismatch,
+               count(*) FILTER (event_type = 'click') AS clicks, coalesce(sum(k) FILTER (pays), 0) AS spent, bool_or(signed) AS signed, count(*) FILTER (reports) AS reported, bool_or(pays) AS paid FROM r GROUP BY user_id),
+gold AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, coalesce(sum(k) FILTER (event_type = 'purchase' AND signed2), 0) AS spent, bool_or(signed2) AS signed,
+                count(*) FILTER (event_type = 'error' AND k < 90 AND k >= 10) AS reported, coalesce(bool_or(event_type = 'purchase' AND signed2), false) AS paid FROM g GROUP BY user_id)
+SELECT user_id, n_calls, n_errors, mismatch, agent_match, user_match, agent_match AND user_match AS db_match
+FROM (SELECT r.*, r.clicks = coalesce(g.clicks, 0) AND r.spent = coalesce(g.spent, 0) AND r.signed = coalesce(g.signed, false) AND r.paid = coalesce(g.paid, false) AS agent_match, r.reported = coalesce(g.reported, 0) AS user_match
+      FROM ran r LEFT JOIN gold g USING (user_id))
+""")
+def db_match(spark, d):
+    """Recorded calls and gold actions replayed from one start. Gold leaves out one event in forty; some views recorded a wrong number."""
+    calls = _calls(spark, d)
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    seen = F.count_if(F.col("event_type") == "click").over(w) + F.when(F.col("event_id") % 50 == 7, 1).otherwise(0)
+    calls = calls.withColumn("expected", F.when(F.col("name") == "view", F.concat(F.lit('"'), seen.cast("string"), F.lit('"'))))
+    gold = calls.where("event_id % 40 <> 3")
+    found = environments.gold_matches(calls.withColumn("run", F.lit(0)), gold, _ENV, {}, "user_id", "run", "event_id")
+    return found.select("user_id", "n_calls", "n_errors", "mismatch", "agent_match", "user_match", "db_match")
+
+
+@query(f"""
+WITH {_RUN}, s AS (SELECT user_id, min(event_id) FILTER (event_type = 'error' AND k >= 90) AS stop FROM e GROUP BY user_id),
+done AS (SELECT r.*, s.stop FROM r JOIN s USING (user_id) WHERE s.stop IS NULL OR event_id <= s.stop),
+ended AS (
+  SELECT user_id, count(*) AS n_calls, count(*) FILTER (event_type = 'purchase' AND NOT signed OR event_type = 'error' AND k < 10) AS n_domain_errors, any_value(stop) AS stopped_at,
+         count(*) FILTER (event_type = 'click') AS clicks, sum(k) FILTER (pays) AS spent, bool_or(signed) AS signed, count(*) FILTER (reports) AS reported FROM done GROUP BY user_id)
+SELECT user_id, n_calls, n_domain_errors, stopped_at, CASE WHEN stopped_at IS NOT NULL THEN 'Error: Tool ''vanish'' not found.' END AS content, stopped_at IS NULL AS is_valid,
+       sha256(sha256('{{' || concat_ws(', ', '"base": "d' || user_id % 3 || '"', CASE WHEN clicks > 0 THEN '"clicks": ' || clicks END, CASE WHEN signed THEN '"signed": true' END, CASE WHEN spent IS NOT NULL THEN '"spent": ' || spent END) || '}}')
+              || sha256(CASE WHEN reported > 0 THEN '{{"reports": ' || reported || '}}' ELSE '{{}}' END)) AS reached,
+       sha256(sha256('{{"base": "d' || user_id % 3 || '"}}') || sha256('{{}}')) AS restored
+FROM ended
+""")
+def executed_chains(spark, d):
+    """A chain for each user on one of three states: stopped at the first missing tool, errors of the domain passed over, rolled back after."""
+    calls = _calls(spark, d).withColumn("shard", F.col("user_id") % 3)
+    starts = calls.select("shard").distinct().withColumn("data", F.to_json(F.struct(F.struct(F.concat(F.lit("d"), F.col("shard").cast("string")).alias("base")).alias("assistant"))))
+    return environments.executed_chains(calls, _ENV, {}, "shard", "user_id", "event_id", starts=starts).drop("shard")
