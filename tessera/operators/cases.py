@@ -82,13 +82,16 @@ def next_speaker(speaker: Column, is_tool_call: Column, is_stop: Column) -> Colu
     return F.when(is_stop, F.lit(None).cast("string")).when(is_tool_call, "environment").when(speaker == "agent", "user").otherwise("agent")
 
 
-def termination(messages: DataFrame, trajectory: str, turn: str, stop: Column, error: Column, max_steps: int = 200, max_errors: int = 10) -> DataFrame:
-    """(trajectory, steps, reason): where a run ends and why, over its recorded steps.
+def termination(messages: DataFrame, trajectory: str, turn: str, stop: Column, error: Column, max_steps: int = 200, max_errors: int = 10, compat: bool = True) -> DataFrame:
+    """(trajectory, steps, reason): where a run ends and why, over its recorded steps; null where nothing ends it.
 
-    The first of: a stop (agent_stop or user_stop by speaker), the step limit, too many errors; null where none comes. Steps count from 0."""
+    The first step with a stop (agent_stop or user_stop by speaker), at the step limit, or with too many errors. Where
+    several come at one step, errors go before the limit and the limit before the stop. compat: errors are never
+    counted, as in the rule this follows, whose counter stays at 0; then too_many_errors cannot come."""
     w = Window.partitionBy(trajectory).orderBy(turn)
-    m = messages.withColumn("_at", F.row_number().over(w) - 1).withColumn("_errors", F.sum(error.cast("int")).over(w))
-    why = F.when(stop, F.concat("speaker", F.lit("_stop"))).when(F.col("_at") + 1 >= max_steps, "max_steps").when(F.col("_errors") >= max_errors, "too_many_errors")
+    errors = F.lit(0) if compat else F.sum(error.cast("int")).over(w)
+    m = messages.withColumn("_at", F.row_number().over(w) - 1).withColumn("_errors", errors)
+    why = F.when(F.col("_errors") >= max_errors, "too_many_errors").when(F.col("_at") + 1 >= max_steps, "max_steps").when(stop, F.concat("speaker", F.lit("_stop")))
     m = m.withColumn("_why", why)
     first = F.min_by(F.struct("_at", "_why"), F.when(F.col("_why").isNotNull(), F.col("_at")))
     found = m.groupBy(trajectory).agg(first.alias("_f"), F.count(F.lit(1)).alias("_n"))

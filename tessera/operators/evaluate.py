@@ -20,6 +20,24 @@ def call_response_pairs(messages: DataFrame, trajectory: str, turn: str, role: s
     return messages.withColumn("next_role", F.lead(role).over(w)).withColumn("next_turn", F.lead(turn).over(w)).where((F.col(role) == asks) & (F.col("next_role") == answers)).select(trajectory, F.col(turn).alias("call_turn"), F.col("next_turn").alias("response_turn"))
 
 
+def paired_calls(messages: DataFrame, trajectory: str, turn: str, role: str, calls: str, answer_id: str, content: str) -> DataFrame:
+    """Each tool call with its answer: (trajectory, turn, ordinal, call_id, name, answer_turn, answer_id, content, error).
+
+    A message's n calls (calls: array of structs with id and name) are answered by the n tool messages that directly
+    follow it, the first by the first. error: "id mismatch" where the two ids differ, "answer missing" where another
+    message or the end comes first, "call missing" for tool messages beyond the calls; ordinals count from 0."""
+    w = Window.partitionBy(trajectory).orderBy(turn)
+    m = messages.withColumn("_block", F.sum(F.when(F.col(role) == "tool", 0).otherwise(1)).over(w))
+    tool = F.col(role) == "tool"
+    answers = F.array_sort(F.collect_list(F.when(tool, F.struct(F.col(turn).alias("turn"), F.col(answer_id).alias("id"), F.col(content).alias("content")))))
+    head = F.max(F.when(~tool, F.struct(F.col(turn).alias("turn"), F.col(calls).alias("calls"))))
+    blocks = m.groupBy(trajectory, "_block").agg(head.alias("_head"), answers.alias("_answers"))
+    each = blocks.select(trajectory, F.col("_head.turn").alias("turn"), F.posexplode(F.arrays_zip(F.coalesce("_head.calls", F.array().cast(messages.schema[calls].dataType)).alias("call"), F.col("_answers").alias("answer"))).alias("ordinal", "_p"))
+    call, answer = F.col("_p.call"), F.col("_p.answer")
+    error = F.when(call.isNull(), "call missing").when(answer.isNull(), "answer missing").when(~call["id"].eqNullSafe(answer["id"]), "id mismatch")
+    return each.select(trajectory, "turn", "ordinal", call["id"].alias("call_id"), call["name"].alias("name"), answer["turn"].alias("answer_turn"), answer["id"].alias("answer_id"), answer["content"].alias("content"), error.alias("error"))
+
+
 def history_violations(messages: DataFrame, trajectory: str, turn: str, role: str, n_calls: str) -> DataFrame:
     """Messages with n tool calls that are not followed by exactly n tool messages; a shortfall at the end counts too."""
     w = Window.partitionBy(trajectory).orderBy(turn)
@@ -33,11 +51,21 @@ def text_has(content: Column, info: Column) -> Column:
     return F.contains(F.replace(F.lower(content), F.lit(","), F.lit("")), F.lower(info))
 
 
-def communicate_checks(infos: list[str], messages: DataFrame, trajectory: str, content: str, role: str) -> DataFrame:
-    """For each trajectory and piece of information: did any assistant text say it? One aggregation over the messages."""
-    said = (F.col(role) == "assistant") & (F.length(F.trim(content)) > 0)
-    met = [F.struct(F.lit(i).alias("info"), F.coalesce(F.bool_or(said & text_has(F.col(content), F.lit(i))), F.lit(False)).alias("met")) for i in infos]
-    return messages.groupBy(trajectory).agg(F.array(*met).alias("_checks")).select(trajectory, F.inline("_checks"))
+def communicate_checks(runs: DataFrame, infos: DataFrame, messages: DataFrame, trajectory: str, task: str, content: str, role: str) -> DataFrame:
+    """(trajectory, info, met) for each piece of information that the trajectory's task asks for: did any assistant text say it?
+
+    runs: (trajectory, task), infos: (task, info). Assistant texts meet the pieces of their own task alone, and what
+    they say is gathered before it is shuffled by trajectory and piece; trajectories without texts have all unmet."""
+    wanted = runs.select(trajectory, task).join(infos.select(task, "info").distinct(), task).select(trajectory, "info")
+    said = messages.where((F.col(role) == "assistant") & (F.length(F.trim(content)) > 0)).select(trajectory, content)
+    heard = said.join(wanted, trajectory).groupBy(trajectory, "info").agg(F.bool_or(text_has(F.col(content), F.col("info"))).alias("_heard"))
+    return wanted.join(heard, [trajectory, "info"], "left").select(trajectory, "info", F.coalesce("_heard", F.lit(False)).alias("met"))
+
+
+def communicate_rewards(runs: DataFrame, checks: DataFrame, trajectory: str) -> DataFrame:
+    """(trajectory, reward): 1 where all that the task asks for was said, or it asks for nothing; else 0."""
+    missed = checks.where("NOT met").select(trajectory).distinct().withColumn("_missed", F.lit(True))
+    return runs.select(trajectory).join(missed, trajectory, "left").select(trajectory, F.when(F.col("_missed"), 0.0).otherwise(1.0).alias("reward"))
 
 
 def arguments_match(gold: Column, call: Column, compare: Column | None = None) -> Column:

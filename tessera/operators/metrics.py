@@ -15,27 +15,32 @@ def is_success(reward: Column) -> Column:
     return reward.between(1 - TOLERANCE, 1 + TOLERANCE)
 
 
-def pass_hat_k(runs: DataFrame, task: str, success: Column, ks: tuple[int, ...] = (1, 2, 3), strict: bool = False) -> DataFrame:
+def pass_hat_k(runs: DataFrame, task: str, success: Column, ks: tuple[int, ...] = (1, 2, 3), strict: bool = False, trials: str | None = None) -> DataFrame:
     """For each task: n runs, c successes, and C(c, k) / C(n, k) for each k.
 
     The quotient is the product of (c - i) / (n - i), so nothing overflows. A k
-    above n gives null, or fails the query where strict."""
-    counted = runs.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.count_if(success).alias("c"))
+    above n gives null, or fails the query where strict. trials: the column of the number of
+    runs that were planned; its largest is kept as num_trials."""
+    planned = [F.max(trials).alias("num_trials")] if trials else []
+    counted = runs.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.count_if(success).alias("c"), *planned)
 
     def value(k: int) -> Column:
         short = F.raise_error(F.lit(f"fewer than {k} runs of a task")).cast("double") if strict else F.lit(None).cast("double")
         up, down = (reduce(lambda a, b: a * b, [F.col(x).cast("double") - i for i in range(k)]) for x in ("c", "n"))
         return F.when(F.col("n") < k, short).when(F.col("c") < k, 0.0).otherwise(up / down)
 
-    return counted.select(F.col(task), "n", "c", *[value(k).alias(f"pass_{k}") for k in ks])
+    return counted.select(F.col(task), "n", "c", *["num_trials"] * bool(trials), *[value(k).alias(f"pass_{k}") for k in ks])
 
 
 def overall(per_task: DataFrame, ks: tuple[int, ...] = (1, 2, 3), digits: int = 9) -> DataFrame:
-    """Means over tasks, each task weighing the same; null values are left out. max_k: runs of the task with fewest."""
+    """Means over tasks, each task weighing the same; null values are left out.
+
+    max_k: the planned number of runs (num_trials, the largest) or the runs of the task with fewest, whichever is less."""
+    fewest = F.min("n")
     return per_task.agg(
         F.count(F.lit(1)).alias("tasks"),
         F.sum("n").alias("runs"),
-        F.min("n").alias("max_k"),
+        (F.least(F.max("num_trials"), fewest) if "num_trials" in per_task.columns else fewest).alias("max_k"),
         *[F.round(F.avg(f"pass_{k}"), digits).alias(f"mean_pass_{k}") for k in ks],
     )
 

@@ -157,12 +157,65 @@ def history_violations(spark, d):
     return evaluate.history_violations(c, "conv_id", "turn", "role", "calls")
 
 
-_INFOS = [("The",), ("and",), ("of,",), ("10",)]
+#: What each of four tasks asks for; the last asks for nothing.
+_INFOS = [(0, "The"), (0, "of,"), (1, "and"), (1, "10"), (2, "die"), (2, "The")]
+_SAID = f"SELECT r.conv_id, info, coalesce(bool_or(contains(replace(lower(text), ',', ''), lower(info))), false) AS met FROM (SELECT DISTINCT conv_id, conv_id % 4 AS task FROM conversations) r JOIN {_values(_INFOS, 'task, info')} USING (task) LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant' AND length(trim(text)) > 0) c USING (conv_id) GROUP BY r.conv_id, info"
 
 
-@query(f"SELECT ids.conv_id, info, coalesce(bool_or(contains(replace(lower(text), ',', ''), lower(info))), false) AS met FROM (SELECT DISTINCT conv_id FROM conversations) ids CROSS JOIN {_values(_INFOS, 'info')} LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant' AND length(trim(text)) > 0) m ON m.conv_id = ids.conv_id GROUP BY ids.conv_id, info")
+def _asked_for(spark, d):
+    runs = t(spark, d, "conversations").select("conv_id", (F.col("conv_id") % 4).alias("task")).distinct()
+    infos = spark.createDataFrame(_INFOS, "task bigint, info string")
+    return runs, evaluate.communicate_checks(runs, infos, t(spark, d, "conversations"), "conv_id", "task", "text", "role")
+
+
+@query(_SAID)
 def communicate_checks(spark, d):
-    return evaluate.communicate_checks([i for i, in _INFOS], t(spark, d, "conversations"), "conv_id", "text", "role")
+    """Conversations as runs of four tasks, each with a list of its own."""
+    return _asked_for(spark, d)[1]
+
+
+@query(f"SELECT conv_id, CASE WHEN coalesce(bool_and(met), true) THEN 1.0::DOUBLE ELSE 0.0 END AS reward FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN ({_SAID}) USING (conv_id) GROUP BY conv_id")
+def communicate_rewards(spark, d):
+    runs, checks = _asked_for(spark, d)
+    return evaluate.communicate_rewards(runs, checks, "conv_id")
+
+
+# Messages as turns of a tool-using dialogue: turn % 4 calls each, and their answers, with a fault by the place.
+_DIALOGUE = """
+WITH c AS (SELECT conv_id, turn, CAST(turn % 4 AS BIGINT) AS n, (conv_id + turn) % 5 AS fault FROM conversations),
+a AS (SELECT *, greatest(0, n + CASE fault WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END) AS m FROM c),
+p AS (SELECT a.*, unnest(range(greatest(n, m))) AS j FROM a)
+"""
+
+
+@query(f"""{_DIALOGUE}
+SELECT conv_id, turn * 10 AS turn, j AS ordinal, CASE WHEN j < n THEN turn || '-' || j END AS call_id, CASE WHEN j < n THEN 'tool' || j END AS name, CASE WHEN j < m THEN turn * 10 + 1 + j END AS answer_turn,
+       CASE WHEN j < m THEN turn || '-' || CASE WHEN fault = 2 THEN 1 - j ELSE j END END AS answer_id, CASE WHEN j < m THEN 'answer' END AS content,
+       CASE WHEN j >= n THEN 'call missing' WHEN j >= m THEN 'answer missing' WHEN fault = 2 THEN 'id mismatch' END AS error
+FROM p
+""")
+def paired_calls(spark, d):
+    """Up to three calls a message with the answers that follow; some answers are missing, too many, or of another call."""
+    turn = F.col("turn")
+    fault, n = (F.col("conv_id") + turn) % 5, (turn % 4).cast("int")
+    m = F.greatest(F.lit(0), n + F.when(fault == 0, -1).when(fault == 1, 1).otherwise(0))
+    numbers = lambda k: F.slice(F.array(*[F.lit(x) for x in range(4)]), 1, k)
+    name = lambda j: F.concat_ws("-", turn.cast("string"), j.cast("string"))
+    none = F.lit(None).cast("string")
+    calls = F.transform(numbers(n), lambda j: F.struct(name(j).alias("id"), F.concat(F.lit("tool"), j.cast("string")).alias("name")))
+    head = F.struct((turn * 10).alias("turn"), F.lit("assistant").alias("role"), F.when(n > 0, calls).alias("calls"), none.alias("id"), none.alias("content"))
+    empty = F.lit(None).cast("array<struct<id:string,name:string>>")
+    answers = F.transform(numbers(m), lambda j: F.struct((turn * 10 + 1 + j).alias("turn"), F.lit("tool").alias("role"), empty.alias("calls"), name(F.when(fault == 2, 1 - j).otherwise(j)).alias("id"), F.lit("answer").alias("content")))
+    messages = t(spark, d, "conversations").select("conv_id", F.inline(F.concat(F.array(head), answers)))
+    found = evaluate.paired_calls(messages, "conv_id", "turn", "role", "calls", "id", "content")
+    return found.withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
+@query("SELECT count(*) AS tasks, CAST(sum(n) AS BIGINT) AS runs, least(max(planned), min(n)) AS max_k FROM (SELECT c_nationkey, count(*) AS n, max(1 + o_orderkey % 4) AS planned FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)")
+def max_k_of_trials(spark, d):
+    """Nations as tasks, run far more often than the four runs that were planned at most."""
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("planned", 1 + F.col("o_orderkey") % 4)
+    return metrics.overall(metrics.pass_hat_k(o, "c_nationkey", _ok(), trials="planned")).select("tasks", "runs", "max_k")
 
 
 @query("SELECT c_custkey, o_orderstatus, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = s.o_orderstatus) AS matched FROM customer c CROSS JOIN (VALUES ('F'), ('P')) AS s(o_orderstatus)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -397,14 +397,18 @@ def exported_graph(spark, d):
 
 # -- run control and texts ---------------------------------------------------
 
-_ENDS = "SELECT *, CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'agent' ELSE 'user' END || '_stop' WHEN k >= 60 THEN 'max_steps' WHEN e >= 15 THEN 'too_many_errors' END AS why FROM (SELECT user_id, event_id, event_type, row_number() OVER w AS k, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS e FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"
+_ENDS = "SELECT *, CASE WHEN counted AND e >= 5 THEN 'too_many_errors' WHEN k >= 20 THEN 'max_steps' WHEN event_type = 'signup' AND event_id % 3 = 0 AND k > 10 THEN CASE WHEN event_id % 2 = 0 THEN 'agent' ELSE 'user' END || '_stop' END AS why FROM (SELECT user_id, event_id, event_type, counted, row_number() OVER w AS k, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS e FROM events, (VALUES (true), (false)) v(counted) WINDOW w AS (PARTITION BY user_id, counted ORDER BY event_id))"
 
 
-@query(f"SELECT user_id, coalesce(min(k) FILTER (WHERE why IS NOT NULL), count(*)) AS steps, arg_min(why, k) FILTER (WHERE why IS NOT NULL) AS reason FROM ({_ENDS}) GROUP BY user_id")
+@query(f"SELECT user_id, counted, coalesce(min(k) FILTER (WHERE why IS NOT NULL), count(*)) AS steps, arg_min(why, k) FILTER (WHERE why IS NOT NULL) AS reason FROM ({_ENDS}) GROUP BY user_id, counted")
 def run_termination(spark, d):
-    """Users' events as steps: a stop, sixty steps or fifteen errors end a run."""
+    """Users' events as steps: a stop after ten steps, twenty steps, or (where errors are counted) five errors end a run."""
     e = t(spark, d, "events").withColumn("speaker", F.when(F.col("event_id") % 2 == 0, "agent").otherwise("user"))
-    return cases.termination(e, "user_id", "event_id", (F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0), F.col("event_type") == "error", 60, 15)
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = e.withColumn("late", F.row_number().over(w) > 10)
+    stop = (F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0) & F.col("late")
+    ends = [cases.termination(e, "user_id", "event_id", stop, F.col("event_type") == "error", 20, 5, compat=not counted).withColumn("counted", F.lit(counted)) for counted in (True, False)]
+    return ends[0].unionByName(ends[1])
 
 
 @query("SELECT o_orderkey, condition, CASE condition WHEN 'large' THEN o_totalprice > 100000 ELSE o_orderstatus = 'F' END AS met FROM orders CROSS JOIN (VALUES ('large'), ('done')) AS v(condition)")
