@@ -90,3 +90,19 @@ def calculate_text(expression: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def calculate(expressions: pd.Series) -> pd.Series:
     return expressions.map(calculate_text, na_action="ignore")
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def merged_variant(base: Column, update: Column, depth: int = 16) -> Column:
+    """update laid over base, both VARIANT: objects merge key by key at every level, lists and scalars are replaced.
+
+    A JSON null replaces; no update (null) leaves the base. Objects that both sides nest deeper than depth fail the
+    query rather than merge half. All in columns: one expression of depth levels."""
+    if not depth:
+        return F.raise_error(F.lit("objects are nested deeper than the merge looks")).cast("variant")
+    fields = lambda v: v.cast("map<string,variant>")
+    both = F.to_variant_object(F.map_zip_with(fields(base), fields(update), lambda _, x, y: F.when(y.isNull(), x).when(_is_object(x) & _is_object(y), merged_variant(x, y, depth - 1)).otherwise(y)))
+    return F.when(update.isNull(), base).when(_is_object(base) & _is_object(update), both).otherwise(update)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.toolgraph import field_name, input_types
+from tessera.sources.configs import KINDS, read_config
 
 PARAM = "struct<type:string,description:string,enum:array<string>>"
 TOOL_FILE = f"tools array<struct<name:string,description:string,`input-type`:array<string>,`output-type`:array<string>,input:map<string,{PARAM}>,output:struct<type:string,description:string>>>"
@@ -41,7 +42,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A file by its ending: json, csv, txt, md, parquet; yaml and toml come as whole text."""
+    """A file by its ending: json, csv, txt, md, parquet; of yaml and toml each document as VARIANT."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "json":
         return spark.read.json(path, multiLine=True)
@@ -49,7 +50,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.csv(path, header=True, inferSchema=True)
     if kind == "parquet":
         return spark.read.parquet(path)
-    if kind in ("txt", "md", "yaml", "yml", "toml"):
+    if kind in KINDS:
+        return read_config(spark, path)
+    if kind in ("txt", "md"):
         return read_text(spark, path)
     raise ValueError(f"no reader for .{kind}")
 
