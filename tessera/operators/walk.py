@@ -229,6 +229,28 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def column_counts(tables: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
+    """(table_name, column_name, filled): how many rows of each column have a value; one pass over a table, which reads no more than null marks."""
+    parts = []
+    for name, df in tables.items():
+        own = [c.name for c in catalog.tables[name].columns if c.name in df.columns]
+        one = df.agg(*[F.count(c).alias(c) for c in own])
+        parts.append(one.select(F.lit(name).alias("table_name"), F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in own]))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def key_matches(tables: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
+    """(from_table, from_column, to_table, to_column, rows, matched) of each foreign key between the tables: rows with a value, and those whose value a parent has."""
+    parts = []
+    for k in catalog.foreign_keys:
+        if k.from_table in tables and k.to_table in tables:
+            values = tables[k.from_table].where(F.col(k.from_column).isNotNull()).groupBy(F.col(k.from_column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))  # values meet parents once, with their number
+            parents = tables[k.to_table].select(F.col(k.to_column).alias("_v")).distinct().withColumn("_hit", F.lit(True))
+            sums = values.join(parents, "_v", "left").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_n"))), F.lit(0)).alias("matched"))
+            parts.append(sums.select(*[F.lit(x).alias(c) for c, x in (("from_table", k.from_table), ("from_column", k.from_column), ("to_table", k.to_table), ("to_column", k.to_column))], "rows", "matched"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reference_tables(counts: DataFrame, keys: DataFrame, most: int = 50) -> DataFrame:
     """Tables without an outgoing foreign key and at most so many rows."""
     return counts.where(F.col("n") <= most).join(keys.select(F.col("from_table").alias("table_name")), "table_name", "left_anti")

@@ -280,7 +280,7 @@ def guarded_select(spark, d):
 
 @query(f"WITH RECURSIVE {_EDGE_SQL}, c AS (SELECT tool AS walk_id, [tool] AS path, 0 AS hop FROM tools UNION ALL SELECT walk_id, list_append(path, arg_min(dst, md5('7:' || hop || ':' || walk_id || ':' || dst))), hop + 1 FROM c JOIN edges ON src = path[len(path)] WHERE NOT list_contains(path, dst) AND hop < 3 GROUP BY walk_id, path, hop) SELECT walk_id, arg_max(array_to_string(path, '>'), hop) AS chain, CASE WHEN max(hop) = 0 THEN 'NODE' ELSE 'CHAIN' END AS pattern FROM c GROUP BY walk_id")
 def sampled_chains(spark, d):
-    tools = _tools(spark)
+    tools = _tools(spark, d)
     walks = tools.select(F.col("tool").alias("walk_id"), "tool")
     return toolgraph.sample_chains(walks, toolgraph.resource_edges(tools), 4, 7).select("walk_id", F.array_join("path", ">").alias("chain"), "pattern")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text, values
@@ -348,38 +348,68 @@ def reference_tables(spark, d):
 _COLUMNS = [(n, i, c.name, c.type, c.pk) for n, x in DRIVER.tables.items() for i, c in enumerate(x.columns)]
 
 
-@query(f"SELECT table_name, string_agg(column_name || ' ' || type || CASE WHEN pk THEN ' (PK)' ELSE '' END, '; ' ORDER BY ord) AS summary FROM {_values(_COLUMNS, 'table_name, ord, column_name, type, pk')} GROUP BY table_name")
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, " + " || '; ' || ".join(f"'{c.name} {c.type}{' (PK)' if c.pk else ''}: ' || count({c.name})" for c in x.columns) + f" AS summary FROM {n}" for n, x in DRIVER.tables.items()))
 def schema_summary(spark, d):
-    c = DRIVER.column_frame(spark)
-    line = F.concat("column_name", F.lit(" "), "type", F.when(F.col("pk"), " (PK)").otherwise(""))
+    """Each table's columns with their types, keys and how many rows fill them."""
+    filled = walk.column_counts(driver_tables(spark, d, _TABLES), DRIVER)
+    c = DRIVER.column_frame(spark).join(filled, ["table_name", "column_name"])
+    line = F.concat("column_name", F.lit(" "), "type", F.when(F.col("pk"), " (PK)").otherwise(""), F.lit(": "), F.col("filled").cast("string"))
     return c.groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "; ").alias("summary"))
 
 
 _KEYS = [(k.from_table, k.from_column, k.to_table, k.to_column) for k in DRIVER.foreign_keys]
 _KEYS_SQL = _values(_KEYS, "from_table, from_column, to_table, to_column")
+def _matches(spark, d) -> DataFrame:
+    return walk.key_matches(driver_tables(spark, d, _TABLES), DRIVER)
 
 
-@query(f"SELECT from_table, from_table || '.' || from_column || ' references ' || to_table || '.' || to_column AS sentence FROM {_KEYS_SQL}")
+_FOUND_SQL = "(" + " UNION ALL ".join(f"SELECT '{a}' AS from_table, '{b}' AS from_column, '{c}' AS to_table, '{k}' AS to_column, count({b}) AS n, count(p) AS matched FROM {a} LEFT JOIN (SELECT DISTINCT {k} AS p FROM {c}) ON {b} = p" for a, b, c, k in _KEYS) + ")"
+
+
+@query(f"SELECT from_table, from_table || '.' || from_column || ' references ' || to_table || '.' || to_column AS sentence, n AS rows, matched FROM {_FOUND_SQL}")
 def relationship_annotations(spark, d):
-    k = DRIVER.key_frame(spark)
-    return k.select("from_table", F.format_string("%s.%s references %s.%s", "from_table", "from_column", "to_table", "to_column").alias("sentence"))
+    """A sentence for each foreign key, with how many rows have a value and how many find their parent."""
+    return _matches(spark, d).select("from_table", F.format_string("%s.%s references %s.%s", "from_table", "from_column", "to_table", "to_column").alias("sentence"), "rows", "matched")
 
 
-@query(f"SELECT to_table AS table_name, count(*) AS incoming FROM {_KEYS_SQL} GROUP BY to_table")
+@query(f"SELECT to_table AS table_name, count(*) AS incoming, CAST(sum(matched) AS BIGINT) AS rows FROM {_FOUND_SQL} GROUP BY to_table")
 def fk_centrality(spark, d):
-    return DRIVER.key_frame(spark).groupBy(F.col("to_table").alias("table_name")).agg(F.count(F.lit(1)).alias("incoming"))
+    """Keys that point to each table, and the rows that do."""
+    return _matches(spark, d).groupBy(F.col("to_table").alias("table_name")).agg(F.count(F.lit(1)).alias("incoming"), F.sum("matched").alias("rows"))
+
+
+_COUNTS_SQL = "(" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in _TABLES) + ")"
 
 
-@query("WITH RECURSIVE e AS (SELECT from_table AS a, to_table AS b FROM " + _KEYS_SQL + " UNION SELECT to_table, from_table FROM " + _KEYS_SQL.replace("AS v(", "AS v2(") + "), r AS (SELECT table_name AS a, table_name AS b FROM " + _values([(n,) for n in _TABLES], "table_name") + " UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS table_name, min(b) AS component FROM r GROUP BY a")
+@query("WITH RECURSIVE k AS (SELECT * FROM " + _FOUND_SQL + " WHERE matched > 0), e AS (SELECT from_table AS a, to_table AS b FROM k UNION SELECT to_table, from_table FROM k), n AS (SELECT * FROM " + _COUNTS_SQL + "), r AS (SELECT table_name AS a, table_name AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS table_name, min(b) AS component FROM r GROUP BY a) SELECT table_name, component, CAST(sum(n) OVER (PARTITION BY component) AS BIGINT) AS rows FROM c JOIN n USING (table_name)")
 def fk_components(spark, d):
-    edges = DRIVER.key_frame(spark).select(F.col("from_table").alias("a"), F.col("to_table").alias("b"))
-    return walk.components(edges, DRIVER.table_frame(spark).select(F.col("table_name").alias("node"))).withColumnRenamed("node", "table_name")
+    """Tables that keys with matching rows tie together, and the rows of each such group."""
+    edges = _matches(spark, d).where("matched > 0").select(F.col("from_table").alias("a"), F.col("to_table").alias("b"))
+    found = walk.components(edges, DRIVER.table_frame(spark).select(F.col("table_name").alias("node"))).withColumnRenamed("node", "table_name")
+    counted = found.join(table_counts(spark, d), "table_name")
+    return counted.join(counted.groupBy("component").agg(F.sum("n").alias("rows")), "component").select("table_name", "component", "rows")
+
+
+@query("""
+WITH x AS (SELECT 'c' || c_custkey AS node, n_regionkey AS g FROM customer JOIN nation ON c_nationkey = n_nationkey
+           UNION ALL SELECT 'n' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, r_regionkey FROM region)
+SELECT node, min(node) OVER (PARTITION BY g) AS component FROM x
+""")
+def row_components(spark, d):
+    """Customers, nations and regions as nodes that keys tie together: a component for each region."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    c = t(spark, d, "customer").select(name("c", "c_custkey").alias("a"), name("n", "c_nationkey").alias("b"))
+    n = t(spark, d, "nation").select(name("n", "n_nationkey").alias("a"), name("r", "n_regionkey").alias("b"))
+    nodes = c.select(F.col("a").alias("node")).unionByName(n.select(F.col("a").alias("node"))).unionByName(t(spark, d, "region").select(name("r", "r_regionkey").alias("node")))
+    return walk.components(c.unionByName(n), nodes)
 
 
-@query(f"SELECT table_name, count(*) AS shared FROM {_values(_COLUMNS, 'table_name, ord, column_name, type, pk')} WHERE column_name IN ('doc_id', 'text', 'role', 'quality') GROUP BY table_name ORDER BY count(*) DESC, min(CASE table_name " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(_TABLES)) + " END) LIMIT 1")
+@query(f"SELECT table_name, shared, n FROM (SELECT table_name, count(*) AS shared FROM {_values(_COLUMNS, 'table_name, ord, column_name, type, pk')} WHERE column_name IN ('doc_id', 'text', 'lang', 'quality') GROUP BY table_name ORDER BY count(*) DESC, min(CASE table_name " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(_TABLES)) + f" END) LIMIT 1) JOIN {_COUNTS_SQL} USING (table_name)")
 def seed_table_of(spark, d):
+    """The table that a query's result comes from, by its columns, with its rows."""
+    result = t(spark, d, "documents").select("doc_id", "text", "lang").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     c = DRIVER.column_frame(spark).join(DRIVER.table_frame(spark).select("table_name", F.col("ord").alias("table_ord")), "table_name")
-    return walk.seed_table_of(c, ["doc_id", "text", "role", "quality"])
+    return walk.seed_table_of(c, result.columns).join(table_counts(spark, d), "table_name")
 
 
 def _walked(spark, d, mode="compat", seed=1):
@@ -507,60 +537,62 @@ def db_stats(spark, d):
 
 # -- tool graphs -------------------------------------------------------------
 
-_TOOLS = [
-    ("find_user", ["email", "zip_code"], ["User"]),
-    ("get_user", ["user_id"], ["user", "payment"]),
-    ("list_orders", ["user_id", "page_number"], ["order"]),
-    ("get_order", ["order_id"], ["order", "payment"]),
-    ("pay_order", ["order_id", "payment_id"], ["receipt"]),
-    ("refund", ["payment_id", "reason"], ["receipt"]),
-    ("print_receipt", ["receipt_id"], ["document"]),
-    ("ask_help", ["reason"], []),
-]
-
-
-def _tools(spark) -> DataFrame:
-    raw = spark.createDataFrame(_TOOLS, "tool string, params array<string>, outputs array<string>")
+def _tools(spark, d) -> DataFrame:
+    """A tool for each brand of parts: it takes the kind of its first part, and gives the kind of its last one (every seventh gives nothing)."""
+    word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
+    number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
+    each = t(spark, d, "part").groupBy("p_brand").agg(F.min_by(word(1), "p_partkey").alias("a"), F.min_by(word(0), "p_partkey").alias("b"), F.max_by(word(1), "p_partkey").alias("c"))
+    raw = each.select(F.concat(F.lit("brand_"), number.cast("string")).alias("tool"), F.array(F.concat("a", F.lit("_id")), F.concat("b", F.lit("_note"))).alias("params"), F.when(number % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.initcap("c"))).alias("outputs"))
     return raw.withColumn("inputs", toolgraph.input_types(F.col("params")))
 
 
-_TOOL_SQL = "tools AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b or '[]::VARCHAR[]'}, {c or '[]::VARCHAR[]'})" for a, b, c in _TOOLS) + ") AS v(tool, params, outputs))"
+_TOOL_SQL = """tools AS (
+  SELECT 'brand_' || n AS tool, [a || '_id', b || '_note'] AS params, CASE WHEN n % 7 = 0 THEN []::VARCHAR[] ELSE [c] END AS outputs
+  FROM (SELECT CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS n, arg_min(split_part(p_name, ' ', 2), p_partkey) AS a, arg_min(split_part(p_name, ' ', 1), p_partkey) AS b, arg_max(split_part(p_name, ' ', 2), p_partkey) AS c FROM part GROUP BY p_brand))"""
 _EDGE_SQL = f"{_TOOL_SQL}, o AS (SELECT DISTINCT tool AS src, lower(unnest(outputs)) AS t FROM tools), p AS (SELECT tool, unnest(params) AS p FROM tools), i AS (SELECT DISTINCT tool AS dst, lower(regexp_replace(p, '_(id|number)$', '')) AS t FROM p WHERE regexp_matches(p, '_(id|number)$')), edges AS (SELECT src, dst, string_agg(t, ',' ORDER BY t) AS matching FROM o JOIN i USING (t) WHERE src <> dst GROUP BY src, dst)"
+_PROPOSED_SQL = "(SELECT 'brand_' || (s_suppkey % 26 + 1) AS src, 'brand_' || (s_suppkey * 7 % 25 + 1) AS dst FROM supplier) v"
+
+
+def _brand(number) -> Column:
+    return F.concat(F.lit("brand_"), number.cast("string"))
+
+
+def _proposed(spark, d) -> DataFrame:
+    """Edges that suppliers propose: repeated ones, loops and unknown tools among them."""
+    k = F.col("s_suppkey")
+    return t(spark, d, "supplier").select(_brand(k % 26 + 1).alias("src"), _brand(k * 7 % 25 + 1).alias("dst"))
 
 
 @query(f"WITH {_EDGE_SQL} SELECT src, dst, matching FROM edges")
 def resource_edges(spark, d):
-    return toolgraph.resource_edges(_tools(spark)).withColumn("matching", F.array_join("matching", ","))
+    return toolgraph.resource_edges(_tools(spark, d)).withColumn("matching", F.array_join("matching", ","))
 
 
 @query(f"WITH {_TOOL_SQL} SELECT a.tool AS src, b.tool AS dst FROM tools a, tools b WHERE a.tool <> b.tool")
 def temporal_edges(spark, d):
-    return toolgraph.temporal_edges(_tools(spark))
+    return toolgraph.temporal_edges(_tools(spark, d))
 
 
 @query(f"WITH {_TOOL_SQL}, p AS (SELECT DISTINCT tool, unnest(params) AS p FROM tools) SELECT a.tool AS tool_a, b.tool AS tool_b, count(*) AS shared FROM p a JOIN p b USING (p) WHERE a.tool < b.tool GROUP BY 1, 2")
 def parallel_candidates(spark, d):
-    return toolgraph.parallel_candidates(_tools(spark))
-
-
-_PROPOSED = [("find_user", "list_orders"), ("refund", "ask_help"), ("refund", "ask_help"), ("ask_help", "ask_help"), ("get_user", "unknown"), ("print_receipt", "ask_help")]
+    return toolgraph.parallel_candidates(_tools(spark, d))
 
 
-@query(f"WITH {_EDGE_SQL} SELECT DISTINCT src, dst FROM {_values(_PROPOSED, 'src, dst')} WHERE src <> dst AND src IN (SELECT tool FROM tools) AND dst IN (SELECT tool FROM tools) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = v.src AND e.dst = v.dst)")
+@query(f"WITH {_EDGE_SQL} SELECT DISTINCT src, dst FROM {_PROPOSED_SQL} WHERE src <> dst AND src IN (SELECT tool FROM tools) AND dst IN (SELECT tool FROM tools) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = v.src AND e.dst = v.dst)")
 def enrich_edges(spark, d):
-    tools = _tools(spark)
-    return toolgraph.enrich_edges(toolgraph.resource_edges(tools), spark.createDataFrame(_PROPOSED, "src string, dst string"), tools).select("src", "dst")
+    tools = _tools(spark, d)
+    return toolgraph.enrich_edges(toolgraph.resource_edges(tools), _proposed(spark, d), tools).select("src", "dst")
 
 
 @query(f"WITH {_EDGE_SQL} SELECT tool FROM tools WHERE tool NOT IN (SELECT dst FROM edges)")
 def entry_tools(spark, d):
-    tools = _tools(spark)
+    tools = _tools(spark, d)
     return toolgraph.entry_tools(tools, toolgraph.resource_edges(tools))
 
 
 @query(f"WITH {_EDGE_SQL} SELECT tool FROM tools WHERE tool NOT IN (SELECT src FROM edges)")
 def terminal_tools(spark, d):
-    tools = _tools(spark)
+    tools = _tools(spark, d)
     return toolgraph.terminal_tools(tools, toolgraph.resource_edges(tools))
 
 
@@ -569,19 +601,19 @@ _CHAIN_SQL = f"WITH RECURSIVE {_EDGE_SQL}, c AS (SELECT [tool] AS path FROM tool
 
 @query(f"{_CHAIN_SQL} SELECT array_to_string(path, '>') AS chain FROM c WHERE len(path) > 1")
 def enumerate_chains(spark, d):
-    tools = _tools(spark)
+    tools = _tools(spark, d)
     return toolgraph.enumerate_chains(tools, toolgraph.resource_edges(tools), 4).select(F.array_join("path", ">").alias("chain"))
 
 
 @query(f"{_CHAIN_SQL}, chains AS (SELECT path FROM c WHERE len(path) > 1) SELECT (SELECT count(DISTINCT x) FROM (SELECT unnest(path) AS x FROM chains)) AS used_tools, (SELECT count(*) FROM tools) AS all_tools, (SELECT count(*) FROM chains) AS paths, (SELECT round(avg(len(path)), 6) FROM chains) AS avg_length, (SELECT max(len(path)) FROM chains) AS max_length, round((SELECT count(DISTINCT x) FROM (SELECT unnest(path) AS x FROM chains)) / (SELECT CAST(count(*) AS DOUBLE) FROM tools) * 100, 6) AS coverage")
 def coverage_stats(spark, d):
-    tools = _tools(spark)
+    tools = _tools(spark, d)
     return toolgraph.coverage_stats(toolgraph.enumerate_chains(tools, toolgraph.resource_edges(tools), 4), tools)
 
 
 @query(f"{_CHAIN_SQL}, chains AS (SELECT path FROM c WHERE len(path) > 1) SELECT tool FROM tools WHERE tool NOT IN (SELECT unnest(path) FROM chains)")
 def unused_tools(spark, d):
-    tools = _tools(spark)
+    tools = _tools(spark, d)
     return toolgraph.unused_tools(toolgraph.enumerate_chains(tools, toolgraph.resource_edges(tools), 4), tools)
 
 

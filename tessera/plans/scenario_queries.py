@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import cases, digest, domain, evaluate, replay, toolgraph, verify, walk
-from tessera.plans.queries import _EDGE_SQL, _TOOLS, _tools, _values, query, t
+from tessera.plans.queries import _EDGE_SQL, _PROPOSED_SQL, _TOOL_SQL, _brand, _proposed, _tools, _values, query, t
 from tessera.sources import readers
 from tessera.sources.catalog import DRIVER
 
@@ -156,9 +156,12 @@ def flight_status(spark, d):
     return domain.flight_status(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), dates, ["l_orderkey"])
 
 
-@query(f"SELECT code, city FROM {_values(list(domain.AIRPORTS.items()), 'code, city')}")
+@query(f"SELECT code, city, count(o_orderkey) AS departures FROM {_values([(c, n, i) for i, (c, n) in enumerate(domain.AIRPORTS.items())], 'code, city, place')} LEFT JOIN orders ON o_orderkey % 22 = place GROUP BY code, city")
 def list_all_airports(spark, d):
-    return domain.airports(spark)
+    """Airports served with their departures: orders stand for flights, two in twenty-two of which leave from elsewhere."""
+    codes = F.array(*map(F.lit, domain.AIRPORTS))
+    flights = t(spark, d, "orders").select(F.get(codes, (F.col("o_orderkey") % 22).cast("int")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("departures"))
+    return domain.airports(spark).join(flights, "code", "left").select("code", "city", F.coalesce("departures", F.lit(0)).alias("departures"))
 
 
 _BOOK = "SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_partkey"
@@ -337,23 +340,22 @@ def extended_walk(spark, d):
     return _keyed(found, {"nation": "n_nationkey", "region": "r_regionkey", "customer": "c_custkey"})
 
 
-def _edges(spark):
-    return toolgraph.resource_edges(_tools(spark)).select("src", "dst")
+def _edges(spark, d):
+    return toolgraph.resource_edges(_tools(spark, d)).select("src", "dst")
 
 
-@query(f"WITH {_EDGE_SQL} SELECT n_nationkey AS walk_id, dst FROM nation JOIN edges ON src = CASE n_nationkey % 3 WHEN 0 THEN 'get_user' WHEN 1 THEN 'list_orders' ELSE 'ask_help' END WHERE dst <> 'get_order' UNION SELECT n_nationkey, 'ask_help' FROM nation WHERE n_nationkey % 3 = 0")
+@query(f"WITH {_EDGE_SQL} SELECT DISTINCT n_nationkey AS walk_id, dst FROM nation JOIN (SELECT src, dst FROM edges UNION SELECT src, dst FROM {_PROPOSED_SQL}) e ON src = 'brand_' || (n_nationkey % 25 + 1) WHERE dst <> 'brand_1' AND dst <> src")
 def chain_successors(spark, d):
-    """Next tools by edges (one proposed beside those of the types) for a chain of each nation."""
-    at = F.when(F.col("n_nationkey") % 3 == 0, "get_user").when(F.col("n_nationkey") % 3 == 1, "list_orders").otherwise("ask_help")
-    paths = t(spark, d, "nation").select(F.col("n_nationkey").alias("walk_id"), F.array(F.lit("get_order"), at).alias("path"))
-    return toolgraph.successors(paths, spark.createDataFrame([("get_user", "ask_help")], "src string, dst string"), _tools(spark))
+    """Next tools by edges (those that suppliers propose, beside those of the types) for a chain of each nation."""
+    paths = t(spark, d, "nation").select(F.col("n_nationkey").alias("walk_id"), F.array(F.lit("brand_1"), _brand(F.col("n_nationkey") % 25 + 1)).alias("path"))
+    return toolgraph.successors(paths, _proposed(spark, d), _tools(spark, d))
 
 
 @query(f"WITH {_EDGE_SQL}, entry AS (SELECT list(tool ORDER BY tool) AS names FROM (SELECT tool FROM tools WHERE tool NOT IN (SELECT dst FROM edges))) SELECT c_custkey AS walk_id, names[CAST(CAST('0x' || left(md5('5:' || CAST(c_custkey AS VARCHAR)), 8) AS BIGINT) % len(names) AS INT) + 1] AS tool FROM customer, entry")
 def entry_samples(spark, d):
     """A seeded entry point for a walk of each customer."""
     walks = t(spark, d, "customer").select(F.col("c_custkey").alias("walk_id"))
-    return toolgraph.entry_sample(walks, toolgraph.entry_tools(_tools(spark), _edges(spark)), 5)
+    return toolgraph.entry_sample(walks, toolgraph.entry_tools(_tools(spark, d), _edges(spark, d)), 5)
 
 
 @query("SELECT pattern, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (VALUES ('NODE'), ('CHAIN'), ('DAG')) AS v(pattern) LEFT JOIN (SELECT CASE WHEN l_quantity > 25 THEN 'CHAIN' ELSE 'NODE' END AS pattern, count(*) AS n FROM lineitem GROUP BY 1) USING (pattern)")
@@ -362,36 +364,38 @@ def pattern_distribution(spark, d):
     return toolgraph.pattern_distribution(p, ["NODE", "CHAIN", "DAG"])
 
 
-_UNUSED = ["print_receipt", "refund", "ask_help", "find_user"]
-_COMPLETE = f"WITH {_EDGE_SQL}, u AS (SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS place, array_to_string(list_filter([(SELECT min(src) FROM edges WHERE dst = tool), tool, CASE WHEN (SELECT min(dst) FROM edges WHERE src = tool) IS DISTINCT FROM (SELECT min(src) FROM edges WHERE dst = tool) THEN (SELECT min(dst) FROM edges WHERE src = tool) END], lambda x: x IS NOT NULL), '>') AS chain FROM tools WHERE list_contains({_UNUSED}, tool)) SELECT tool, chain FROM u"
+_COMPLETE = f"WITH {_EDGE_SQL}, u AS (SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS place, array_to_string(list_filter([(SELECT min(src) FROM edges WHERE dst = tool), tool, CASE WHEN (SELECT min(dst) FROM edges WHERE src = tool) IS DISTINCT FROM (SELECT min(src) FROM edges WHERE dst = tool) THEN (SELECT min(dst) FROM edges WHERE src = tool) END], lambda x: x IS NOT NULL), '>') AS chain FROM tools WHERE tool NOT IN (SELECT 'brand_' || (o_orderkey % 25 + 1) FROM orders WHERE (o_orderkey % 25 + 1) % 3 <> 0)) SELECT tool, chain FROM u"
+
+
+def _order_paths(spark, d):
+    """Orders as paths of one tool; every third tool has none."""
+    n = F.col("o_orderkey") % 25 + 1
+    return t(spark, d, "orders").where(n % 3 != 0).select(F.array(_brand(n)).alias("path"))
 
 
 @query(_COMPLETE)
 def coverage_completion(spark, d):
     """A chain through each tool that no path uses."""
-    used = spark.createDataFrame([([n for n, _, _ in _TOOLS if n not in _UNUSED],)], "path array<string>")
-    return toolgraph.coverage_completion(used, _tools(spark), _edges(spark)).select("tool", F.array_join("path", ">").alias("chain"))
+    return toolgraph.coverage_completion(_order_paths(spark, d), _tools(spark, d), _edges(spark, d)).select("tool", F.array_join("path", ">").alias("chain"))
 
 
 @query(_COMPLETE + " WHERE place < 3")
 def coverage_to_target(spark, d):
-    """As many of these chains as bring coverage from a half to four fifths."""
-    used = spark.createDataFrame([([n for n, _, _ in _TOOLS if n not in _UNUSED],)], "path array<string>")
-    return toolgraph.completed_to(used, _tools(spark), _edges(spark), 0.8).select("tool", F.array_join("path", ">").alias("chain"))
+    """As many of these chains as bring coverage from two thirds to four fifths."""
+    return toolgraph.completed_to(_order_paths(spark, d), _tools(spark, d), _edges(spark, d), 0.8).select("tool", F.array_join("path", ">").alias("chain"))
 
 
-@query("WITH p AS (SELECT c_custkey AS walk_id, CASE WHEN c_custkey % 3 = 0 THEN 'get_user' WHEN c_custkey % 3 = 1 THEN 'pay_order' ELSE 'print_receipt' END AS last FROM customer), c(a, b) AS (VALUES ('get_user', 'list_orders'), ('list_orders', 'get_user'), ('pay_order', 'get_order'), ('pay_order', 'refund')) SELECT walk_id, arg_min(b, md5('3:' || walk_id || ':' || b)) AS parallel, CASE WHEN max(b) IS NULL THEN 'CHAIN' ELSE 'DAG' END AS pattern FROM p LEFT JOIN c ON a = last GROUP BY walk_id")
+@query(f"WITH {_TOOL_SQL}, q AS (SELECT DISTINCT tool, unnest(params) AS p FROM tools), c AS (SELECT DISTINCT x.tool AS a, y.tool AS b FROM q x JOIN q y USING (p) WHERE x.tool <> y.tool), w AS (SELECT c_custkey AS walk_id, 'brand_' || (c_custkey % 25 + 1) AS last FROM customer) SELECT walk_id, arg_min(b, md5('3:' || walk_id || ':' || b)) AS parallel, CASE WHEN max(b) IS NULL THEN 'CHAIN' ELSE 'DAG' END AS pattern FROM w LEFT JOIN c ON a = last GROUP BY walk_id")
 def parallel_branches(spark, d):
     """Chains with one seeded parallel tool that shares a parameter with the last one."""
-    last = F.when(F.col("c_custkey") % 3 == 0, "get_user").when(F.col("c_custkey") % 3 == 1, "pay_order").otherwise("print_receipt")
-    chains = t(spark, d, "customer").select(F.col("c_custkey").alias("walk_id"), F.array(last).alias("path"))
-    return toolgraph.add_parallel(chains, toolgraph.parallel_candidates(_tools(spark)), 3).select("walk_id", "parallel", "pattern")
+    chains = t(spark, d, "customer").select(F.col("c_custkey").alias("walk_id"), F.array(_brand(F.col("c_custkey") % 25 + 1)).alias("path"))
+    return toolgraph.add_parallel(chains, toolgraph.parallel_candidates(_tools(spark, d)), 3).select("walk_id", "parallel", "pattern")
 
 
 @query(f"WITH {_EDGE_SQL} SELECT tool, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges WHERE src = tool), '') AS next FROM tools")
 def exported_graph(spark, d):
     """Nodes as JSON, read back for their edges out."""
-    nodes = toolgraph.export_graph(_tools(spark), _edges(spark))
+    nodes = toolgraph.export_graph(_tools(spark, d), _edges(spark, d))
     return nodes.select("tool", F.array_join(F.from_json("node", "next array<string>")["next"], ",").alias("next"))
 
 
