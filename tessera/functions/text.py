@@ -33,8 +33,8 @@ def fenced(content: Column) -> Column:
 
 
 def clean_sql(content: Column) -> Column:
-    """A statement without fence and final semicolon."""
-    return F.regexp_replace(F.trim(F.regexp_replace(content, r"(?s)^\s*```(?:sql)?\s*|\s*```\s*$", "")), r";\s*$", "")
+    """A statement without fence, final semicolons and blanks around it."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(content, r"(?s)^\s*```(?:sql)?\s*|\s*```\s*$", "")), ";+$", ""))
 
 
 def grade(completion: Column) -> Column:

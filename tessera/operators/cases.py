@@ -30,6 +30,22 @@ def check_pass_k(k: int, trials: int) -> None:
         raise ValueError(f"k ({k}) must lie between 1 and the number of trials ({trials})")
 
 
+def input_error(prd: Column, subgoals: Column, tools: Column, weights: Column, path_length: Column, subgoal_limit: Column) -> Column:
+    """The first fault of a request's inputs, as check_inputs names them; null where there is none. weights: a map."""
+    values = F.map_values(weights)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    bad = F.exists(values, lambda w: (w < 0) | (w > 1)) | (F.abs(total - 1) > 1e-3)
+    return (
+        F.when(F.coalesce(F.trim(prd), F.lit("")) == "", "prd is empty").when(F.size(subgoals) < 1, "subgoals is empty").when(F.size(tools) < 1, "tools is empty").when(bad, "weights must lie in [0, 1] and sum to 1")
+        .when(path_length < 1, "path length must be positive").when(~subgoal_limit.between(1, MOST_SUBGOALS), f"subgoal limit must lie between 1 and {MOST_SUBGOALS}")
+    )
+
+
+def pass_k_error(k: Column, trials: Column) -> Column:
+    """What is wrong with a k for a number of trials; null where nothing is."""
+    return F.when((k < 1) | (trials < 1) | (k > trials), F.format_string("k (%d) must lie between 1 and the number of trials (%d)", k, trials))
+
+
 def is_valid_task(mode: Column, n_actions: Column, only_tool_calls: Column, has_history: Column, has_ticket: Column) -> Column:
     """May a task run in its mode? gold: it has an action; solo: a history of tool calls alone, else a ticket and an action."""
     solo = F.when(has_history, only_tool_calls).otherwise(has_ticket & (n_actions > 0))

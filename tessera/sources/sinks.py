@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,22 @@ def write_any(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         raise ValueError(f"no writer for .{kind}")
 
 
+def write_array(df: DataFrame, path: str) -> None:
+    """Rows as one JSON array in one file of the folder at path: a list of test cases, streamed through one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines, first = ["["], True
+        for frame in frames:
+            for value in frame["value"]:
+                lines.append(value if first else f",{value}")
+                first = False
+            yield pd.DataFrame({"value": lines})
+            lines = []
+        yield pd.DataFrame({"value": [*lines, "]"]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
 def append_runs(df: DataFrame, path: str, by: str) -> None:
     """Adds finished runs to a table partitioned by a column; each call adds files and rewrites none."""
     df.write.mode("append").partitionBy(by).parquet(path)
