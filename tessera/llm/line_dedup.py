@@ -22,8 +22,8 @@ the second shuffle, and the join of occurrences with kept places is one of two
 plain exchanges, so that a unit of millions of documents is split by adaptive
 execution.
 
-Defined cases: null and empty texts have no units; ids rank documents (smallest
-first), ties of repeated ids by offset; rows that repeat an id are each read,
+Defined cases: null and empty texts have no units; ids, of any type that has an
+order, rank documents (smallest first), ties of repeated ids by offset; rows that repeat an id are each read,
 and their units are the same places; a null id ranks before all others; texts
 of one unit work like any other; other columns are kept by ``remove_repeats``.
 """
@@ -91,7 +91,7 @@ def units(text: bytes | None, least_words: int = LEAST_WORDS) -> list[tuple[int,
     return out
 
 
-UNIT = "id bigint, start bigint, stop bigint, words bigint, digest binary"
+UNIT = "start bigint, stop bigint, words bigint, digest binary"
 
 
 def _units_of(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
@@ -106,7 +106,8 @@ def _units_of(docs: DataFrame, id_col: str, text_col: str, least_words: int) ->
                 cols = [pa.array([u[j] for u in flat], pa.int64() if j < 3 else pa.binary()) for j in range(4)]
                 yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "start", "stop", "words", "digest"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, UNIT)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string(UNIT)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:

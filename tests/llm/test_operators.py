@@ -436,6 +436,15 @@ def test_line_dedup_of_short_lines(spark):
     assert got[5].split() == ["x"] and len(got[7]) < len(sentences) // 3 and got[9].split() == ["two", "heads"]
 
 
+def test_line_dedup_of_text_ids(spark):
+    line = "A sentence of more than seven words that stands in several documents."
+    df = spark.createDataFrame([("b", f"{line}\nown words here."), ("a", line), (None, "x"), ("c", f"y\n{line}")], "name string, body string")
+    got = {(r.name, r.byte_start, r.keep_id) for r in line_dedup.repeated_units(df, "name", "body").collect()}
+    assert got == {("b", 0, "a"), ("c", 2, "a")}
+    kept = {r.name: r.body for r in line_dedup.remove_repeats(df, "name", "body").collect()}
+    assert kept["a"] == line and kept["b"] == "\nown words here." and kept["c"] == "y\n"
+
+
 def test_line_dedup_odd(odd, none):
     assert {r.doc_id for r in line_dedup.repeated_units(odd).collect()} <= {4, 6}
     assert line_dedup.remove_repeats(odd).count() == len(ODD) and line_dedup.remove_repeats(none).count() == 0
