@@ -93,6 +93,17 @@ def tool_section(name: Column, description: Column, params: Column, returns: Col
     return F.concat(F.lit("## "), name, F.lit("\n"), F.coalesce(description, F.lit("")), F.lit("\nParameters:\n"), listed, F.lit("\nReturns: "), returns)
 
 
+def json_section(title: str, value: Column) -> Column:
+    """A heading and a value as JSON, indented, as prompts show constraints and sampled rows."""
+    return F.concat(F.lit(f"## {title}\n"), F.to_json(value, {"pretty": "true"}))
+
+
+def edge_list(edges: Column) -> Column:
+    """Edges (src, dst, matching) of a graph as prompts list those that exist: "- a -> b (via x, y)", sorted; a line that says none is there."""
+    lines = F.array_sort(F.transform(edges, lambda e: F.concat(F.lit("- "), e["src"], F.lit(" -> "), e["dst"], F.when(F.size(e["matching"]) > 0, F.concat(F.lit(" (via "), F.array_join(e["matching"], ", "), F.lit(")"))).otherwise(""))))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("(none)")
+
+
 def iso_time(ts: Column) -> Column:
     """ISO 8601 to the second, with the fraction where there is one."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import inspect
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,6 +117,48 @@ def termination(messages: DataFrame, trajectory: str, turn: str, stop: Column, e
     return found.select(trajectory, F.coalesce(F.col("_f._at") + 1, F.col("_n")).cast("bigint").alias("steps"), F.col("_f._why").alias("reason"))
 
 
+@dataclass(frozen=True)
+class Intent:
+    """What a user may want: which rows it can be about, the prompt for one, and what must hold after."""
+
+    name: str
+    about: Callable[[DataFrame], DataFrame]
+    prompt: Callable[[], Column]
+    conditions: dict[str, Callable[[], Column]]
+
+
+def sampled_intents(intents: list[Intent], rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(intent, key, prompt): for each intent a seeded sample of n of the rows it can be about, with prompts."""
+    parts = []
+    for intent in intents:
+        chance = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(intent.name), F.col(key).cast("string")).cast("binary"))
+        parts.append(intent.about(rows).orderBy(chance, key).limit(n).select(F.lit(intent.name).alias("intent"), key, intent.prompt().alias("prompt")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def intent_outcomes(intents: list[Intent], sampled: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(intent, key, condition, met) of each sampled row's intent on the rows as they are afterwards; a row that is gone meets nothing."""
+    parts = []
+    for intent in intents:
+        own = sampled.where(F.col("intent") == intent.name).select("intent", key).join(after, key, "left")
+        checks = [F.struct(F.lit(n).alias("condition"), F.coalesce(c(), F.lit(False)).alias("met")) for n, c in intent.conditions.items()]
+        parts.append(own.select("intent", key, F.inline(F.array(*checks))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def find_run(runs: DataFrame, requests: DataFrame, run: str, task: str, trial: str) -> DataFrame:
+    """requests (asked) with the run that each names, null where none is: "id" by the run's id, "task-trial" by these two, "#n" the n-th run by id."""
+    two = F.split("asked", "-")
+    ask = requests.withColumn("_n", F.when(F.col("asked").startswith("#"), F.substring("asked", 2, 18).try_cast("bigint"))).withColumn("_task", F.when(F.size(two) == 2, F.get(two, F.lit(0)))).withColumn("_trial", F.when(F.size(two) == 2, F.get(two, F.lit(1)).try_cast("bigint")))
+    ids = runs.select(F.col(run).alias("_run"), F.col(run).cast("string").alias("_id"), F.col(task).cast("string").alias("_t"), F.col(trial).cast("bigint").alias("_k"))
+    most = ask.agg(F.max("_n")).head()[0] or 0
+    places = ids.orderBy("_run").limit(most).withColumn("_n", F.row_number().over(Window.orderBy("_run")).cast("bigint")).select("_n", F.col("_run").alias("_by_place"))
+    by_pair = ids.groupBy(F.col("_t").alias("_task"), F.col("_k").alias("_trial")).agg(F.min("_run").alias("_by_pair"))
+    by_id = ids.select(F.col("_id").alias("asked"), F.col("_run").alias("_by_id"))
+    j = ask.join(by_id, "asked", "left").join(by_pair, ["_task", "_trial"], "left").join(places, "_n", "left")
+    return j.select(*requests.columns, F.coalesce("_by_id", "_by_pair", "_by_place").alias("run"))
+
+
 def postconditions(rows: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:
     """(key, condition, met) for each named condition on a sampled intent's row."""
     checks = [F.struct(F.lit(n).alias("condition"), F.coalesce(c, F.lit(False)).alias("met")) for n, c in conditions.items()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INSURANCE, BAG = 30, 50
@@ -37,12 +37,23 @@ def next_day(date: Column, arrival: Column, compat: bool = True) -> Column:
     return F.when(late, day).otherwise(date)
 
 
+LEG = ("flight", "origin", "destination", "date", "departure", "arrival")
+
+
 def onestop_search(legs: DataFrame, compat: bool = True) -> DataFrame:
     """Pairs of legs (flight, origin, destination, date, departure, arrival) where the second leaves from the first's end, on its day, not before it is in.
 
     Times compare as text, a "+1" included."""
-    a = legs.select(*[F.col(c).alias(f"{c}_1") for c in ("flight", "origin", "destination", "date", "departure", "arrival")]).withColumn("day", next_day(F.col("date_1"), F.col("arrival_1"), compat))
-    b = legs.select(*[F.col(c).alias(f"{c}_2") for c in ("flight", "origin", "destination", "date", "departure", "arrival")])
+    a = legs.select(*[F.col(c).alias(f"{c}_1") for c in LEG]).withColumn("day", next_day(F.col("date_1"), F.col("arrival_1"), compat))
+    b = legs.select(*[F.col(c).alias(f"{c}_2") for c in LEG])
+    return a.join(b, (F.col("destination_1") == F.col("origin_2")) & (F.col("day") == F.col("date_2"))).where("departure_2 >= arrival_1").drop("day")
+
+
+def onestop_between(legs: DataFrame, origin, destination, date=None, compat: bool = True) -> DataFrame:
+    """The pairs of onestop_search from one end to another, on one day of the first leg if given. Ends are asked of the legs before they meet."""
+    firsts, seconds = optional_filter(legs, origin=origin, date=date), optional_filter(legs, destination=destination)
+    a = firsts.select(*[F.col(c).alias(f"{c}_1") for c in LEG]).withColumn("day", next_day(F.col("date_1"), F.col("arrival_1"), compat))
+    b = seconds.select(*[F.col(c).alias(f"{c}_2") for c in LEG])
     return a.join(b, (F.col("destination_1") == F.col("origin_2")) & (F.col("day") == F.col("date_2"))).where("departure_2 >= arrival_1").drop("day")
 
 
@@ -228,12 +239,21 @@ def update_ledger(payments: DataFrame, changes: DataFrame, key: str, amount: str
     return payments.unionByName(changes.where(F.col(amount) != 0).select(*payments.columns))
 
 
-def certificates(requests: DataFrame, used: DataFrame, user: str, ids: list[str]) -> DataFrame:
-    """Requests (user, amount) with the first of the ids that no user's certificate has, or an error where all are used. One request a user is served."""
+def certificates(requests: DataFrame, used: DataFrame, user: str, ids: list[str], order: str | None = None, amount: str | None = None) -> DataFrame:
+    """Requests with the certificate id that each gets, or an error: "not eligible" for an amount of 0, "too many certificates".
+
+    A user's requests are served by order (one a user where it is not given); each takes the first of the ids that the
+    user has no certificate of. Requests that are not eligible take none."""
     free = F.array_except(F.array(*map(F.lit, ids)), F.coalesce("_used", F.array().cast("array<string>")))
     taken = used.where(F.col("id").isin(ids)).groupBy(user).agg(F.collect_set("id").alias("_used"))
-    j = requests.join(taken, user, "left").withColumn("certificate", F.try_element_at(free, F.lit(1)))
-    return j.withColumn("error", F.when(F.col("certificate").isNull(), "too many certificates")).drop("_used")
+    able = F.lit(True) if amount is None else F.col(amount) > 0
+    j = requests.join(taken, user, "left").withColumn("_able", F.coalesce(able, F.lit(False)))
+    if order is None:
+        j = j.withColumn("_n", F.lit(1))
+    else:
+        j = j.withColumn("_n", F.sum(F.col("_able").cast("int")).over(Window.partitionBy(user).orderBy(order)))
+    j = j.withColumn("certificate", F.when(F.col("_able"), F.try_element_at(free, F.col("_n").cast("int"))))
+    return j.withColumn("error", F.when(~F.col("_able"), "not eligible").when(F.col("certificate").isNull(), "too many certificates")).drop("_used", "_able", "_n")
 
 
 def find_user(users: DataFrame, requests: DataFrame) -> DataFrame:
@@ -270,6 +290,17 @@ def changed(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return j.select(key, *[F.coalesce(F.col("_c")[c], F.col(c)).alias(c) for c in rows.columns if c != key])
 
 
+def search_messages(messages: DataFrame, contacts: DataFrame, sender=None, recipient=None, equal: dict | None = None, between: dict | None = None, near: dict | None = None) -> DataFrame:
+    """messages (sender_phone, recipient_phone, …) with the contacts (person, name, phone) at both ends, where conditions of search hold.
+
+    sender and recipient name persons; a phone that no contact has gives no person. Contacts of one phone each give a row."""
+    out = messages
+    for end, wanted in (("sender", sender), ("recipient", recipient)):
+        who = contacts.select(F.col("phone").alias(f"{end}_phone"), F.col("person").alias(f"{end}_person"), F.col("name").alias(f"{end}_name"))
+        out = out.join(who, f"{end}_phone", "left") if wanted is None else out.join(who.where(F.col(f"{end}_person") == F.lit(wanted)), f"{end}_phone")
+    return search(out, equal, between, near)
+
+
 def search(rows: DataFrame, equal: dict | None = None, between: dict | None = None, near: dict | None = None) -> DataFrame:
     """Rows that match all conditions given: equal values, ranges (low, high; either may be None), texts at most two edits away or holding the text."""
     rows = optional_filter(rows, **(equal or {}))

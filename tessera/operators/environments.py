@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import GROUNDING_PATTERNS
+from tessera.operators.domain import TRANSFERRED
 from tessera.operators.replay import merged, state_digest
 
 KINDS = ("read", "write", "think", "generic")
@@ -125,6 +126,18 @@ class Environment:
         return spark.createDataFrame(rows, "requestor string, tool string, kind string")
 
 
+class Support(Toolkit):
+    """What every domain's assistant has beside its own tools: a hand-over to people, and room to think."""
+
+    @tool("generic")
+    def transfer_to_human_agents(state, summary):
+        return TRANSFERRED
+
+    @tool("think")
+    def think(state, thought):
+        return ""
+
+
 def begin(start: dict) -> dict:
     return {AGENT: copy.deepcopy(start.get(AGENT, {})), USER: copy.deepcopy(start.get(USER, {}))}
 
