@@ -17,10 +17,11 @@ windows in one masked attention. In training, windows follow one another and
 every place in them is a target.
 
 Everything learned covers all training rows: word counts and slot pairs (sums made
-in the tasks first), and one epoch of training that is data-parallel: in each of
-``rounds`` rounds every partition trains a copy of the weights on its rows of
-that round (each row belongs to one round), and the copies are averaged by
-their tokens. Only averages, counts bounded by the vocabulary (50 thousand
+in the tasks first), and one epoch of training that is data-parallel: rows are dealt by
+hash to ``rounds`` rounds and, within one, to shards of about ``SHARD`` tokens; each
+shard trains a copy of the weights on its rows, in the order of their hashes, and
+the copies are averaged by their tokens. So neither the number of executors nor
+the layout of the input changes what is learned. Only averages, counts bounded by the vocabulary (50 thousand
 tokens, HEAD squared pairs) and the ``hot_words`` most frequent words (a fixed
 bound) reach the driver.
 
@@ -39,7 +40,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ HEAD, LEAD = GROUPS * SLOTS, WINDOW - STRIDE
 #: What stands before a text.
 BEGIN = HEAD
 DISCOUNT = 0.75
+#: Tokens that one copy of the weights is trained on in a round.
+SHARD = 1 << 20
 _ROOT = np.float32(DIM**0.5)
 _PLACES = np.arange(WINDOW)
 _MASK = np.where(_PLACES[None, :] <= _PLACES[:, None], 0, -1e9).astype(np.float32)
@@ -304,6 +307,21 @@ def _texts(batches, slot: np.ndarray, most: int = 1 << 18) -> Iterator[list[np.n
         yield held
 
 
+def _by_shard(batches) -> Iterator[Iterator[pa.RecordBatch]]:
+    """For each shard of a sorted partition its batches, which must be used up before the next."""
+
+    def pieces():
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for lo, hi in pairwise(cuts):
+                if hi > lo:
+                    yield int(shards[lo]), batch.slice(lo, hi - lo)
+
+    for _, group in groupby(pieces(), key=lambda p: p[0]):
+        yield (batch for _, batch in group)
+
+
 def word_counts(docs: DataFrame, text_col: str, stage: Stage, flush: int = 200_000) -> DataFrame:
     """(word, c) over all rows; the end of a text counts as the word of no bytes."""
 
@@ -350,8 +368,8 @@ def _summed(ids: DataFrame, keys, size: int) -> np.ndarray:
     return out
 
 
-def train(ids: DataFrame, size: int, rounds: int = 2, learning_rate: float = 0.01) -> Lm:
-    """One epoch over all rows of ids (uid, ids): texts as ids of a vocabulary of ``size``, 16 bits each."""
+def train(ids: DataFrame, size: int, rounds: int = 2, learning_rate: float = 0.01, shard_tokens: int = SHARD) -> Lm:
+    """One epoch over all rows of ids (key, ids): texts as ids of a vocabulary of ``size``, 16 bits each, known by a hash."""
     seen = _summed(ids, lambda t: t, size)
     order = np.argsort(-seen, kind="stable")
     slot = np.zeros(size, np.int64)
@@ -366,18 +384,25 @@ def train(ids: DataFrame, size: int, rounds: int = 2, learning_rate: float = 0.0
     slot = number[slot]
     share = np.log((seen + 1) / np.bincount(slot, seen + 1, HEAD)[slot])
     lm = Lm(slot.astype(np.int16), share, *direct_path(moved), first_weights())
+    shards = max(1, round(float(seen.sum()) / rounds / shard_tokens))
+    shard = F.pmod(F.floor(F.col("key") / rounds).cast("long"), F.lit(shards))
     for r in range(rounds):
 
         def local(batches, lm=lm, r=r):
             one_product_thread()
-            copy, n = Adam(lm, learning_rate / (1 + r)), 0
-            for texts in _texts(batches, lm.slot):
-                copy.learn(*training_windows(texts))
-                n += sum(map(len, texts))
-            return np.append(copy.x.astype(np.float64) * n, n) if n else None
-
-        rows = ids.where(F.pmod(F.xxhash64("uid"), F.lit(rounds)) == r).select("ids")
-        total = sum_over_partitions(rows, local, len(lm.flat()) + 1)
+            total = None
+            for rows in _by_shard(batches):
+                copy, n = Adam(lm, learning_rate / (1 + r)), 0
+                for texts in _texts(rows, lm.slot):
+                    copy.learn(*training_windows(texts))
+                    n += sum(map(len, texts))
+                weighed = np.append(copy.x.astype(np.float64) * n, n)
+                total = weighed if total is None else total + weighed
+            return total
+
+        rows = ids.where(F.pmod("key", F.lit(rounds)) == r).select(shard.alias("shard"), "key", "ids")
+        dealt = rows.repartition("shard").sortWithinPartitions("shard", "key").select("shard", "ids")
+        total = sum_over_partitions(dealt, local, len(lm.flat()) + 1)
         if total[-1]:
             lm = lm.with_weights(total[:-1] / total[-1])
     return lm
@@ -431,7 +456,9 @@ def score(docs: DataFrame, learn: Column | None = None, text_col: str = "text",
                 uid += n
 
     done = stage.keep(kept.mapInArrow(tokenise, schema))
-    model = spark.sparkContext.broadcast(train(done.where("learn").select("uid", "ids"), size, rounds, learning_rate))
+    # copies of a text differ by the other columns, so that a large group of them is dealt out too
+    known_by = [o for o in names if not any(k in done.schema[o].dataType.simpleString() for k in ("map<", "variant"))]
+    model = spark.sparkContext.broadcast(train(done.where("learn").select(F.xxhash64(*known_by, "ids").alias("key"), "ids"), size, rounds, learning_rate))
 
     def run(batches):
         one_product_thread()

@@ -627,6 +627,22 @@ def test_lm_scoring(spark, sf_dir, docs):
         assert r.score < 0
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = []
+    for n in (1, 4, 16):
+        got = attention_lm.score(docs.repartition(n), F.col("doc_id") % 7 != 2).select("doc_id", "score").collect()
+        seen.append({r.doc_id: r.score for r in got})
+    for other in seen[1:]:
+        assert all(abs(other[i] - x) <= 1e-6 * abs(x) for i, x in seen[0].items())
+
+
+def test_lm_shards_are_used_one_after_another():
+    batches = [pa.RecordBatch.from_pydict({"shard": pa.array(s, pa.int64()), "ids": pa.array(i, pa.binary())}) for s, i in (([1, 1, 2], [b"a", b"b", b"c"]), ([2, 2], [b"d", b"e"]), ([5], [b"f"]), ([], []))]
+    got = [[x for b in rows for x in b.column(1).to_pylist()] for rows in attention_lm._by_shard(iter(batches))]
+    assert got == [[b"a", b"b"], [b"c", b"d", b"e"], [b"f"]]
+
+
 def test_lm_scoring_odd(odd, none):
     got = {r.doc_id: r for r in attention_lm.score(odd).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 1 and got[6].n_tokens == 40001 and got[6].kept == "k"
