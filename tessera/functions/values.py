@@ -53,7 +53,7 @@ def unit_frame(spark: SparkSession) -> DataFrame:
 def convert_units(df: DataFrame, value: str, source: str, target: str, out: str = "converted") -> DataFrame:
     """Converts between units of one kind, names case folded; null for other pairs."""
     u = unit_frame(df.sparkSession)
-    a, b = (F.broadcast(u.select(F.col("unit").alias(f"_u{i}"), F.col("kind").alias(f"_k{i}"), F.col("factor").alias(f"_f{i}"), F.col("offset").alias(f"_o{i}"))) for i in "ab")
+    a, b = (u.select(F.col("unit").alias(f"_u{i}"), F.col("kind").alias(f"_k{i}"), F.col("factor").alias(f"_f{i}"), F.col("offset").alias(f"_o{i}")) for i in "ab")
     j = df.join(a, F.lower(source) == F.col("_ua"), "left").join(b, F.lower(target) == F.col("_ub"), "left")
     result = F.when(F.col("_ka") == F.col("_kb"), (F.col(value) * F.col("_fa") + F.col("_oa") - F.col("_ob")) / F.col("_fb"))
     return j.withColumn(out, result).drop(*[f"_{x}{i}" for x in "ukfo" for i in "ab"])

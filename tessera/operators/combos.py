@@ -59,7 +59,7 @@ def missing_subgoals(required: Column, covered: Column) -> Column:
 
 def expand_trials(tasks: DataFrame, trials: DataFrame) -> DataFrame:
     """Every task with every trial (trial, seed); trials are few."""
-    return tasks.crossJoin(F.broadcast(trials))
+    return tasks.crossJoin(trials)
 
 
 def pending_runs(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

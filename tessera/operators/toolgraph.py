@@ -36,7 +36,7 @@ def resource_edges(tools: DataFrame) -> DataFrame:
 def temporal_edges(tools: DataFrame) -> DataFrame:
     """All ordered pairs of different tools. The result is that square itself; a tool list is small."""
     a, b = tools.select(F.col("tool").alias("src")), tools.select(F.col("tool").alias("dst"))
-    return a.crossJoin(F.broadcast(b)).where("src <> dst")
+    return a.crossJoin(b).where("src <> dst")
 
 
 def parallel_candidates(tools: DataFrame) -> DataFrame:
@@ -135,9 +135,13 @@ def coverage_completion(paths: DataFrame, tools: DataFrame, edges: DataFrame) ->
 
 
 def export_graph(tools: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each tool's node as JSON, with its edges out."""
+    """Each tool's node as JSON: what it takes and gives, its description if tools have one, its edges out, and whether chains may begin or end there."""
     out = edges.groupBy(F.col("src").alias("tool")).agg(F.array_sort(F.collect_list("dst")).alias("next"))
-    return tools.join(out, "tool", "left").select("tool", F.to_json(F.struct("tool", "inputs", "outputs", "params", F.coalesce("next", F.array().cast("array<string>")).alias("next"))).alias("node"))
+    first, last = (points(tools, edges).withColumn(name, F.lit(True)) for points, name in ((entry_tools, "entry"), (terminal_tools, "terminal")))
+    j = tools.join(out, "tool", "left").join(first, "tool", "left").join(last, "tool", "left")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("entry", "terminal")]
+    own = [c for c in ("description",) if c in tools.columns]
+    return j.select("tool", F.to_json(F.struct("tool", *own, "inputs", "outputs", "params", F.coalesce("next", F.array().cast("array<string>")).alias("next"), *flags)).alias("node"))
 
 
 def successors(path: DataFrame, edges: DataFrame, tools: DataFrame) -> DataFrame:

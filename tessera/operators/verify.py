@@ -13,10 +13,10 @@ FIRST, LAST, FOLLOW, NEEDS, CONFLICT = "must_be_first", "must_be_last", "must_fo
 def ordering_violations(steps: DataFrame, rules: DataFrame, chain: str, tool: str, pos: str) -> DataFrame:
     """(chain, tool, kind, depends_on, n) of broken rules (tool, kind, depends_on); a repeated tool counts at its last place.
 
-    n: how many steps of the chain state the broken rule. Rules are few and broadcast."""
+    n: how many steps of the chain state the broken rule."""
     last = steps.groupBy(chain, tool).agg(F.max(pos).alias("at"), F.count(F.lit(1)).alias("n"))
     size = steps.groupBy(chain).agg(F.max(pos).alias("end"))
-    r = F.broadcast(rules.select(F.col("tool").alias(tool), "kind", "depends_on"))
+    r = rules.select(F.col("tool").alias(tool), "kind", "depends_on")
     asked = last.join(r, tool).join(size, chain)
     other = last.select(chain, F.col(tool).alias("depends_on"), F.col("at").alias("other"))
     j = asked.join(other, [chain, "depends_on"], "left")
@@ -34,11 +34,11 @@ def dataflow_warnings(steps: DataFrame, tools: DataFrame, edges: DataFrame, chai
     """Consecutive known tools, both with types, that share none and have no edge of their own."""
     w = Window.partitionBy(chain).orderBy(pos)
     pairs = steps.withColumn("dst", F.lead(tool).over(w)).where("dst IS NOT NULL").select(chain, pos, F.col(tool).alias("src"), "dst")
-    t = F.broadcast(tools.select("tool", "inputs", "outputs"))
+    t = tools.select("tool", "inputs", "outputs")
     typed = pairs.join(t.select(F.col("tool").alias("src"), "outputs"), "src").join(t.select(F.col("tool").alias("dst"), "inputs"), "dst")
     low = lambda c: F.transform(c, F.lower)
     apart = typed.where((F.size("outputs") > 0) & (F.size("inputs") > 0) & ~F.arrays_overlap(low(F.col("outputs")), low(F.col("inputs"))))
-    return apart.join(F.broadcast(edges.select("src", "dst").distinct()), ["src", "dst"], "left_anti").select(chain, pos, "src", "dst")
+    return apart.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select(chain, pos, "src", "dst")
 
 
 def is_valid(issues: DataFrame, chain: str, severity: str) -> DataFrame:

@@ -392,11 +392,13 @@ def parallel_branches(spark, d):
     return toolgraph.add_parallel(chains, toolgraph.parallel_candidates(_tools(spark, d)), 3).select("walk_id", "parallel", "pattern")
 
 
-@query(f"WITH {_EDGE_SQL} SELECT tool, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges WHERE src = tool), '') AS next FROM tools")
+@query(f"WITH {_EDGE_SQL} SELECT tool, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges WHERE src = tool), '') AS next, 'about ' || tool AS description, tool NOT IN (SELECT dst FROM edges) AS entry, tool NOT IN (SELECT src FROM edges) AS terminal FROM tools")
 def exported_graph(spark, d):
-    """Nodes as JSON, read back for their edges out."""
-    nodes = toolgraph.export_graph(_tools(spark, d), _edges(spark, d))
-    return nodes.select("tool", F.array_join(F.from_json("node", "next array<string>")["next"], ",").alias("next"))
+    """Nodes as JSON, read back for their edges out, descriptions and whether they are ends."""
+    tools = _tools(spark, d).withColumn("description", F.concat(F.lit("about "), "tool"))
+    nodes = toolgraph.export_graph(tools, _edges(spark, d))
+    x = nodes.select("tool", F.from_json("node", "next array<string>, description string, entry boolean, terminal boolean").alias("n"))
+    return x.select("tool", F.array_join("n.next", ",").alias("next"), "n.description", "n.entry", "n.terminal")
 
 
 # -- run control and texts ---------------------------------------------------

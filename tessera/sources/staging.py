@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+#: Paths of tables that an application has written, for clear().
+_tables: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if named := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return named.rstrip("/")
-    if not (context.master or "").startswith("local"):
+    if not re.match(r"local(\[|$)", context.master or ""):  # a local cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _own_dirs:
         _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tessera-")
@@ -26,7 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, without lineage."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: computed once, without lineage. clear() deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that written() has made in this application, once nothing reads them any more; how many there were."""
+    context = spark.sparkContext
+    paths = _tables.pop(context.applicationId, [])
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
