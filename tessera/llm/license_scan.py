@@ -48,6 +48,7 @@ LICENCES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "gpl": ("general public", ("gnu general public", "general public"), ("1", "2", "3")),
     "lgpl": ("general public", ("gnu lesser general public", "lesser general public", "gnu library general public"), ("2", "2 1", "3")),
     "agpl": ("affero", ("gnu affero general public", "affero general public"), ("1", "3")),
+    "bsd": ("bsd", ("bsd",), ()),
     "bsd-2-clause": ("bsd", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"), ()),
     "bsd-3-clause": ("bsd", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"), ()),
     "bsd-4-clause": ("bsd", ("bsd 4 clause", "4 clause bsd", "original bsd"), ()),
@@ -117,6 +118,10 @@ def rules() -> list[Rule]:
             tail = "(?: licen[sc]e)?(?: version| v)? " + v + "(?: or (?:any )?(?:later|newer)(?: version)?)?"
             out.append(Rule(tag, keyword, name + tail, 70))
             out.append(Rule(tag, keyword, GRANTS[1][0].format(n=name) + "(?: version| v)? " + v, 90, GRANTS[1][2]))
+        # an identifier that stands alone: its version or clauses tell it from a word
+        for tag in (*(f"{label} {v}" for v in versions), *([label] if label.endswith("clause") else ())):
+            words = tag.replace("-", " ")
+            out.append(Rule(tag.replace(" ", "-", 1).replace(" ", "."), f" {words.split()[0]} ", words, 55))
         ids = [label, *(f"{label} {v}" for v in versions)]
         for i in ids:
             out.append(Rule(i.replace(" ", "-", 1).replace(" ", "."), "spdx", "spdx licen[sc]e identifier " + i.replace("-", " ") + "(?: 0)?(?: only| or later)?", 100))
@@ -138,15 +143,9 @@ def _spaces(c: Column) -> Column:
 
 def _places(norm: Column, pattern: Column) -> Column:
     """array<struct<start, words>> of the pattern's places in words one space apart, from word 0."""
-    gaps, found = F.split(norm, pattern), F.regexp_extract_all(norm, pattern, F.lit(0))
-    empty = F.array().cast("array<struct<start:bigint,words:bigint>>")
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(_spaces(g).cast("bigint").alias("gap"), _spaces(m).cast("bigint").alias("inner")))
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(-1).cast("bigint").alias("at"), empty.alias("out")),
-        lambda a, s: F.struct((a["at"] + s["gap"] + s["inner"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (s["inner"] + 1).alias("words")))).alias("out")),
-    )
-    return F.when(F.size(found) > 0, walk["out"]).otherwise(empty)
+    # a mark goes before each place's first word, so that the words' own numbers are the starts
+    starts = F.filter(F.transform(F.split(F.trim(F.regexp_replace(norm, pattern, F.lit("\x01$0"))), " "), lambda w, i: F.when(F.startswith(w, F.lit("\x01")), i.cast("bigint"))), lambda i: i.isNotNull())
+    return F.zip_with(starts, F.regexp_extract_all(norm, pattern, F.lit(0)), lambda i, m: F.struct(i.alias("start"), (_spaces(m) + 1).cast("bigint").alias("words")))
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -157,7 +156,7 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and detections."""
     own = [c for c in docs.columns if c not in (*RESULT, "detections")]
-    lower, norm, raw, base = (free_name([*own, *RESULT], f"_tess_{x}") for x in ("lower", "norm", "raw", "base"))
+    lower, norm, raw, base, rank = (free_name([*own, *RESULT], f"_tess_{x}") for x in ("lower", "norm", "raw", "base", "rank"))
     whole = lambda p: f"(?<= )(?:{p})(?= )"
     groups: dict[tuple[str, str], list[Rule]] = {}
     for r in rules():
@@ -178,14 +177,18 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     none = F.array().cast(place_t)
     found = _once(text, **{raw: hits.cast(place_t), base: F.when(F.contains(F.col(norm), F.lit("license")), base_hits.cast(place_t)).otherwise(none)})
 
-    def outranked(m: Column) -> Column:
-        def by(o: Column) -> Column:
-            holds = (o["start"] <= m["start"]) & (o["start"] + o["words"] >= m["start"] + m["words"])
-            return holds & ((o["words"] > m["words"]) | (o["priority"] > m["priority"]) | ((o["priority"] == m["priority"]) & (o["label"] < m["label"])))
-
-        return F.exists(F.col(raw), by)
-
-    kept = _once(found, detections=F.array_sort(F.array_distinct(F.filter(F.col(raw), lambda m: ~outranked(m)))))
+    # in order of start, the longer and then the higher ranked first, what lies within another ends no later than one before it
+    ranked = F.array_sort(F.array_distinct(F.transform(F.col(raw), lambda m: F.struct(m["start"].alias("start"), (-m["words"]).alias("shorter"), (-m["priority"]).alias("lower"), m["label"].alias("label")))))
+    found = _once(found, **{rank: F.transform(ranked, lambda x: F.struct(x["start"].alias("start"), (-x["shorter"]).alias("words"), x["label"].alias("label"), (-x["lower"]).alias("priority")))})
+    kept = _once(
+        found,
+        detections=F.aggregate(
+            F.col(rank),
+            F.struct(F.lit(-1).cast("bigint").alias("end"), F.array().cast(place_t).alias("out")),
+            lambda a, m: F.when(m["start"] + m["words"] <= a["end"], a).otherwise(F.struct((m["start"] + m["words"]).alias("end"), F.concat(a["out"], F.array(m)).alias("out"))),
+            lambda a: a["out"],
+        ),
+    )
     labels = lambda c: F.transform(c, lambda m: m["label"])
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     starts = F.transform(F.col(base), lambda m: m["start"])

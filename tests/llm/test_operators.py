@@ -9,6 +9,7 @@ import re
 import shutil
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -700,6 +701,20 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) > 300 and license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_families_and_lone_tags(spark):
+    want = {"under the BSD license": "bsd", "licensed under the BSD license.": "bsd", "SPDX none; BSD-3-Clause": "bsd-3-clause", "(MPL-2.0)": "mpl-2.0", "EPL-2.0 or Apache-2.0": "apache-2.0,epl-2.0", "the new BSD license": "bsd-3-clause", "an isc of words": ""}
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id int, text string")
+    assert {r.text: r.labels for r in license_scan.scan(df).collect()} == want
+
+
+def test_license_scan_of_thousands_of_findings(spark):
+    text = "MIT License, then (BSD-3-Clause). " * 2500 + "GNU General Public License version 3 or later"
+    began = time.time()
+    r = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).head()
+    assert r.n_base == 2501 and r.labels == "bsd-3-clause,gpl,gpl-3,mit" and len(r.detections) == 5001 and time.time() - began < 60
+    assert [d.start for d in r.detections[:4]] == [0, 3, 6, 9]
+
+
 def matches_of(pattern):
     """Texts that a rule's pattern matches: every alternative of every group once, with optional parts and without."""
     from re import _parser
