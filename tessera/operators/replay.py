@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 Tool = Callable[[dict, dict], object]
 

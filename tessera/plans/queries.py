@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text, values
-from tessera.operators import combos, digest, domain, evaluate, metrics, toolgraph, verify, walk
+from tessera.operators import combos, digest, domain, evaluate, metrics, toolgraph, walk
 from tessera.sources.catalog import DRIVER, declare
 from tessera.sources.readers import driver_tables
 
