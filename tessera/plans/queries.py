@@ -549,6 +549,8 @@ _TOOL_SQL = """tools AS (
   SELECT 'brand_' || n AS tool, [a || '_id', b || '_note'] AS params, CASE WHEN n % 7 = 0 THEN []::VARCHAR[] ELSE [c] END AS outputs
   FROM (SELECT CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS n, arg_min(split_part(p_name, ' ', 2), p_partkey) AS a, arg_min(split_part(p_name, ' ', 1), p_partkey) AS b, arg_max(split_part(p_name, ' ', 2), p_partkey) AS c FROM part GROUP BY p_brand))"""
 _EDGE_SQL = f"{_TOOL_SQL}, o AS (SELECT DISTINCT tool AS src, lower(unnest(outputs)) AS t FROM tools), p AS (SELECT tool, unnest(params) AS p FROM tools), i AS (SELECT DISTINCT tool AS dst, lower(regexp_replace(p, '_(id|number)$', '')) AS t FROM p WHERE regexp_matches(p, '_(id|number)$')), edges AS (SELECT src, dst, string_agg(t, ',' ORDER BY t) AS matching FROM o JOIN i USING (t) WHERE src <> dst GROUP BY src, dst)"
+#: Tools that no edge leads to, or from; all where there is none.
+_ENDS_SQL = "firsts AS (SELECT tool FROM tools WHERE tool NOT IN (SELECT dst FROM edges) OR NOT EXISTS (SELECT 1 FROM tools t2 WHERE t2.tool NOT IN (SELECT dst FROM edges))), lasts AS (SELECT tool FROM tools WHERE tool NOT IN (SELECT src FROM edges) OR NOT EXISTS (SELECT 1 FROM tools t2 WHERE t2.tool NOT IN (SELECT src FROM edges)))"
 _PROPOSED_SQL = "(SELECT 'brand_' || (s_suppkey % 26 + 1) AS src, 'brand_' || (s_suppkey * 7 % 25 + 1) AS dst FROM supplier) v"
 
 
@@ -583,13 +585,13 @@ def enrich_edges(spark, d):
     return toolgraph.enrich_edges(toolgraph.resource_edges(tools), _proposed(spark, d), tools).select("src", "dst")
 
 
-@query(f"WITH {_EDGE_SQL} SELECT tool FROM tools WHERE tool NOT IN (SELECT dst FROM edges)")
+@query(f"WITH {_EDGE_SQL}, {_ENDS_SQL} SELECT tool FROM firsts")
 def entry_tools(spark, d):
     tools = _tools(spark, d)
     return toolgraph.entry_tools(tools, toolgraph.resource_edges(tools))
 
 
-@query(f"WITH {_EDGE_SQL} SELECT tool FROM tools WHERE tool NOT IN (SELECT src FROM edges)")
+@query(f"WITH {_EDGE_SQL}, {_ENDS_SQL} SELECT tool FROM lasts")
 def terminal_tools(spark, d):
     tools = _tools(spark, d)
     return toolgraph.terminal_tools(tools, toolgraph.resource_edges(tools))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import cases, digest, domain, evaluate, replay, toolgraph, verify, walk
-from tessera.plans.queries import _EDGE_SQL, _PROPOSED_SQL, _TOOL_SQL, _brand, _proposed, _tools, _values, query, t
+from tessera.plans.queries import _EDGE_SQL, _ENDS_SQL, _PROPOSED_SQL, _TOOL_SQL, _brand, _proposed, _tools, _values, query, t
 from tessera.sources import readers
 from tessera.sources.catalog import DRIVER
 
@@ -351,7 +351,7 @@ def chain_successors(spark, d):
     return toolgraph.successors(paths, _proposed(spark, d), _tools(spark, d))
 
 
-@query(f"WITH {_EDGE_SQL}, entry AS (SELECT list(tool ORDER BY tool) AS names FROM (SELECT tool FROM tools WHERE tool NOT IN (SELECT dst FROM edges))) SELECT c_custkey AS walk_id, names[CAST(CAST('0x' || left(md5('5:' || CAST(c_custkey AS VARCHAR)), 8) AS BIGINT) % len(names) AS INT) + 1] AS tool FROM customer, entry")
+@query(f"WITH {_EDGE_SQL}, {_ENDS_SQL}, entry AS (SELECT list(tool ORDER BY tool) AS names FROM firsts) SELECT c_custkey AS walk_id, names[CAST(CAST('0x' || left(md5('5:' || CAST(c_custkey AS VARCHAR)), 8) AS BIGINT) % len(names) AS INT) + 1] AS tool FROM customer, entry")
 def entry_samples(spark, d):
     """A seeded entry point for a walk of each customer."""
     walks = t(spark, d, "customer").select(F.col("c_custkey").alias("walk_id"))
@@ -392,7 +392,7 @@ def parallel_branches(spark, d):
     return toolgraph.add_parallel(chains, toolgraph.parallel_candidates(_tools(spark, d)), 3).select("walk_id", "parallel", "pattern")
 
 
-@query(f"WITH {_EDGE_SQL} SELECT tool, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges WHERE src = tool), '') AS next, 'about ' || tool AS description, tool NOT IN (SELECT dst FROM edges) AS entry, tool NOT IN (SELECT src FROM edges) AS terminal FROM tools")
+@query(f"WITH {_EDGE_SQL}, {_ENDS_SQL} SELECT tool, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges WHERE src = tool), '') AS next, 'about ' || tool AS description, tool IN (SELECT tool FROM firsts) AS entry, tool IN (SELECT tool FROM lasts) AS terminal FROM tools")
 def exported_graph(spark, d):
     """Nodes as JSON, read back for their edges out, descriptions and whether they are ends."""
     tools = _tools(spark, d).withColumn("description", F.concat(F.lit("about "), "tool"))
