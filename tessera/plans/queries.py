@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.operators import combos, digest, domain, evaluate, metrics, toolgraph, walk
 from tessera.sources.catalog import DRIVER, declare
 from tessera.sources.readers import driver_tables
+from tessera.sources.staging import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,7 +229,8 @@ def action_checks(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_returnflag, EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linestatus = 'F' AND b.l_returnflag = a.l_returnflag) AS matched FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_linestatus = 'O') a")
 def argument_checks(spark, d):
     """Open lines as gold actions with two arguments, closed ones as calls that give the flag alone."""
-    lines = t(spark, d, "lineitem")
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    lines = dealt(lines, lines.count(), "l_orderkey")  # all that follows goes by order
     gold = lines.where("l_linestatus = 'O'").select("l_orderkey", "l_linenumber", "l_returnflag").distinct().withColumn("gold", F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("line"), F.col("l_linenumber").cast("string")))
     calls = lines.where("l_linestatus = 'F'").select("l_orderkey", F.col("l_returnflag").alias("f")).distinct().select("l_orderkey", F.create_map(F.lit("flag"), F.col("f")).alias("call"))
     return evaluate.action_checks(gold, calls, ["l_orderkey"], evaluate.arguments_match(F.col("gold"), F.col("call"))).select("l_orderkey", "l_linenumber", "l_returnflag", "matched")
