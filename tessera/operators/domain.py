@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,10 +112,16 @@ def rebooking_delta(old: DataFrame, new: DataFrame, key: list[str], same: list[s
     """New price less the old for each key. Legs that keep all of ``same`` keep their price.
 
     old, new: key, the columns of same, price."""
-    kept = old.select(*key, *same, F.col(price).alias("_old")).dropDuplicates([*key, *same])
-    now = new.join(kept, [*key, *same], "left").groupBy(*key).agg(F.sum(F.coalesce("_old", F.col(price))).alias("now"))
-    before = old.groupBy(*key).agg(F.sum(price).alias("was"))
-    return now.join(before, key).withColumn("delta", (F.col("now") - F.col("was")) * passengers)
+    # old and new legs meet in one grouping by what is kept, then in one by key; nulls are equal to nothing
+    known = lambda names: reduce(Column.__and__, [F.col(c).isNotNull() for c in names], F.lit(True))
+    none = F.lit(None).cast(old.schema[price].dataType)
+    legs = old.select(*key, *same, F.col(price).alias("_old"), F.lit(None).cast(new.schema[price].dataType).alias("_new"), F.lit(True).alias("_was"))
+    legs = legs.unionByName(new.select(*key, *same, none.alias("_old"), F.col(price).alias("_new"), F.lit(False).alias("_was"))).where(known(key))
+    n_new = F.count_if(~F.col("_was"))
+    each = legs.groupBy(*key, *same).agg(F.min("_old").alias("_kept"), F.sum("_old").alias("was"), F.sum("_new").alias("_sum"), n_new.alias("_n"), F.count_if("_was").alias("_m"))
+    now = F.when(F.col("_n") > 0, F.when(known(same) & F.col("_kept").isNotNull(), (F.col("_kept") * F.col("_n")).cast(each.schema["_sum"].dataType)).otherwise(F.col("_sum")))
+    out = each.groupBy(*key).agg(F.sum(now).alias("now"), F.sum("was").alias("was"), F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).where("_n > 0 AND _m > 0")
+    return out.select(*key, "now", "was", ((F.col("now") - F.col("was")) * passengers).alias("delta"))
 
 
 def update_payment_error(exists: Column, kind: Column, balance: Column, amount: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text, values
 from tessera.operators import combos, domain, replay, toolgraph, verify
 from tessera.plans.queries import _EDGE_SQL, _tools, _values, query, t
+from tessera.sources.staging import dealt
 
 # -- chains ------------------------------------------------------------------
 
@@ -152,7 +153,8 @@ def refund_ledger(spark, d):
 @query("SELECT o_orderkey, CAST(now - was AS DOUBLE) * 3 AS delta FROM (SELECT a.l_orderkey AS o_orderkey, sum(CASE WHEN a.l_linenumber % 2 = 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE CAST(l_extendedprice AS DECIMAL(18,2)) + 10 END) AS now, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS was FROM (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2) a GROUP BY 1)")
 def rebooking_delta(spark, d):
     """Odd lines change their cabin and cost ten more, for three passengers."""
-    base = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    base = dealt(lines, lines.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").cast("decimal(18,2)").alias("price"))
     old = base.select("l_orderkey", "l_linenumber", F.lit("economy").alias("cabin"), "price")
     new = base.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, "economy").otherwise("business").alias("cabin"), (F.col("price") + 10).cast("decimal(18,2)").alias("price"))
     r = domain.rebooking_delta(old, new, ["l_orderkey"], ["l_linenumber", "cabin"], "price", F.lit(3))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tessera.operators import domain
 from tessera.plans import registry
 from tessera.sources import staging
 
@@ -12,7 +13,7 @@ def test_dealt_grows_with_rows(spark, monkeypatch):
     assert parts(10_000) == 100 and parts(20_050) == 201 and parts(500) <= 8
 
 
-@pytest.mark.parametrize("name", ["argument_checks"])
+@pytest.mark.parametrize("name", ["argument_checks", "rebooking_delta"])
 def test_lines_are_dealt_by_order(spark, sf_dir, monkeypatch, capsys, name):
     """One exchange by order that grows with the lines serves all that goes by order."""
     monkeypatch.setattr(staging, "ROWS_A_TASK", 100)
@@ -21,3 +22,13 @@ def test_lines_are_dealt_by_order(spark, sf_dir, monkeypatch, capsys, name):
     plan = capsys.readouterr().out
     assert f"hashpartitioning(l_orderkey#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
     assert "ENSURE_REQUIREMENTS" not in plan, plan
+
+
+def test_rebooking_keeps_prices_and_nulls(spark):
+    shape = "k int, leg int, cabin string, price decimal(18,2)"
+    old = spark.createDataFrame([(1, 1, "e", 100), (1, 2, "e", 50), (2, 1, None, 10), (3, 1, "e", 5), (None, 1, "e", 5), (5, 1, "e", None)], shape.replace("decimal(18,2)", "int"))
+    new = spark.createDataFrame([(1, 1, "e", 130), (1, 1, "e", 140), (1, 2, "b", 80), (2, 1, None, 30), (4, 1, "e", 5), (None, 1, "e", 5), (5, 1, "e", 7)], shape.replace("decimal(18,2)", "int"))
+    from pyspark.sql import functions as F
+
+    got = {r.k: (r.now, r.was, r.delta) for r in domain.rebooking_delta(old, new, ["k"], ["leg", "cabin"], "price", F.lit(2)).collect()}
+    assert got == {1: (280, 150, 260), 2: (30, 10, 40), 5: (7, None, None)}
