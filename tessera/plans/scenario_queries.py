@@ -12,6 +12,7 @@ from tessera.operators import cases, digest, domain, evaluate, replay, toolgraph
 from tessera.plans.queries import _EDGE_SQL, _ENDS_SQL, _PROPOSED_SQL, _TOOL_SQL, _brand, _proposed, _tools, _values, query, t
 from tessera.sources import readers
 from tessera.sources.catalog import DRIVER
+from tessera.sources.staging import dealt
 
 # -- scoring -----------------------------------------------------------------
 
@@ -197,7 +198,8 @@ def cancelled_status(spark, d):
 def rebooking_errors(spark, d):
     """Lines as the legs of a rebooking, every fifth kept; parts as flights with their size as seats."""
     dates = t(spark, d, "part").where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("flight"), F.when(F.col("p_size") % 4 == 0, "landed").otherwise("available").alias("status"), F.col("p_size").alias("seats"))
-    legs = t(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("leg")).agg(F.max("l_partkey").alias("flight"), F.max("l_quantity").alias("n"))
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    legs = dealt(lines, lines.count(), "l_orderkey").groupBy("l_orderkey", F.col("l_linenumber").alias("leg")).agg(F.max("l_partkey").alias("flight"), F.max("l_quantity").alias("n"))
     return domain.leg_error(legs, dates, "l_orderkey", ["flight"], "n", kept=F.col("leg") % 5 == 0)
 
 
