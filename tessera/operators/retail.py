@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.staging import written
+from tessera.sources.staging import dealt, written
 
 PENDING, DELIVERED, CHANGED = "pending", "delivered", "pending (item modified)"
 #: Reasons that a cancellation takes: fixed values.
@@ -66,25 +66,31 @@ def written_orders(orders: DataFrame, items: DataFrame, stock: DataFrame, cards:
       item is of the same product and available, the user has the method, a gift card covers the difference. modify_items puts the new items in.
     * return: delivered, all items are in the order, the method is a gift card or the one that paid; refunds come later.
     """
+    # partitions by their rows, so that a task's memory does not grow with the tables
+    n_requests, n_stock = requests.count(), stock.count()
+    n_orders = orders.count() + n_requests
+    requests, orders, items = (dealt(df, n_orders, "order") for df in (requests, orders, items))
     asked = requests.join(orders.select("order", F.col("user").alias("_user")), "order", "left")
     known = asked.where("_user IS NOT NULL")
     missing = asked.where("_user IS NULL").select("request", F.lit("order not found").alias("error"))
     touched = known.select("order", F.col("_user").alias("user")).distinct()
     # the products and prices of all items that requests name, beside the request
-    named = known.select("request", F.posexplode(F.concat(F.coalesce("items", F.array().cast("array<bigint>")), F.coalesce("new_items", F.array().cast("array<bigint>")))).alias("at", "item")).join(stock, "item", "left")
+    named = known.select("request", F.posexplode(F.concat(F.coalesce("items", F.array().cast("array<bigint>")), F.coalesce("new_items", F.array().cast("array<bigint>")))).alias("at", "item"))
+    n_named = 2 * n_requests + n_stock
+    named = dealt(dealt(named, n_named, "item").join(dealt(stock, n_named, "item"), "item", "left"), 2 * n_requests, "request")
     facts = named.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("at", "item", "product", F.col("price").cast(MONEY).alias("price"), "available"))).alias("facts"))
     rows = [
         cards.join(touched.select("user").distinct(), "user", "left_semi").select(F.lit(0).alias("tag"), "user", "method", "source", F.col("balance").cast(MONEY).alias("amount")),
         orders.join(touched.select("order"), "order", "left_semi").select(F.lit(1).alias("tag"), "user", "order", "status", "address", "method", F.col("paid").cast(MONEY).alias("amount")),
         items.join(touched, "order").select(F.lit(2).alias("tag"), "user", "order", "place", "item"),
-        known.join(facts, "request", "left").select(F.lit(3).alias("tag"), F.col("_user").alias("user"), "request", "order", "action", "items", "new_items", "method", "address", "reason", "facts"),
+        dealt(known, 2 * n_requests, "request").join(facts, "request", "left").select(F.lit(3).alias("tag"), F.col("_user").alias("user"), "request", "order", "action", "items", "new_items", "method", "address", "reason", "facts"),
     ]
     stream = rows[0]
     for more in rows[1:]:
         stream = stream.unionByName(more, allowMissingColumns=True)
     # ids that a kind of row lacks are 0, so that none turns into a float on the way
     stream = stream.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("request", "order", "place", "item")})
-    served = written(stream.repartition("user").sortWithinPartitions("user", "tag", "request", "order", "place").mapInPandas(_serve, _OUT))
+    served = written(dealt(stream, n_requests + 2 * n_orders, "user").sortWithinPartitions("user", "tag", "request", "order", "place").mapInPandas(_serve, _OUT))
     part = lambda kind, *columns: served.where(F.col("kind") == kind).select(*columns)
     results = part("result", "request", "error", F.col("amount").alias("difference"))
     return Written(

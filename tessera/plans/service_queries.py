@@ -10,6 +10,7 @@ from tessera.operators import cases, domain, environments, retail, toolgraph
 from tessera.operators.cases import Intent
 from tessera.operators.environments import Environment, Support
 from tessera.plans.queries import _EDGE_SQL, _tools, query, t
+from tessera.sources.staging import dealt
 
 # -- flights -----------------------------------------------------------------
 
@@ -105,8 +106,8 @@ SELECT ord, CASE WHEN error IS NOT NULL OR action = 'modify_payment' THEN status
        CASE WHEN error IS NULL AND action = 'modify_payment' THEN 'g' ELSE method END AS method, ord * 10 + CASE WHEN error IS NULL AND action = 'modify_items' THEN 1 ELSE 0 END AS item FROM z""")
 def orders_after_writes(spark, d):
     """Status, address, method and item of every order afterwards."""
-    w = _retail(spark, d)
-    return w.orders.join(w.items, "order").select(F.col("order").alias("ord"), "status", "address", "method", "item")
+    w, rows = _retail(spark, d), 2 * t(spark, d, "orders").count()
+    return dealt(w.orders, rows, "order").join(dealt(w.items, rows, "order"), "order").select(F.col("order").alias("ord"), "status", "address", "method", "item")
 
 
 @query(f"""WITH {_ASKED}

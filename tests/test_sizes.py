@@ -33,3 +33,18 @@ def test_rebooking_keeps_prices_and_nulls(spark):
 
     got = {r.k: (r.now, r.was, r.delta) for r in domain.rebooking_delta(old, new, ["k"], ["leg", "cabin"], "price", F.lit(2)).collect()}
     assert got == {1: (280, 150, 260), 2: (30, 10, 40), 5: (7, None, None)}
+
+
+@pytest.mark.parametrize("name", ["order_writes", "orders_after_writes", "cards_after_writes"])
+def test_writes_are_dealt_by_their_rows(spark, sf_dir, monkeypatch, name):
+    """Tables of rows on their way to a fold go to more tasks where they are larger; results stay."""
+    from tessera.operators import retail
+
+    asked = []
+    monkeypatch.setattr(staging, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(retail, "dealt", lambda df, rows, *keys: asked.append((keys, rows)) or staging.dealt(df, rows, *keys))
+    few = registry.QUERIES[name](spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert dict(asked)[("user",)] > 3 * n and dict(asked)[("request",)] > 2 * n and dict(asked)[("item",)] > 4 * n
+    monkeypatch.undo()
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, registry.QUERIES[name](spark, sf_dir).collect()))
