@@ -22,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.domain import booking_price
@@ -80,11 +80,10 @@ def _flown(requests: DataFrame, legs: DataFrame, flights: DataFrame) -> DataFram
 def _paid(requests: DataFrame, payments: DataFrame, methods: DataFrame) -> DataFrame:
     """Payments with their method; a certificate's second use in a request is an error of its own."""
     j = payments.join(requests.select("request", "user"), "request").join(methods, ["user", "method"], "left")
-    again = j.groupBy("request", "method").agg(F.min("nth").alias("_first"))
-    twice = (F.col("source") == "certificate") & (F.col("nth") > F.col("_first"))
+    twice = (F.col("source") == "certificate") & (F.col("nth") > F.min("nth").over(Window.partitionBy("request", "method")))
     error = F.when(F.col("source").isNull(), "payment method not found").when(F.col("source").isin("gift_card", "certificate") & (F.col("balance") < F.col("amount")), "not enough balance").when(twice, "certificate used twice")
     missing = F.col("source").isNull()
-    return j.join(again, ["request", "method"]).withColumn("error", error).withColumn("at", PAYMENTS_AT + 2 * F.col("nth") + F.when(missing, 0).otherwise(1)).drop("_first")
+    return j.withColumn("error", error).withColumn("at", PAYMENTS_AT + 2 * F.col("nth") + F.when(missing, 0).otherwise(1))
 
 
 def _asked(requests: DataFrame, users: DataFrame, flown: DataFrame, paid: DataFrame) -> DataFrame:
@@ -126,11 +125,12 @@ def _contended(asked: DataFrame, flown: DataFrame, paid: DataFrame) -> DataFrame
 
 def _decided(asked: DataFrame, needs: DataFrame) -> DataFrame:
     """(request, price, error): requests without contended checks as they are, the others in their turn."""
-    name = F.concat(F.lit("q"), F.col("request").cast("string"))
-    edges = needs.select(name.alias("a"), F.concat(F.lit("r"), "resource").alias("b"))
-    group = components(edges, edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
-    checks = needs.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("at", "resource", "need", "there", "message"))).alias("checks"))
-    queue = asked.join(checks, "request").withColumn("node", name).join(group, "node").select("component", "request", "price", "error", "at", "checks")
+    checks = written(needs.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("at", "resource", "need", "there", "message"))).alias("checks")))
+    # a request ties its resources to its first one; groups are found among resources, however many requests there are
+    head = F.col("checks")[0]["resource"]
+    edges = checks.select(head.alias("a"), F.explode("checks.resource").alias("b")).distinct()
+    group = components(edges, edges.select(F.col("b").alias("node")))
+    queue = asked.join(checks, "request").withColumn("node", head).join(group, "node").select("component", "request", "price", "error", "at", "checks")
     schema = f"request {asked.schema['request'].dataType.simpleString()}, price {asked.schema['price'].dataType.simpleString()}, error string"
 
     def run(frames):
@@ -150,5 +150,5 @@ def _decided(asked: DataFrame, needs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"request": frame["request"], "price": frame["price"], "error": errors})
 
     served = queue.repartition("component").sortWithinPartitions("component", "request").mapInPandas(run, schema)
-    alone = asked.join(needs.select("request").distinct(), "request", "left_anti").select("request", "price", "error")
+    alone = asked.join(checks.select("request"), "request", "left_anti").select("request", "price", "error")
     return alone.unionByName(served)

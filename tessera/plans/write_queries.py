@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import bookings, environments, evaluate
 from tessera.operators.environments import Environment, Toolkit, tool
 from tessera.plans.queries import query, t
+from tessera.sources.staging import written
 
 # -- bookings ----------------------------------------------------------------
 
@@ -26,7 +27,7 @@ p AS (
 
 def _booked(spark, d) -> bookings.Booked:
     key = F.col("o_orderkey")
-    q = (
+    q = written(
         t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(key.alias("request"), F.when(key % 19 == 0, 99).otherwise(F.col("c_nationkey")).cast("bigint").alias("user"), F.col("c_nationkey").cast("bigint").alias("nation"), F.lit("economy").alias("cabin"), (1 + key % 3).cast("int").alias("passengers"), (key % 4 == 0).alias("insured"), (key % 2).cast("int").alias("nonfree_bags"))
     )

@@ -89,3 +89,19 @@ def test_bookings_equal_slow_ones(spark):
         booked = {q for q, e in want.items() if e is None}
         assert {r.request for r in got.reservations.collect()} == booked
         assert got.legs.count() == sum(r in booked for r, *_ in legs) and got.payments.count() == sum(r in booked for r, *_ in payments)
+
+
+def test_groups_are_found_among_resources(spark, monkeypatch):
+    """Requests are no nodes of the graph whose components are groups: its size is that of what runs short."""
+    nodes = []
+    monkeypatch.setattr(bookings, "components", lambda edges, own, find=bookings.components: nodes.append(own.distinct().count()) or find(edges, own))
+    n = 300
+    got = bookings.book(
+        spark.createDataFrame([(q, 0, "e", 1, False, 0) for q in range(n)], "request bigint, user bigint, cabin string, passengers int, insured boolean, nonfree_bags int"),
+        spark.createDataFrame([(q, k, q % 2 + 2 * k, "d") for q in range(n) for k in range(2)], "request bigint, leg int, flight bigint, date string"),
+        spark.createDataFrame([(q, 0, "c", 20) for q in range(n)], "request bigint, nth int, method string, amount bigint"),
+        spark.createDataFrame([(0,)], "user bigint"),
+        spark.createDataFrame([(f, "d", "e", "available", 40, 10) for f in range(4)], "flight bigint, date string, cabin string, status string, seats int, price bigint"),
+        spark.createDataFrame([(0, "c", "credit_card", 0)], "user bigint, method string, source string, balance bigint"),
+    )
+    assert nodes == [4] and {r.request for r in got.reservations.collect()} == set(range(80))
