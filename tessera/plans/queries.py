@@ -487,7 +487,8 @@ def _loose_tables(spark, d):
     out = {}
     for name, own in _LOOSE.tables.items():
         df = t(spark, d, "lineitem" if name == "lines" else name)
-        out[name] = df.select(*[F.col(c).cast("bigint").alias(c.split("_", 1)[1]) for c in df.columns if c.split("_", 1)[1] in {x.name for x in own.columns}]).distinct()
+        rows = df.select(*[F.col(c).cast("bigint").alias(c.split("_", 1)[1]) for c in df.columns if c.split("_", 1)[1] in {x.name for x in own.columns}])
+        out[name] = dealt(rows, df.count(), *rows.columns).distinct()
     return out
 
 

@@ -48,3 +48,11 @@ def test_writes_are_dealt_by_their_rows(spark, sf_dir, monkeypatch, name):
     assert dict(asked)[("user",)] > 3 * n and dict(asked)[("request",)] > 2 * n and dict(asked)[("item",)] > 4 * n
     monkeypatch.undo()
     assert sorted(map(repr, few.collect())) == sorted(map(repr, registry.QUERIES[name](spark, sf_dir).collect()))
+
+
+def test_loose_lines_are_dealt_by_their_rows(spark, sf_dir, monkeypatch):
+    from tessera.plans import queries
+
+    monkeypatch.setattr(staging, "ROWS_A_TASK", 100)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert queries._loose_tables(spark, sf_dir)["lines"].rdd.getNumPartitions() == -(-n // 100)
