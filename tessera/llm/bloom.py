@@ -46,6 +46,13 @@ def test(rows: DataFrame, key: Column, filter_: DataFrame, bits: int, name: str)
     )
 
 
+def among(rows: DataFrame, ids: DataFrame, key: str, stage: Stage) -> DataFrame:
+    """rows whose key may be among ids (a column of the same name): all that are, and a few by chance. Nothing of rows shuffles."""
+    bits = size_for(ids.count())
+    maybe = free_name(rows.columns, "_tess_maybe")
+    return test(rows, F.col(key), bits_of(ids, F.col(key), bits, stage), bits, maybe).where(maybe).drop(maybe)
+
+
 def without(rows: DataFrame, ids: DataFrame, key: str, stage: Stage) -> DataFrame:
     """rows whose key is not among ids (one column of the same name). Only rows that may be shuffle; null keys stay."""
     bits = size_for(ids.count())

@@ -401,12 +401,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = stage.keep(texts.mapInArrow(_features(shingle, trees), T.StructType([*own, *FEATURES])))
     # a node for each distinct set, numbered by one of its rows
     copies = stage.keep(every.where("print IS NOT NULL").groupBy("print").agg(F.min("uid").alias("id"), F.min("own").alias("rep")))
-    sets = stage.keep(every.join(copies.select("id"), F.col("uid") == F.col("id")).select("id", "n", "sig", "ways", "leaves"))
-    sigs = sets.select("id", "sig", "ways")
+    # further rows of a set: only what may be one of them shuffles, not every row with its leaves
+    further = stage.keep(every.where("print IS NOT NULL").select("uid", "print").join(copies.select("print", "id"), "print").where("uid <> id").select(F.col("uid").alias("id")))
+    sets = bloom.without(every.where("print IS NOT NULL").select(F.col("uid").alias("id"), "n", "leaves"), further, "id", stage)
 
     # leaves that one set alone reaches go first; numbers alone shuffle here, signatures follow where they are needed
     at = sets.select("id", "n", F.posexplode("leaves").alias("col", "leaf"))
-    n_sets = sets.count()
+    n_sets = copies.count()
     bits = bloom.size_for(n_sets * trees * int(np.prod(FANS)))
     if n_sets * trees * int(np.prod(FANS)) < bits:
         at = bloom.test(at, F.col("leaf"), bloom.bits_of(at, F.col("leaf"), bits, stage, repeated=True), bits, "maybe").where("maybe").drop("maybe")
@@ -420,6 +421,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     involved = stage.keep(copies.join(members.select("id").distinct(), "id").select("print", "id", "rep"))
     rep_bits = bloom.size_for(n_sets)
+    # most sets meet no other: signatures are taken along for those that do
+    sigs = every.select(F.col("uid").alias("id"), "sig", "ways")
+    sigs = stage.keep(bloom.among(sigs, involved, "id", stage).join(involved.select("id"), "id", "left_semi"))
     reps = bloom.bits_of(involved, F.xxhash64("rep"), rep_bits, stage)
     maybe = bloom.test(texts, F.xxhash64("own"), reps, rep_bits, "maybe").where("maybe").select("text")
     full = maybe.mapInArrow(_sets(shingle), "print binary, set binary").where("print IS NOT NULL").dropDuplicates(["print"])
@@ -453,9 +457,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = joined
 
     def confirmed(found: DataFrame) -> DataFrame:
-        pairs = found.where("tile IS NULL AND a <> b").select("a", "b").distinct()
-        left = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        both = left.join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+        pairs = stage.keep(found.where("tile IS NULL AND a <> b").select("a", "b").distinct())
+        asked = bloom.among(full, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", stage)  # the others' sets don't shuffle
+        left = pairs.join(asked.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+        both = left.join(asked.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
         return stage.keep(both.mapInArrow(_confirm(percent), "a bigint, b bigint, ok boolean").where("ok").select("a", "b"))
 
     def against_pivots(rows: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -510,7 +515,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dense = stage.keep(more.join(found.where("tile IS NOT NULL").select("tile").distinct(), "tile", "left_semi"))
         link(confirmed(found))
         if dense.limit(1).count():
-            rows = with_component(dense).join(full, "id").select("tile", "side", "id", "comp", "set").repartition("tile").sortWithinPartitions("tile")
+            rows = with_component(dense).join(bloom.among(full, dense, "id", stage), "id").select("tile", "side", "id", "comp", "set").repartition("tile").sortWithinPartitions("tile")
             link(stage.keep(rows.mapInArrow(_exact_tiles(percent), "a bigint, b bigint")))
 
     of_copy = copies.withColumn("component", F.col("id")) if labels is None else with_component(copies).withColumnRenamed("comp", "component")

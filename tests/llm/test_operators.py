@@ -331,6 +331,31 @@ def test_near_dedup_odd(spark, odd, none):
     assert near_dedup.recall(0.85) > 0.999 and near_dedup.recall(0.8) > 0.999
 
 
+def test_near_dedup_moves_only_what_meets(spark, monkeypatch):
+    """Signatures of sets that share no leaf, and rows with their leaves, are written once and not dealt out again."""
+    from tessera.llm import bloom, near_dedup
+    from tessera.llm.common import Stage
+
+    words = lambda i: [f"w{i}x{j}" for j in range(40)]
+    rows = [(i, " ".join(words(i))) for i in range(300)] + [(300 + i, " ".join([*words(i), "end"])) for i in range(5)] + [(400 + i, " ".join(words(i))) for i in range(10)]
+    kept, asked, keep, among = [], [], Stage.keep, bloom.among
+    monkeypatch.setattr(Stage, "keep", lambda self, df: kept.append((df.columns, (out := keep(self, df)).count())) or out)
+    monkeypatch.setattr(bloom, "among", lambda *a: asked.append((a[0].columns, (out := among(*a)).count())) or out)
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (j := i if i < 300 else i - 300 if i < 400 else i - 400, i == j) for i, _ in rows}
+    assert sorted(n for columns, n in kept if "sig" in columns) == [10, 315]
+    assert [n for columns, n in asked if "set" in columns][0] == 10
+
+
+def test_bloom_among_keeps_all_that_are_there(spark):
+    from tessera.llm import bloom
+    from tessera.llm.common import Stage
+
+    rows, ids = spark.range(5000).selectExpr("id", "id % 7 AS x"), spark.range(0, 20000, 10)
+    found = {r.id for r in bloom.among(rows, ids, "id", Stage(spark)).collect()}
+    assert found >= set(range(0, 5000, 10)) and len(found) < 700
+
+
 # -- 3 line dedup ------------------------------------------------------------
 
 def slow_units(text, least=7):
